@@ -77,3 +77,35 @@ FROM customer c JOIN (
          AVG(CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01' THEN o_totalprice END) AS p3
   FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey
 """
+
+
+# Prediction snapshots derived from `events`: each event is a stored prediction
+# (predicted = value / 5 on the 0..20 scale); the actual result is the `k` field
+# of the JSON properties / 5, recorded at the event time; error events have no
+# actual yet (pending).
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
+    habits = F.from_json("props", "map<string,string>")
+    k = F.get_json_object("props", "$.k").cast("double")
+    actual = F.when(F.col("event_type") != "error",
+                    F.round(F.least(F.greatest(k / 5, F.lit(0.0)), F.lit(20.0)), 2))
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("label"),
+        habits.alias("habits"),
+        F.round(F.least(F.greatest(F.col("value") / 5, F.lit(0.0)), F.lit(20.0)), 2).alias("predicted"),
+        actual.alias("actual"),
+        F.when(actual.isNotNull(), F.col("ts")).alias("recorded_at"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+SNAPSHOTS_SQL = """
+SELECT event_id AS id, event_type AS label,
+       ROUND(LEAST(GREATEST(value / 5, 0.0), 20.0), 2) AS predicted,
+       CASE WHEN event_type <> 'error' THEN
+            ROUND(LEAST(GREATEST(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 5, 0.0), 20.0), 2) END AS actual,
+       CASE WHEN event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL THEN ts END AS recorded_at,
+       ts AS created_at
+FROM events
+"""
