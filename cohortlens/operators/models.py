@@ -15,6 +15,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +104,8 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     data = df.dropna(subset=[label])
     train, test = split(data, key)
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
+    # iterative fitters scan the training part many times: keep it in executor memory/disk
+    train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     rows, best = [], None
     for name, est in _reg_candidates(label, trees, depth):
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
@@ -110,7 +113,7 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
         m = _reg_metrics(model.transform(test), label)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                             evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
-                            foldCol="__fold", numFolds=folds, parallelism=2, seed=SEED)
+                            foldCol="__fold", numFolds=folds, parallelism=folds, seed=SEED)
         cvm = cv.fit(train)
         m["cv_r2_mean"] = float(cvm.avgMetrics[0])
         m["cv_r2_std"] = float(cvm.stdMetrics[0]) if cvm.stdMetrics else None
@@ -119,6 +122,8 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
             best = (name, m["r2"], model)
     baseline = naive_baseline(train, test, label)
     rows += _metrics_rows("regression", variant, "mean_baseline", baseline)
+    train.unpersist()
+    test.unpersist()
     rows.append(("regression", variant, best[0], "is_best", 1.0))
     schema = "task string, variant string, model string, metric string, value double"
     return best[2], spark.createDataFrame(rows, schema)
@@ -153,6 +158,7 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
     spark = df.sparkSession
     data = df.dropna(subset=[label]).withColumn(label, F.col(label).cast("double"))
     train, test = stratified_split(data, key, label)
+    train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train.count()
     cands = [
         ("logistic", LogisticRegression(labelCol=label, regParam=1.0 / max(1, n_train), elasticNetParam=0.0,
@@ -169,12 +175,14 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
         m = binary_metrics(model.transform(test), label)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                             evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
-                            foldCol="__fold", numFolds=folds, parallelism=2, seed=SEED)
+                            foldCol="__fold", numFolds=folds, parallelism=folds, seed=SEED)
         m["cv_f1_mean"] = float(cv.fit(train).avgMetrics[0])
         rows += _metrics_rows("classification", "pass", name, m)
         if best is None or m["f1"] > best[1]:
             best = (name, m["f1"], model)
     rows.append(("classification", "pass", best[0], "is_best", 1.0))
+    train.unpersist()
+    test.unpersist()
     return best[2], spark.createDataFrame(rows, "task string, variant string, model string, metric string, value double")
 
 
@@ -239,6 +247,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
     if isinstance(types[target], T.NumericType):
         d = d.withColumn(target, F.col(target).cast("double"))
         train, test = split(d, key)
+        train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         for name, est in _reg_candidates(target, trees, depth):
             m = Pipeline(stages=stages + [est]).fit(train)
@@ -253,6 +262,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
             raise ValueError("need at least 2 classes with at least 5 rows each")
         d = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc").fit(d).transform(d)
         train, test = stratified_split(d, key, "__label")
+        train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         cands = [("logistic", LogisticRegression(labelCol="__label", maxIter=200)),
                  ("random_forest", RandomForestClassifier(labelCol="__label", numTrees=trees, maxDepth=depth,

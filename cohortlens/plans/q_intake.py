@@ -137,3 +137,48 @@ def q_fold(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", F.md5(IN.fold_text(F.col("text"))).alias("folded_md5"),
                     F.length("text").cast("bigint").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- O-114, O-115
+from ..operators import questions as QN  # noqa: E402
+
+
+def _sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _any_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(q, {_sq(w)})" for w in words) + ")"
+
+
+def _questions_sql() -> str:
+    rules = [
+        ("q = ''", "fallback"), (_any_sql(QN.HELP_WORDS), "help"),
+        (f"sid IS NOT NULL AND {_any_sql(QN.EXPLAIN_WORDS)}", "subject_explain"),
+        (f"sid IS NOT NULL AND {_any_sql(QN.PLAN_WORDS)}", "subject_plan"),
+        (f"sid IS NOT NULL AND {_any_sql(QN.COMPARE_WORDS)}", "subject_compare"),
+        ("sid IS NOT NULL", "subject_status"), (_any_sql(QN.PASS_WORDS), "pass_rate"),
+        (_any_sql(QN.RISK_WORDS), "risk"), (_any_sql(QN.MEAN_WORDS), "mean"), (_any_sql(QN.COUNT_WORDS), "count"),
+        (_any_sql(QN.CORR_WORDS), "correlation"), (_any_sql(QN.SUMMARY_WORDS), "summary"),
+    ] + [(_any_sql(w), f"navigation_{t}") for t, w in QN.NAV_TOPICS]
+    case = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rules) + " ELSE 'fallback' END"
+    return f"""
+WITH b AS (SELECT conv_id, turn, lower(regexp_replace(COALESCE(text, ''), '^\\s+|\\s+$', '', 'g')) AS q
+           FROM conversations WHERE role = 'user'),
+i AS (SELECT *, regexp_extract(q, {_sq(QN.ID_AFTER_KEYWORD)}, 1) AS first,
+             regexp_extract_all(q, '(\\d+)', 1) AS nums FROM b),
+s AS (SELECT *, CAST(CASE WHEN first <> '' THEN first
+                          WHEN regexp_matches(q, {_sq(QN.SUBJECT_WORD)}) AND len(nums) = 1 THEN nums[1] END AS BIGINT) AS sid
+      FROM i),
+t AS (SELECT *, list_filter(list_transform(regexp_extract_all(q, {_sq('(' + QN.NUMBER + ')')}, 1),
+                                            lambda x: CAST(replace(x, ',', '.') AS DOUBLE)),
+                            lambda x: x >= 0 AND x <= 20 AND x <> CAST(sid AS DOUBLE)) AS cands FROM s)
+SELECT conv_id, turn, {case} AS intent, sid AS subject_id,
+       CASE WHEN sid IS NOT NULL THEN COALESCE(cands[-1], 14.0) END AS target_grade FROM t"""
+
+
+@register("question_routing", _questions_sql())
+def q_questions(spark, sf_dir):
+    """O-114/O-115 over every user turn of `conversations` (whole texts)."""
+    c = read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return QN.route(c, "text", ["conv_id", "turn"])
