@@ -125,11 +125,19 @@ def mean_by_category(df: DataFrame, roles: Roles, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-40
-def group_profile(df: DataFrame, value: str, by: str) -> DataFrame:
-    """Mean, count and exact quartiles of `value` per group (one aggregate)."""
+def quantiles(x: Column, probs, approx: bool = False, accuracy: int = 10000) -> Column:
+    """Exact (linear interpolation, a value→count map per group) or, opt-in,
+    approximate (bounded-memory sketch) quantiles as an array column."""
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    return F.percentile_approx(x, arr, accuracy) if approx else F.percentile(x, arr)
+
+
+def group_profile(df: DataFrame, value: str, by: str, approx: bool = False) -> DataFrame:
+    """Mean, count and quartiles of `value` per group (one aggregate); exact by
+    default, `approx=True` for high-cardinality continuous values at scale."""
     if by not in df.columns:
         raise ValueError(f"unknown column: {by}")
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = quantiles(F.col(value), (0.25, 0.5, 0.75), approx)
     return (
         df.groupBy(by)
         .agg(F.avg(value).alias("mean"), F.count(value).alias("n"), q.alias("_q"))
@@ -256,7 +264,7 @@ def subgroup_vs_all(df: DataFrame, roles: Roles, mask: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-49, O-61
-def column_profile_numeric(df: DataFrame, cols=None) -> DataFrame:
+def column_profile_numeric(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """mean, median, std (0.0 for one value), min, max per numeric column, long
     form; columns that are entirely NULL are skipped."""
     if cols is None:
@@ -270,7 +278,7 @@ def column_profile_numeric(df: DataFrame, cols=None) -> DataFrame:
             F.lit(c).alias("column"),
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),
-            F.percentile(x, F.lit(0.5)).alias("median"),
+            quantiles(x, (0.5,), approx)[0].alias("median"),
             F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),

@@ -151,11 +151,12 @@ def scatter(df: DataFrame, x: str, y: str, key: str, max_points: int = 5000, see
 
 
 # ---------------------------------------------------------------- O-77
-def box_summary(df: DataFrame, value: str, by: str, factor: float = 1.5) -> DataFrame:
+def box_summary(df: DataFrame, value: str, by: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
     """Quartiles and 1.5·IQR whiskers per group (quartile table joined back on
     the group key; AQE broadcasts it when the group count is small)."""
     q = df.groupBy(by).agg(
-        F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+        (F.percentile_approx(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000) if approx
+         else F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("_q"),
         F.count(value).alias("n"),
     ).select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumns({"lo_fence": F.col("q1") - factor * (F.col("q3") - F.col("q1")),

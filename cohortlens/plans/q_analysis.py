@@ -353,3 +353,39 @@ SELECT n, ROUND(pass_pct, 6) AS pass_pct, ROUND(mean_target, 6) AS mean_target,
        CASE WHEN b.r > 0 THEN 'positive' WHEN b.r < 0 THEN 'negative' END AS strongest_sign FROM k, b"""))
 def q_overview(spark, sf_dir):
     return rounded(I.overview(curated(spark, sf_dir), R, OVERVIEW_INPUTS))
+
+
+# ---------------------------------------------------------------- O-50
+@register("target_block", with_curated("""
+SELECT COUNT(g3) AS n, ROUND(AVG(g3), 6) AS mean_target, ROUND(AVG(passed), 6) AS pass_rate,
+       COUNT(*) FILTER (WHERE passed = 1) AS n_pass, COUNT(*) FILTER (WHERE passed = 0) AS n_fail,
+       GREATEST(3, LEAST(20, COUNT(DISTINCT g3))) AS n_bins FROM curated"""))
+def q_target_block(spark, sf_dir):
+    """Target summary of a table with a detected target: mean, pass rate, pass/fail, bin count."""
+    from ..operators import explore as X
+    df = curated(spark, sf_dir)
+    nb = X.adaptive_bins(df, "g3")
+    # both sides are single-row aggregates; they are combined in one aggregate instead of a join
+    one = df.agg(F.count("g3").alias("n"), F.avg("g3").alias("mean_target"), F.avg("passed").alias("pass_rate"),
+                 F.count_if(F.col("passed") == 1).alias("n_pass"), F.count_if(F.col("passed") == 0).alias("n_fail"))
+    return rounded(one.withColumn("n_bins", F.lit(nb)))
+
+
+# ---------------------------------------------------------------- O-110, O-28
+@register("report_batch", with_curated("""
+, lv AS (SELECT effort, AVG(g3) AS lm, COUNT(*) AS ln FROM curated GROUP BY effort),
+ma AS (SELECT AVG(absences) AS mabs FROM curated),
+j AS (SELECT c.subject_id, c.g3, c.at_risk, c.failures, c.absences, l.lm, l.ln, x.lm AS nm, x.ln AS nn
+      FROM curated c LEFT JOIN lv l ON c.effort = l.effort LEFT JOIN lv x ON c.effort = x.effort - 1)
+SELECT subject_id, ROUND(g3, 6) AS g3, ROUND(lm, 6) AS own_mean, ROUND(g3 - lm, 6) AS diff_own,
+       ROUND(CASE WHEN ln >= 5 AND nn >= 5 AND nm - lm > 0 THEN nm - lm END, 6) AS next_gain,
+       CAST(failures >= 1 AS INT) AS has_failures, CAST(absences > mabs AS INT) AS absences_above_mean
+FROM j, ma WHERE at_risk = 1 ORDER BY g3, subject_id LIMIT 200"""))
+def q_report_batch(spark, sf_dir):
+    """At-risk rows, lowest target first, limit 200, each with its insight record."""
+    df = curated(spark, sf_dir)
+    ins = I.insight(df, R)
+    top = df.filter(F.col("at_risk") == 1).orderBy("g3", "subject_id").limit(200).select("subject_id")
+    j = top.join(ins, "subject_id")
+    return rounded(j.select("subject_id", "g3", "own_mean", "diff_own", "next_gain", "has_failures",
+                            "absences_above_mean"))

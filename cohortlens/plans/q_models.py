@@ -207,3 +207,68 @@ def q_segment_export(spark, sf_dir):
     """O-10: members per group (`;`-joined) or the (group, key) table for large groups."""
     a, _, _ = SG.segment(curated(spark, sf_dir), R, SEG_FEATURES, k=4)
     return segment_members(a, "group", "subject_id")
+
+
+# ---------------------------------------------------------------- O-47
+@register("peer_comparison", with_curated(_HAB + f"""
+, lv AS (SELECT effort AS lvl, AVG(g3) AS level_mean, AVG(passed) AS level_pass_rate, COUNT(*) AS level_n
+         FROM curated GROUP BY effort),
+p AS (SELECT subject_id, effort, {_pred_sql('hab', 'effort', 'absences')} AS predicted FROM curated, hab)
+SELECT subject_id, ROUND(predicted, 6) AS predicted, ROUND(level_mean, 6) AS level_mean,
+       ROUND(level_pass_rate, 6) AS level_pass_rate, level_n, ROUND(predicted - level_mean, 6) AS diff_vs_level,
+       CAST(predicted >= 10 AS INT) AS predicted_pass
+FROM p JOIN lv ON p.effort = lv.lvl"""))
+def q_peer(spark, sf_dir):
+    """Prediction of every row against its level's mean and pass rate (signed gap)."""
+    df = curated(spark, sf_dir)
+    sc = _scorer(df)
+    lv = df.groupBy(F.col("effort").alias("lvl")).agg(F.avg("g3").alias("level_mean"),
+                                                       F.avg("passed").alias("level_pass_rate"),
+                                                       F.count(F.lit(1)).alias("level_n"))
+    p = df.select("subject_id", "effort", sc.expr().alias("predicted"))
+    j = p.join(lv, p.effort == lv.lvl)
+    return rounded(j.select("subject_id", "predicted", "level_mean", "level_pass_rate", "level_n",
+                            (F.col("predicted") - F.col("level_mean")).alias("diff_vs_level"),
+                            (F.col("predicted") >= 10).cast("int").alias("predicted_pass")))
+
+
+# ---------------------------------------------------------------- O-75
+@register("scatter_fit", with_curated("""
+SELECT REGR_COUNT(g3, absences) AS n, ROUND(REGR_SLOPE(g3, absences), 6) AS slope,
+       ROUND(REGR_INTERCEPT(g3, absences), 6) AS intercept, ROUND(REGR_R2(g3, absences), 6) AS r2,
+       ROUND(MIN(absences), 6) AS x_min, ROUND(MAX(absences), 6) AS x_max,
+       ROUND(REGR_INTERCEPT(g3, absences) + REGR_SLOPE(g3, absences) * MIN(absences), 6) AS y_at_min,
+       ROUND(REGR_INTERCEPT(g3, absences) + REGR_SLOPE(g3, absences) * MAX(absences), 6) AS y_at_max FROM curated"""))
+def q_scatter(spark, sf_dir):
+    from ..operators import stats as S
+    _, line = S.scatter(curated(spark, sf_dir), "absences", "g3", "subject_id")
+    return rounded(line)
+
+
+# ---------------------------------------------------------------- O-91
+SCENARIOS = (("current", 0.0, 0.0), ("effort_up", 1.0, 0.0), ("absences_down", 0.0, -3.0))
+
+
+@register("scenario_table", with_curated(_HAB + ", s AS (" + " UNION ALL ".join(
+    f"SELECT subject_id, '{n}' AS scenario, {i} AS o, LEAST(GREATEST(effort + {de}, 1.0), 4.0) AS effort, "
+    f"LEAST(GREATEST(absences + {da}, 0.0), 93.0) AS absences FROM curated" for i, (n, de, da) in enumerate(SCENARIOS))
+    + f"""),
+p AS (SELECT s.*, {_pred_sql('hab', 's.effort', 's.absences')} AS pred FROM s, hab),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY pred DESC, o) AS rk FROM p)
+SELECT subject_id, scenario, ROUND(effort, 6) AS effort, ROUND(absences, 6) AS absences, ROUND(pred, 6) AS pred,
+       rk = 1 AS is_best FROM r"""))
+def q_scenarios(spark, sf_dir):
+    """Frozen scenario inputs and their predictions side by side; the best one marked."""
+    df = curated(spark, sf_dir)
+    sc = _scorer(df)
+    items = []
+    for i, (n, de, da) in enumerate(SCENARIOS):
+        e = F.least(F.greatest(F.col("effort") + de, F.lit(1.0)), F.lit(4.0))
+        a = F.least(F.greatest(F.col("absences") + da, F.lit(0.0)), F.lit(93.0))
+        items.append(F.struct(F.lit(n).alias("scenario"), F.lit(i).alias("o"), e.alias("effort"), a.alias("absences"),
+                              sc.expr({"effort": e, "absences": a}).alias("pred")))
+    arr = F.array(*items)
+    best = F.array_max(F.transform(arr, lambda s: F.named_struct(F.lit("p"), s["pred"], F.lit("k"), -s["o"])))["k"]
+    ex = df.select("subject_id", (-best).alias("best_o"), F.explode(arr).alias("s"))
+    return rounded(ex.select("subject_id", "s.scenario", "s.effort", "s.absences", "s.pred",
+                             (F.col("s.o") == F.col("best_o")).alias("is_best")))
