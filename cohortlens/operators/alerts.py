@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import Roles
-from .ranks import value_counts_before
+from .ranks import value_counts_before_multi
 
 # fixed values: severity order and rule order
 SEVERITY_RANK = {"urgent": 0, "warning": 1, "info": 2}
@@ -119,32 +119,37 @@ def unusual_values(df: DataFrame, roles: Roles, fields, key: str, reference: Dat
                  *[F.stddev_samp(c).alias(f"s_{c}") for c in fields]).first()
     n = st["n"]
     findings = []
-    out = df
+    usable = []
     for c in fields:
         m, s = st[f"m_{c}"], st[f"s_{c}"]
         if not s or s != s:
             continue
-        # share of reference rows <= value: distinct-value prefix counts joined on the value
-        vb = value_counts_before(ref.select(c), c).select(
-            F.col(c).alias(f"__v_{c}"), ((F.col("before") + F.col("cnt")) / F.lit(n) * 100).alias(f"__p_{c}"))
-        out = out.join(vb, out[c] == vb[f"__v_{c}"], "left").drop(f"__v_{c}")
+        usable.append(c)
         z = (F.col(c) - F.lit(m)) / F.lit(s)
         findings.append(F.when(F.abs(z) >= UNUSUAL_Z, F.struct(
             F.lit(c).alias("field"), F.lit("warning").alias("severity"),
             F.when(z > 0, "much_higher").otherwise("much_lower").alias("code"),
-            z.alias("z"), F.coalesce(F.col(f"__p_{c}"), F.lit(0.0)).alias("percentile"))))
+            z.alias("z"), F.col(c).cast("double").alias("value"))))
     p = [x for x in roles.periods if x in df.columns]
     if len(p) >= 2:
         d = F.col(p[1]) - F.col(p[0])
         findings.append(F.when(F.abs(d) >= GRADE_JUMP, F.struct(
             F.lit(p[1]).alias("field"), F.lit("warning").alias("severity"),
             F.when(d > 0, "jump_up").otherwise("jump_down").alias("code"),
-            d.alias("z"), F.lit(None).cast("double").alias("percentile"))))
+            d.alias("z"), F.lit(None).cast("double").alias("value"))))
     if roles.failures in df.columns and len(p) >= 2:
         hi = (F.col(p[0]) >= HIGH_GRADE) | (F.col(p[1]) >= HIGH_GRADE)
         findings.append(F.when((F.col(roles.failures) >= MANY_FAILURES) & F.coalesce(hi, F.lit(False)), F.struct(
             F.lit(roles.failures).alias("field"), F.lit("info").alias("severity"),
             F.lit("many_failures_high_grades").alias("code"), F.lit(None).cast("double").alias("z"),
-            F.lit(None).cast("double").alias("percentile"))))
+            F.lit(None).cast("double").alias("value"))))
     arr = F.filter(F.array(*findings), lambda e: e.isNotNull())
-    return out.select(key, F.explode(arr).alias("f")).select(key, "f.*")
+    found = df.select(key, F.explode(arr).alias("f")).select(key, "f.*")
+    if not usable:
+        return found.withColumn("percentile", F.lit(None).cast("double")).drop("value")
+    # share of reference rows <= value, from one distinct-value prefix table for all fields,
+    # joined only to the findings (z findings carry their value; the others do not match)
+    ecdf = value_counts_before_multi(ref, usable).select(
+        "field", F.col("value").alias("__v"), ((F.col("before") + F.col("cnt")) / F.lit(n) * 100).alias("percentile"))
+    j = found.join(ecdf, (found["field"] == ecdf["field"]) & (found["value"] == ecdf["__v"]), "left")
+    return j.select(key, found["field"], "severity", "code", "z", "percentile")

@@ -278,3 +278,14 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
                 best = (name, met["f1"], m)
     rows.append(("generic", target, best[0], "is_best", 1.0))
     return best[2], spark.createDataFrame(rows, "task string, variant string, model string, metric string, value double")
+
+
+def score_with_rejects(model, df: DataFrame, required, lo: float = 0.0, hi: float = 20.0):
+    """O-93: rows missing any required input are not scored but returned in a
+    reject table with the missing field names; the rest are scored."""
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull())
+    tagged = df.withColumn("__missing", missing)
+    ok = tagged.filter(F.size("__missing") == 0).drop("__missing")
+    rejected = tagged.filter(F.size("__missing") > 0).withColumn("missing", F.array_join("__missing", ",")) \
+        .drop("__missing")
+    return score(model, ok, lo, hi), rejected

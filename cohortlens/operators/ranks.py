@@ -59,6 +59,23 @@ def value_counts_before(df: DataFrame, col: str, parts: int | None = None) -> Da
     return prefix_sums(vc, [col], {"before": F.col("cnt")}, parts, inclusive=False)
 
 
+def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None) -> DataFrame:
+    """(field, value, cnt, before, n) for several columns from one scan: the
+    columns are unpivoted to (field, value), counted, and one two-level prefix
+    sum runs over (field, value); the per-field offsets are a table with one
+    row per column."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in cols
+    ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    vc = pairs.groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    run = prefix_sums(vc, ["field", "value"], {"run": F.col("cnt")}, parts, inclusive=False)
+    tot = run.groupBy("field").agg(F.sum("cnt").alias("n"))
+    off = tot.select("field", "n", F.coalesce(F.sum("n").over(
+        Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    return run.join(F.broadcast(off), "field").select(
+        "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
+
+
 # ---------------------------------------------------------------- O-56
 def percentile_rank(df: DataFrame, key: str, cols, scale: float = 100.0, digits: int = 1,
                     parts: int | None = None) -> DataFrame:
@@ -69,17 +86,16 @@ def percentile_rank(df: DataFrame, key: str, cols, scale: float = 100.0, digits:
     splits skewed values otherwise.
     """
     out = df.select(key, *cols)
+    vb = value_counts_before_multi(df, cols, parts)
+    # exact half-even rounding of (before + (cnt+1)/2) / n * scale at `digits` places,
+    # done on integers so no engine's float noise decides a tie
+    mult = int(round(scale * 10 ** digits))
+    vb = vb.withColumns({"__num": (2 * F.col("before") + F.col("cnt") + 1) * F.lit(mult),
+                         "__den": (2 * F.col("n")).cast("bigint")})
+    vb = vb.select("field", "value", (half_even_div("__num", "__den") / float(10 ** digits)).alias("pct"))
     for c in cols:
-        n = df.filter(F.col(c).isNotNull()).count()
-        vb = value_counts_before(df.select(c), c, parts)
-        # exact half-even rounding of (before + (cnt+1)/2) / n * scale at `digits` places,
-        # done on integers so no engine's float noise decides a tie
-        mult = int(round(scale * 10 ** digits))
-        vb = vb.withColumns({"__num": (2 * F.col("before") + F.col("cnt") + 1) * F.lit(mult),
-                             "__den": F.lit(2 * n).cast("bigint")})
-        pr = half_even_div("__num", "__den") / float(10 ** digits)
-        ranks = vb.select(F.col(c).alias(f"__k_{c}"), pr.alias(f"pct_{c}"))
-        out = out.join(ranks, out[c] == ranks[f"__k_{c}"], "left").drop(f"__k_{c}")
+        ranks = vb.filter(F.col("field") == c).select(F.col("value").alias(f"__k_{c}"), F.col("pct").alias(f"pct_{c}"))
+        out = out.join(ranks, out[c].cast("double") == ranks[f"__k_{c}"], "left").drop(f"__k_{c}")
     return out.select(key, *[f"pct_{c}" for c in cols])
 
 

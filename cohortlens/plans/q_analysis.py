@@ -389,3 +389,25 @@ def q_report_batch(spark, sf_dir):
     j = top.join(ins, "subject_id")
     return rounded(j.select("subject_id", "g3", "own_mean", "diff_own", "next_gain", "has_failures",
                             "absences_above_mean"))
+
+
+# ---------------------------------------------------------------- O-29
+@register("lookup_batch", with_curated("""
+SELECT DISTINCT o_custkey AS subject_id FROM orders
+WHERE o_orderpriority = '1-URGENT' AND o_custkey NOT IN (SELECT subject_id FROM curated)"""))
+def q_lookup_batch(spark, sf_dir):
+    """Batch point lookup: keys requested by urgent orders that are not in the curated table."""
+    from ..operators import explore as X
+    req = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT") \
+        .select(F.col("o_custkey").alias("subject_id")).distinct()
+    _, missing = X.lookup_many(curated(spark, sf_dir), R, req)
+    return missing
+
+
+# ---------------------------------------------------------------- O-127
+@register("habits_map", "SELECT event_id AS id, json_extract_string(props, '$.k') AS k, "
+          "CAST(len(json_keys(props)) AS INT) AS n_keys FROM events")
+def q_habits_map(spark, sf_dir):
+    """JSON text decoded to a MAP (the snapshot habits column) and read back."""
+    s = snapshots(spark, sf_dir)
+    return s.select("id", F.element_at("habits", F.lit("k")).alias("k"), F.size("habits").alias("n_keys"))

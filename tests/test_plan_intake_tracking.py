@@ -115,3 +115,24 @@ def test_streaming_bulk_intake(spark):
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(out, "added")).count() == 2
     assert spark.read.parquet(os.path.join(out, "rejected")).count() == 2
+
+
+def test_new_snapshots_and_recent_order(spark):
+    preds = spark.createDataFrame([({"studytime": "3"}, 12.5, "habits"), ({}, 9.0, "full")],
+                                  "habits map<string,string>, predicted double, variant string")
+    s = TR.new_snapshots(preds, "trial")
+    rows = s.collect()
+    assert len({r.id for r in rows}) == 2 and all(r.actual is None for r in rows)
+    assert TR.most_recent_first(s).count() == 2
+
+
+def test_score_with_rejects(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    from cohortlens.operators import models as M
+    train = spark.createDataFrame([(i, float(i % 4), float(i % 7), 5.0 + i % 4) for i in range(40)],
+                                  "id long, a double, b double, y double")
+    model = Pipeline(stages=M.preprocessor(["a", "b"], []) + [LinearRegression(labelCol="y")]).fit(train)
+    req = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0)], "id long, a double, b double")
+    ok, rej = M.score_with_rejects(model, req, ["a", "b"])
+    assert [r.id for r in ok.collect()] == [1] and rej.first().missing == "a"
