@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.topk import modes
 from ..roles import Roles
 
 # fixed values: number pattern accepted by the coercion (finite decimals only)
@@ -90,7 +91,8 @@ class CurationModel:
 
 
 def fit_fill(df: DataFrame, roles: Roles, approx: bool = False) -> tuple[dict, dict]:
-    """Pass 1: medians of numeric columns and modes of text columns (one aggregate)."""
+    """Pass 1: medians of numeric columns (one aggregate) and modes of text
+    columns (one distributed group-by, see `functions.topk.modes`)."""
     num = roles.present(roles.numeric_all, df.columns)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     txt = [c for c in df.columns if isinstance(types[c], T.StringType) and c != roles.id]
@@ -98,15 +100,11 @@ def fit_fill(df: DataFrame, roles: Roles, approx: bool = False) -> tuple[dict, d
     for c in num:
         e = F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(F.col(c), F.lit(0.5))
         aggs.append(e.alias(f"m__{c}"))
-    for c in txt:
-        aggs.append(F.mode(c, deterministic=True).alias(f"o__{c}"))
-    if not aggs:
-        return {}, {}
-    row = df.agg(*aggs).first()
-    return (
-        {c: row[f"m__{c}"] for c in num},
-        {c: row[f"o__{c}"] for c in txt},
-    )
+    medians = {}
+    if aggs:
+        row = df.agg(*aggs).first()
+        medians = {c: row[f"m__{c}"] for c in num}
+    return medians, modes(df, txt)
 
 
 def median_fill(df: DataFrame, medians: dict) -> DataFrame:
@@ -223,10 +221,27 @@ def zscore(df: DataFrame, moments: dict) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-23
-def union_added(base: DataFrame, added: DataFrame) -> DataFrame:
-    """Base rows plus manually added rows, on the columns both share."""
-    common = [c for c in base.columns if c in set(added.columns)]
-    return base.select(*common).unionByName(added.select(*common))
+def union_added(base: DataFrame, added: DataFrame, label_source: str | None = "label_source") -> DataFrame:
+    """Base rows plus manually added rows, on the columns both share.
+
+    Added rows may carry an imputed (predicted) target; `label_source` marks
+    each row `observed` or `imputed` (an added row keeps its own marker if it
+    has one), so training can keep observed labels only (SURVEY Q9)."""
+    common = [c for c in base.columns if c in set(added.columns) and c != label_source]
+    b = base.select(*common)
+    a = added.select(*common)
+    if label_source:
+        b = b.withColumn(label_source, F.lit("observed"))
+        src = F.col(label_source) if label_source in added.columns else F.lit("imputed")
+        a = added.select(*common, F.coalesce(src, F.lit("imputed")).alias(label_source))
+    return b.unionByName(a)
+
+
+def observed_only(df: DataFrame, label_source: str = "label_source") -> DataFrame:
+    """Training rows: observed targets only (rows without the marker are observed)."""
+    if label_source not in df.columns:
+        return df
+    return df.filter(F.col(label_source) == "observed")
 
 
 # ---------------------------------------------------------------- O-24

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.topk import top_k_per_group
+from ..functions.topk import modes, top_k_per_group
 from ..roles import Roles
 
 
@@ -314,8 +314,9 @@ def defaults(df: DataFrame, roles: Roles, numeric=None, categorical=None) -> Dat
     """Typical values: median of numeric columns, lowest mode of text columns (one row)."""
     numeric = [c for c in (numeric or roles.numeric_all) if c in df.columns]
     categorical = [c for c in (categorical or roles.categorical) if c in df.columns]
+    md = modes(df, categorical)
     aggs = [F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in numeric]
-    aggs += [F.mode(c, deterministic=True).alias(c) for c in categorical]
+    aggs += [F.lit(md[c]).cast("string").alias(c) for c in categorical]
     return df.agg(*aggs)
 
 

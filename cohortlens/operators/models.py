@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.topk import modes
 from .ranks import prefix_sums
 
 SEED = 42
@@ -239,8 +240,8 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
         raise ValueError(f"need at least {MIN_ROWS} rows with a target, have {n}")
     numeric = [c for c in features if isinstance(types[c], T.NumericType)]
     text = [c for c in features if c not in numeric]
-    modes = d.agg(*[F.mode(c, deterministic=True).alias(c) for c in text]).first() if text else {}
-    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in text if modes[c] is not None})
+    md = modes(d, text)
+    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(md[c])) for c in text if md[c] is not None})
     d = d.withColumns({c: F.col(c).cast("double") for c in numeric})
     stages = preprocessor(numeric, text, scale=True, impute=True)
     rows = []

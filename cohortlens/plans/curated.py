@@ -25,8 +25,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def build_curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> tuple[DataFrame, clean.CurationModel]:
-    pre = materialise(clean.prefilter(subjects(spark, sf_dir), roles), "prefiltered")
+def build_curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS,
+                  added: DataFrame | None = None) -> tuple[DataFrame, clean.CurationModel]:
+    """O-24.  `added` (rows entered by users, e.g. the streaming intake output)
+    is unioned on shared columns before cleaning and tagged `imputed`."""
+    base = subjects(spark, sf_dir)
+    if added is not None:
+        base = clean.union_added(base, added)
+    pre = materialise(clean.prefilter(base, roles), "prefiltered")
     df, model = clean.fit_transform(pre, roles)
     return df, model
 

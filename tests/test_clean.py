@@ -73,3 +73,11 @@ def test_zscore_constant_column_is_zero(spark):
     out = clean.zscore(df, m).orderBy("id").collect()
     assert [r.absences_norm for r in out] == [0.0, 0.0]
     assert abs(out[0].G3_norm + out[1].G3_norm) < 1e-12
+
+
+def test_union_added_marks_label_source(spark):
+    base = spark.createDataFrame([(1, "F", 2, 0, 10, 11, 12)], SCHEMA)
+    added = spark.createDataFrame([(9, "M", 1, 0, 10, 10, 13, "x")], SCHEMA + ", extra string")
+    u = clean.union_added(base, added)
+    assert {r.id: r.label_source for r in u.collect()} == {1: "observed", 9: "imputed"}
+    assert [r.id for r in clean.observed_only(u).collect()] == [1]

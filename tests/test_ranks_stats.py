@@ -64,3 +64,23 @@ def test_correlation_constant_column_is_null(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "x double, c double")
     r = {(x.col_a, x.col_b): x.r for x in S.corr_long(df, ["x", "c"]).collect()}
     assert r[("x", "c")] is None and r[("x", "x")] == pytest.approx(1.0)
+
+
+def test_top_k_per_group_and_modes_match_brute_force(spark):
+    from cohortlens.functions.topk import modes, top_k_per_group
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abc"), rnd.randint(0, 50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, id long")
+    got = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 3, salt=7).collect()
+    for g in "abc":
+        exp = sorted([r for r in rows if r[0] == g], key=lambda r: (-r[1], r[2]))[:3]
+        assert sorted((r.v, r.id) for r in got if r.g == g) == sorted((r[1], r[2]) for r in exp)
+    vals = spark.createDataFrame([("x", "b"), ("y", "a"), ("x", "a"), ("y", "b"), (None, None)], "p string, q string")
+    assert modes(vals, ["p", "q"]) == {"p": "x", "q": "a"}
+
+
+def test_multi_column_prefix_table(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (2.0, None), (3.0, 1.0)], "a double, b double")
+    got = {(r.field, r.value): (r.cnt, r.before, r.n) for r in K.value_counts_before_multi(df, ["a", "b"], 3).collect()}
+    assert got == {("a", 1.0): (1, 0, 4), ("a", 2.0): (2, 1, 4), ("a", 3.0): (1, 3, 4),
+                   ("b", 1.0): (1, 0, 3), ("b", 5.0): (2, 1, 3)}
