@@ -229,7 +229,22 @@ def q_box(spark, sf_dir):
     return rounded(S.box_summary(curated(spark, sf_dir), "g3", "segment"))
 
 
-@register("kde")
+def _kde_sql(col="g3", points=50):
+    sums = ", ".join(
+        f"SUM(EXP(-0.5 * POW(((lo + (hi - lo) * {i} / {points - 1}) - {col}) / h, 2))) AS d{i}" for i in range(points))
+    rows = " UNION ALL ".join(
+        f"SELECT ROUND(lo + (hi - lo) * {i} / {points - 1}, 6) AS x, ROUND(d{i} * norm, 6) AS density FROM s"
+        for i in range(points))
+    return f"""
+, st AS (SELECT COUNT({col}) AS n, STDDEV_SAMP({col}) AS sd, MIN({col}) AS mn, MAX({col}) AS mx FROM curated),
+b AS (SELECT n, sd * POW(n, -0.2) AS h, mn, mx FROM st),
+g AS (SELECT n, h, mn - 3 * h AS lo, mx + 3 * h AS hi, 1.0 / (n * h * SQRT(2 * PI())) AS norm FROM b),
+s AS (SELECT ANY_VALUE(lo) AS lo, ANY_VALUE(hi) AS hi, ANY_VALUE(norm) AS norm, {sums}
+      FROM curated, g WHERE {col} IS NOT NULL)
+{rows}"""
+
+
+@register("kde", with_curated(_kde_sql()))
 def q_kde(spark, sf_dir):
     return rounded(S.kde(curated(spark, sf_dir), "g3"))
 
