@@ -72,8 +72,11 @@ def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None) ->
     tot = run.groupBy("field").agg(F.sum("cnt").alias("n"))
     off = tot.select("field", "n", F.coalesce(F.sum("n").over(
         Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    return run.join(F.broadcast(off), "field").select(
+    out = run.join(F.broadcast(off), "field").select(
         "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
+    # one row per distinct value: written once, then joined as often as needed
+    from ..plans.curated import materialise
+    return materialise(out, "value-prefix")
 
 
 # ---------------------------------------------------------------- O-56

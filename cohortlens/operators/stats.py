@@ -105,11 +105,11 @@ def group_means(df: DataFrame, group_col: str, value: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-73, O-74
-def _ols_aggs(x: str, y: str):
+def _ols_aggs(x: str, y: str, sfx: str = ""):
     return [
-        F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
+        F.regr_count(y, x).alias(f"n{sfx}"), F.regr_slope(y, x).alias(f"slope{sfx}"),
+        F.regr_intercept(y, x).alias(f"intercept{sfx}"), F.regr_r2(y, x).alias(f"r2{sfx}"),
+        F.regr_sxx(y, x).alias(f"sxx{sfx}"), F.regr_syy(y, x).alias(f"syy{sfx}"),
     ]
 
 
@@ -126,6 +126,20 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
                     _ols_t().alias("t"), (F.col("n") - 2).alias("df"))
 
 
+def ols_many(df: DataFrame, xs, y: str) -> DataFrame:
+    """Several simple regressions y ~ x in one aggregate pass, one row per x."""
+    aggs = []
+    for i, x in enumerate(xs):
+        aggs += _ols_aggs(x, y, f"_{i}")
+    w = df.agg(*aggs)
+    rows = []
+    for i, x in enumerate(xs):
+        rows.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *[
+            F.col(f"{k}_{i}").alias(k) for k in ("n", "slope", "intercept", "r2", "sxx", "syy")]))
+    long = w.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return long.select("x", "y", "n", "slope", "intercept", "r2", _ols_t().alias("t"), (F.col("n") - 2).alias("df"))
+
+
 def ols_by(df: DataFrame, x: str, y: str, by: Column, by_name: str = "subpop") -> DataFrame:
     r = df.groupBy(by.alias(by_name)).agg(*_ols_aggs(x, y))
     return r.select(by_name, F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "slope", "intercept", "r2",

@@ -199,12 +199,7 @@ def _ols_sql(x, y, table, by=None):
 
 @register("ols", with_curated(" UNION ALL ".join(_ols_sql(x, "g3", "curated") for x in OLS_X)))
 def q_ols(spark, sf_dir):
-    df = curated(spark, sf_dir)
-    out = None
-    for x in OLS_X:
-        o = S.ols(df, x, "g3")
-        out = o if out is None else out.unionByName(o)
-    return rounded(out)
+    return rounded(S.ols_many(curated(spark, sf_dir), OLS_X, "g3"))
 
 
 _SUBPOP = "CASE WHEN failures >= 1 THEN 'with_failures' ELSE 'no_failures' END"
