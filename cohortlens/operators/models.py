@@ -107,8 +107,8 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     # iterative fitters scan the training part many times: keep it in executor memory/disk
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, best = [], None
-    for name, est in _reg_candidates(label, trees, depth):
+    def run(candidate):
+        name, est = candidate
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
         model = pipe.fit(train)
         m = _reg_metrics(model.transform(test), label)
@@ -118,6 +118,11 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
         cvm = cv.fit(train)
         m["cv_r2_mean"] = float(cvm.avgMetrics[0])
         m["cv_r2_std"] = float(cvm.stdMetrics[0]) if cvm.stdMetrics else None
+        return name, m, model
+
+    rows, best = [], None
+    # candidates are independent Spark jobs: submit them concurrently, keep the listed order
+    for name, m, model in _concurrently(run, _reg_candidates(label, trees, depth)):
         rows += _metrics_rows("regression", variant, name, m)
         if best is None or m["r2"] > best[1]:
             best = (name, m["r2"], model)
@@ -130,6 +135,15 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     return best[2], spark.createDataFrame(rows, schema)
 
 
+def _concurrently(fn, items):
+    """Run independent fits on driver threads (each submits its own Spark jobs);
+    results come back in input order, so tie rules stay deterministic."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=len(items)) as ex:
+        return list(ex.map(fn, items))
+
+
 def naive_baseline(train: DataFrame, test: DataFrame, label: str) -> dict:
     """O-90: predict the training mean; MAE/RMSE on the test part."""
     m = train.agg(F.avg(label)).first()[0]
@@ -169,8 +183,8 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
         ("gradient_boosting", GBTClassifier(labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)),
     ]
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
-    rows, best = [], None
-    for name, est in cands:
+    def run(candidate):
+        name, est = candidate
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
         model = pipe.fit(train)
         m = binary_metrics(model.transform(test), label)
@@ -178,6 +192,10 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
                             evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
                             foldCol="__fold", numFolds=folds, parallelism=folds, seed=SEED)
         m["cv_f1_mean"] = float(cv.fit(train).avgMetrics[0])
+        return name, m, model
+
+    rows, best = [], None
+    for name, m, model in _concurrently(run, cands):
         rows += _metrics_rows("classification", "pass", name, m)
         if best is None or m["f1"] > best[1]:
             best = (name, m["f1"], model)
