@@ -27,3 +27,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """O-13: result tables (metrics, summaries) written as JSON or Parquet; the
+    tables are small by construction, so a single file is written."""
+    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)

@@ -136,3 +136,15 @@ def test_score_with_rejects(spark):
     req = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0)], "id long, a double, b double")
     ok, rej = M.score_with_rejects(model, req, ["a", "b"])
     assert [r.id for r in ok.collect()] == [1] and rej.first().missing == "a"
+
+
+def test_bulk_intake_end_to_end(spark):
+    df = spark.createDataFrame([("3", "2"), ("9", "1"), ("x", "0"), ("", "4")], "effort string, absences string")
+    out = os.path.join(tempfile.mkdtemp(), "added")
+    counts = IN.bulk_intake(df, {"effort": (1, 4), "absences": (0, 93)}, {}, [], {"effort": 2, "absences": 3},
+                            SC, "g3", out)
+    assert counts == {"added": 2, "rejected": 2}
+    rows = spark.read.parquet(out).orderBy("absences").collect()
+    assert [(r.effort, r.label_source) for r in rows] == [(3, "imputed"), (2, "imputed")]
+    assert all(r.g3 is not None for r in rows)
+    assert spark.read.parquet(out + "_rejected").count() == 2
