@@ -16,7 +16,7 @@ def cents(x: Column) -> Column:
 
 def half_even_div(num: str, den: str) -> Column:
     """round-half-even(num / den) for non-negative integer columns, exactly (no float ties)."""
-    q = F.expr(f"`{num}` div `{den}`")
+    q = F.expr(f"`{num}` div nullif(`{den}`, 0)")  # zero denominator → NULL, not an ANSI error
     num, den = F.col(num), F.col(den)
     r = num - q * den
     twice = r * 2

@@ -39,7 +39,7 @@ def combined_risk(df: DataFrame, roles: Roles, median_absences: float | None = N
         F.count_if(m).alias("n_combined"), F.count(F.lit(1)).alias("n"),
         F.avg(F.when(m, y)).alias("mean_combined"), F.avg(F.when(~m, y)).alias("mean_rest"),
     )
-    share = F.col("n_combined") / F.col("n")
+    share = F.try_divide(F.col("n_combined"), F.col("n"))
     return r.filter(F.col("n_combined") > 0).select(
         F.lit(float(median_absences)).alias("median_absences"), "n_combined", "n",
         share.alias("share"), "mean_combined", "mean_rest",
@@ -82,7 +82,8 @@ def alert_rules(df: DataFrame, roles: Roles, risk_rate_threshold: float | None =
         return F.struct(F.lit(no).alias("rule_no"), F.lit(rid).alias("rule_id"), sev.alias("severity"),
                         n.cast("bigint").alias("n"), value.cast("double").alias("value"), fired.alias("fired"))
 
-    comb_sev = F.when(F.col("n_combined") / F.col("n") >= COMBINED_URGENT_SHARE, "urgent").otherwise("warning")
+    comb_sev = F.when(F.try_divide(F.col("n_combined"), F.col("n")) >= COMBINED_URGENT_SHARE, "urgent") \
+        .otherwise("warning")
     rules = [
         rule(1, "risk_rate_high", F.lit("urgent"), F.round(F.col("risk_rate") * F.col("n")), F.col("risk_rate"),
              F.coalesce(F.col("risk_rate") >= thr, F.lit(False))),

@@ -74,11 +74,11 @@ def welch(df: DataFrame, group_col: str, value: str) -> DataFrame:
         F.avg(F.when(ga, y)).alias("mean_a"), F.avg(F.when(gb, y)).alias("mean_b"),
         F.var_samp(F.when(ga, y)).alias("var_a"), F.var_samp(F.when(gb, y)).alias("var_b"),
     )
-    se_a = F.col("var_a") / F.col("n_a")
-    se_b = F.col("var_b") / F.col("n_b")
+    se_a = F.try_divide(F.col("var_a"), F.col("n_a"))
+    se_b = F.try_divide(F.col("var_b"), F.col("n_b"))
     t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(se_a + se_b))
     dof = F.try_divide(F.pow(se_a + se_b, 2),
-                       F.pow(se_a, 2) / (F.col("n_a") - 1) + F.pow(se_b, 2) / (F.col("n_b") - 1))
+                       F.try_divide(F.pow(se_a, 2), F.col("n_a") - 1) + F.try_divide(F.pow(se_b, 2), F.col("n_b") - 1))
     return row.select(F.lit(group_col).alias("group_col"), F.lit(str(a)).alias("group_a"),
                       F.lit(str(b)).alias("group_b"), "n_a", "n_b", "mean_a", "mean_b", "var_a", "var_b",
                       t.alias("t"), dof.alias("df"))
@@ -95,7 +95,7 @@ def anova(df: DataFrame, group_col: str, value: str) -> DataFrame:
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"),
     )
     ssb = F.col("s_nmm") - F.col("s_nm") * F.col("s_nm") / F.col("n")
-    f = F.try_divide(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))
+    f = F.try_divide(F.try_divide(ssb, F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
     return s.select(F.lit(group_col).alias("group_col"), "k", "n", ssb.alias("ssb"), "ssw", f.alias("f"),
                     (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
 
@@ -115,7 +115,7 @@ def _ols_aggs(x: str, y: str, sfx: str = ""):
 
 def _ols_t():
     b = F.col("slope")
-    resid = (F.col("syy") - b * b * F.col("sxx")) / (F.col("n") - 2)
+    resid = F.try_divide(F.col("syy") - b * b * F.col("sxx"), F.col("n") - 2)
     return F.try_divide(b, F.sqrt(F.try_divide(resid, F.col("sxx"))))
 
 

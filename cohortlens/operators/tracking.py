@@ -36,7 +36,7 @@ def validation_summary(df: DataFrame) -> DataFrame:
         "n_validated",
         F.when(F.col("n_validated") > 0, half_even_div("sum_cents", "n_validated") / 100.0).alias("mae"),
         F.when(F.col("n_validated") > 0,
-               F.bround(F.sqrt(F.col("sum_sq_cents") / F.col("n_validated")) / 100.0, 2)).alias("rmse"),
+               F.bround(F.sqrt(F.try_divide(F.col("sum_sq_cents"), F.col("n_validated"))) / 100.0, 2)).alias("rmse"),
         "n_better", "n_worse", "n_as_predicted",
     )
 

@@ -134,8 +134,8 @@ def what_if_cohort(df: DataFrame, roles: Roles, scorer, deltas: dict[str, float]
     n = F.col("n_students")
     return a.select(
         "n_students", "n_passing_before", "n_passing_after", "newly_passing",
-        F.when(n > 0, F.col("n_passing_before") / n).otherwise(0.0).alias("pass_rate_before"),
-        F.when(n > 0, F.col("n_passing_after") / n).otherwise(0.0).alias("pass_rate_after"),
+        F.coalesce(F.try_divide(F.col("n_passing_before"), n), F.lit(0.0)).alias("pass_rate_before"),
+        F.coalesce(F.try_divide(F.col("n_passing_after"), n), F.lit(0.0)).alias("pass_rate_after"),
         F.coalesce(F.col("avg_before"), F.lit(0.0)).alias("avg_grade_before"),
         F.coalesce(F.col("avg_after"), F.lit(0.0)).alias("avg_grade_after"),
     )
