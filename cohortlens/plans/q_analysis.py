@@ -190,11 +190,12 @@ OLS_X = ["effort", "absences", "failures"]
 def _ols_sql(x, y, table, by=None):
     sel = f"{by} AS subpop, " if by else ""
     grp = " GROUP BY 1" if by else ""
-    return (f"SELECT {sel}'{x}' AS x, '{y}' AS y, REGR_COUNT({y}, {x}) AS n, ROUND(REGR_SLOPE({y}, {x}), 6) AS slope, "
+    return (f"SELECT {sel}'{x}' AS x, '{y}' AS y, CAST(REGR_COUNT({y}, {x}) AS BIGINT) AS n, "
+            f"ROUND(REGR_SLOPE({y}, {x}), 6) AS slope, "
             f"ROUND(REGR_INTERCEPT({y}, {x}), 6) AS intercept, ROUND(REGR_R2({y}, {x}), 6) AS r2, "
             f"ROUND(REGR_SLOPE({y}, {x}) / SQRT(((REGR_SYY({y}, {x}) - REGR_SLOPE({y}, {x}) * REGR_SLOPE({y}, {x}) * "
             f"REGR_SXX({y}, {x})) / (REGR_COUNT({y}, {x}) - 2)) / REGR_SXX({y}, {x})), 6) AS t, "
-            f"REGR_COUNT({y}, {x}) - 2 AS df FROM {table}{grp}")
+            f"CAST(REGR_COUNT({y}, {x}) AS BIGINT) - 2 AS df FROM {table}{grp}")
 
 
 @register("ols", with_curated(" UNION ALL ".join(_ols_sql(x, "g3", "curated") for x in OLS_X)))
@@ -378,7 +379,7 @@ def q_target_block(spark, sf_dir):
     # both sides are single-row aggregates; they are combined in one aggregate instead of a join
     one = df.agg(F.count("g3").alias("n"), F.avg("g3").alias("mean_target"), F.avg("passed").alias("pass_rate"),
                  F.count_if(F.col("passed") == 1).alias("n_pass"), F.count_if(F.col("passed") == 0).alias("n_fail"))
-    return rounded(one.withColumn("n_bins", F.lit(nb)))
+    return rounded(one.withColumn("n_bins", F.lit(nb).cast("bigint")))
 
 
 # ---------------------------------------------------------------- O-110, O-28

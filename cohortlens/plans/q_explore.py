@@ -82,7 +82,8 @@ def q_group_profile_li(spark, sf_dir):
     return rounded(X.group_profile(li, "l_extendedprice", "l_returnflag"))
 
 
-@register("banded_mean", with_curated("""SELECT CAST(band AS INT) AS band, band_lo, band_hi,
+@register("banded_mean", with_curated("""SELECT CAST(band AS INT) AS band, CAST(band_lo AS DOUBLE) AS band_lo,
+    CAST(band_hi AS DOUBLE) AS band_hi,
     ROUND(AVG(g3), 6) AS mean_target, COUNT(*) AS n FROM (
       SELECT g3, CASE WHEN effort > 0.0 AND effort <= 1.5 THEN 0 WHEN effort > 1.5 AND effort <= 3.0 THEN 1
                       WHEN effort > 3.0 AND effort <= 5.0 THEN 2 END AS band,

@@ -257,7 +257,7 @@ def q_peer(spark, sf_dir):
 
 # ---------------------------------------------------------------- O-75
 @register("scatter_fit", with_curated("""
-SELECT REGR_COUNT(g3, absences) AS n, ROUND(REGR_SLOPE(g3, absences), 6) AS slope,
+SELECT CAST(REGR_COUNT(g3, absences) AS BIGINT) AS n, ROUND(REGR_SLOPE(g3, absences), 6) AS slope,
        ROUND(REGR_INTERCEPT(g3, absences), 6) AS intercept, ROUND(REGR_R2(g3, absences), 6) AS r2,
        ROUND(MIN(absences), 6) AS x_min, ROUND(MAX(absences), 6) AS x_max,
        ROUND(REGR_INTERCEPT(g3, absences) + REGR_SLOPE(g3, absences) * MIN(absences), 6) AS y_at_min,
