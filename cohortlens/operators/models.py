@@ -135,6 +135,20 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     return best[2], spark.createDataFrame(rows, schema)
 
 
+def right_size(df: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
+    """Partition count proportional to the row count (iterative fitters run one
+    job per round, so tiny data in many partitions pays task overhead every
+    round, while large data keeps one partition per ~200k rows)."""
+    n = df.count()
+    want = max(1, -(-n // rows_per_part))
+    have = df.rdd.getNumPartitions()
+    if want < have:
+        return df.coalesce(want)
+    if want > have:
+        return df.repartition(want)
+    return df
+
+
 def _concurrently(fn, items):
     """Run independent fits on driver threads (each submits its own Spark jobs);
     results come back in input order, so tie rules stay deterministic."""
@@ -173,6 +187,7 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
     spark = df.sparkSession
     data = df.dropna(subset=[label]).withColumn(label, F.col(label).cast("double"))
     train, test = stratified_split(data, key, label)
+    train, test = right_size(train), right_size(test)
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train.count()
     cands = [
@@ -265,7 +280,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
     rows = []
     if isinstance(types[target], T.NumericType):
         d = d.withColumn(target, F.col(target).cast("double"))
-        train, test = split(d, key)
+        train, test = right_size(split(d, key)[0]), right_size(split(d, key)[1])
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         for name, est in _reg_candidates(target, trees, depth):
@@ -281,6 +296,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
             raise ValueError("need at least 2 classes with at least 5 rows each")
         d = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc").fit(d).transform(d)
         train, test = stratified_split(d, key, "__label")
+        train, test = right_size(train), right_size(test)
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         cands = [("logistic", LogisticRegression(labelCol="__label", maxIter=200)),

@@ -13,7 +13,7 @@ from ..roles import SUBJECTS, Roles
 from ..session import scratch_path
 from .bindings import subjects
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _CACHE: dict = {}
 
 
@@ -37,13 +37,25 @@ def build_curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS,
     return df, model
 
 
+def prefiltered(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> DataFrame:
+    """O-14 … O-17 output (deduplicated, coerced, filtered subjects), written once
+    per session and input folder; the curation steps and their jobs start here."""
+    key = ("pre", spark.sparkContext.applicationId, sf_dir.rstrip("/"), roles)
+    with _LOCK:
+        hit = _CACHE.get(key)
+        if hit is None:
+            hit = materialise(clean.prefilter(subjects(spark, sf_dir), roles), "prefiltered")
+            _CACHE[key] = hit
+    return hit
+
+
 def curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> DataFrame:
     """Curated subjects table, built once per session and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), roles)
     with _LOCK:
         hit = _CACHE.get(key)
         if hit is None:
-            df, model = build_curated(spark, sf_dir, roles)
+            df, model = clean.fit_transform(prefiltered(spark, sf_dir, roles), roles)
             df = materialise(df, "curated")
             hit = (df, model)
             _CACHE[key] = hit

@@ -7,7 +7,7 @@ from ..operators import clean
 from ..roles import SUBJECTS as R
 from ..sources.tables import read
 from .bindings import subjects
-from .curated import build_curated, materialise
+from .curated import build_curated, prefiltered
 from .oracle import curated_ctes, numeric_text_sql, r6
 from .registry import register, rounded
 
@@ -18,7 +18,7 @@ NRM = ["effort", "absences", "failures", "g3"]
 
 
 def _prefiltered(spark, sf_dir):
-    return materialise(clean.prefilter(subjects(spark, sf_dir), R), "prefiltered")
+    return prefiltered(spark, sf_dir, R)
 
 
 def _filled(spark, sf_dir):
@@ -103,7 +103,7 @@ def q_features(spark, sf_dir):
 @register("zscore", curated_ctes() + "SELECT subject_id, "
           + ", ".join(r6(f"{c}_norm", f"{c}_norm") for c in NRM) + " FROM curated")
 def q_zscore(spark, sf_dir):
-    df, _ = build_curated(spark, sf_dir, R)
+    df, _ = clean.fit_transform(_prefiltered(spark, sf_dir), R)
     return rounded(df.select("subject_id", *[f"{c}_norm" for c in NRM]))
 
 
