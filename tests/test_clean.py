@@ -81,3 +81,12 @@ def test_union_added_marks_label_source(spark):
     u = clean.union_added(base, added)
     assert {r.id: r.label_source for r in u.collect()} == {1: "observed", 9: "imputed"}
     assert [r.id for r in clean.observed_only(u).collect()] == [1]
+
+
+def test_explorer_paging_and_keyset(spark):
+    from cohortlens.operators import explore as X
+    df = spark.createDataFrame([(i, "F" if i % 2 else "M", 0, 0, 10, 10, 10) for i in range(1, 12)], SCHEMA)
+    total, pages, page, rows = X.explorer_page(df, R, {"sex": "F"}, page=9, page_size=4)
+    assert (total, pages, page) == (6, 2, 2)
+    assert [r.id for r in rows.collect()] == [9, 11]
+    assert [r.id for r in X.keyset_page(df, R, 7, 3).collect()] == [8, 9, 10]
