@@ -163,9 +163,9 @@ CATS = ["segment", "flag"]
 def q_train_reg(spark, sf_dir):
     """O-87/O-89/O-90: both variants (without and with prior periods); long metrics table."""
     df = curated(spark, sf_dir)
-    _, m1 = M.train_regression(df, "subject_id", "g3", NUMERIC_HABITS, CATS, "habits")
-    _, m2 = M.train_regression(df, "subject_id", "g3", NUMERIC_HABITS + ["g1", "g2"], CATS, "with_periods")
-    return m1.unionByName(m2)
+    variants = [(NUMERIC_HABITS, "habits"), (NUMERIC_HABITS + ["g1", "g2"], "with_periods")]
+    res = M._concurrently(lambda v: M.train_regression(df, "subject_id", "g3", v[0], CATS, v[1])[1], variants)
+    return res[0].unionByName(res[1])
 
 
 @register("train_classifier")
