@@ -116,9 +116,8 @@ def what_if_cohort(df: DataFrame, roles: Roles, scorer, deltas: dict[str, float]
     if isinstance(scorer, LinearScorer):
         scored = cohort.select(scorer.expr().alias("before"), scorer.expr(after).alias("after"))
     else:
-        # one exploded frame (before, after) scored in a single transform
-        key = F.monotonically_increasing_id().alias("__row")
-        base = cohort.select(key, *cohort.columns)
+        # one frame holding both versions of each row (paired by the table key), scored in one transform
+        base = cohort.withColumn("__row", F.col(roles.id))
         both = base.withColumn("__v", F.lit(0)).unionByName(base.withColumns(after).withColumn("__v", F.lit(1)))
         s = scorer.score(both)
         scored = s.groupBy("__row").agg(F.max(F.when(F.col("__v") == 0, F.col("pred"))).alias("before"),
