@@ -125,6 +125,21 @@ def mean_by_category(df: DataFrame, roles: Roles, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-40
+# Quantile methods: "map" — exact, Spark's `percentile` (a value→count map per
+# group, merged in one task per group: for value domains of bounded size such as
+# grades or counts); "prefix" — exact and distributed (`ranks.exact_quantiles`:
+# for continuous values of unbounded domain, e.g. prices on a fact table);
+# "approx" — bounded-memory sketch (`percentile_approx`).
+QUANTILE_METHODS = ("map", "prefix", "approx")
+
+
+def _method(method: str | None, approx: bool) -> str:
+    m = method or ("approx" if approx else "map")
+    if m not in QUANTILE_METHODS:
+        raise ValueError(f"unknown quantile method: {m}")
+    return m
+
+
 def quantiles(x: Column, probs, approx: bool = False, accuracy: int = 10000) -> Column:
     """Exact (linear interpolation, a value→count map per group) or, opt-in,
     approximate (bounded-memory sketch) quantiles as an array column."""
@@ -132,12 +147,23 @@ def quantiles(x: Column, probs, approx: bool = False, accuracy: int = 10000) ->
     return F.percentile_approx(x, arr, accuracy) if approx else F.percentile(x, arr)
 
 
-def group_profile(df: DataFrame, value: str, by: str, approx: bool = False) -> DataFrame:
-    """Mean, count and quartiles of `value` per group (one aggregate); exact by
-    default, `approx=True` for high-cardinality continuous values at scale."""
+def group_profile(df: DataFrame, value: str, by: str, approx: bool = False,
+                  method: str | None = None) -> DataFrame:
+    """Mean, count and quartiles of `value` per group; exact by default (see
+    QUANTILE_METHODS for the choice at scale)."""
     if by not in df.columns:
         raise ValueError(f"unknown column: {by}")
-    q = quantiles(F.col(value), (0.25, 0.5, 0.75), approx)
+    m = _method(method, approx)
+    if m == "prefix":
+        from .ranks import exact_quantiles
+
+        base = df.groupBy(by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+        q = exact_quantiles(df, [value], (0.25, 0.5, 0.75), by=[by]).select(
+            F.col(by).alias("__by"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+        # one row per group on both sides; groups whose values are all NULL keep NULL quartiles
+        out = base.join(q, base[by].eqNullSafe(q["__by"]), "left")
+        return out.select(by, "mean", "n", "q1", "median", "q3")
+    q = quantiles(F.col(value), (0.25, 0.5, 0.75), m == "approx")
     return (
         df.groupBy(by)
         .agg(F.avg(value).alias("mean"), F.count(value).alias("n"), q.alias("_q"))
@@ -264,28 +290,38 @@ def subgroup_vs_all(df: DataFrame, roles: Roles, mask: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-49, O-61
-def column_profile_numeric(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
+def column_profile_numeric(df: DataFrame, cols=None, approx: bool = False,
+                           method: str | None = None) -> DataFrame:
     """mean, median, std (0.0 for one value), min, max per numeric column, long
     form; columns that are entirely NULL are skipped."""
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     if not cols:
         raise ValueError("no numeric column")
+    m = _method(method, approx)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
+        med = [] if m == "prefix" else [quantiles(x, (0.5,), m == "approx")[0].alias("median")]
         aggs.append(F.struct(
             F.lit(c).alias("column"),
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),
-            quantiles(x, (0.5,), approx)[0].alias("median"),
+            *med,
             F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
         ).alias(f"p{i}"))
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(cols))])).alias("p"))
-    return long.select("p.*").filter(F.col("n") > 0)
+    long = long.select("p.*").filter(F.col("n") > 0)
+    if m == "prefix":
+        from .ranks import exact_quantiles
+
+        med = exact_quantiles(df, cols, (0.5,)).select(F.col("field").alias("column"), F.col("q0").alias("median"))
+        # both sides hold one row per column
+        long = long.join(F.broadcast(med), "column").select("column", "n", "mean", "median", "std", "min", "max")
+    return long
 
 
 def column_profile_text(df: DataFrame, cols=None, top: int = 20) -> DataFrame:

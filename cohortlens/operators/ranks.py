@@ -59,26 +59,62 @@ def value_counts_before(df: DataFrame, col: str, parts: int | None = None) -> Da
     return prefix_sums(vc, [col], {"before": F.col("cnt")}, parts, inclusive=False)
 
 
-def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None) -> DataFrame:
-    """(field, value, cnt, before, n) for several columns from one scan: the
-    columns are unpivoted to (field, value), counted, and one two-level prefix
-    sum runs over (field, value); the per-field offsets are a table with one
-    row per column."""
-    pairs = df.select(F.explode(F.array(*[
+def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None, by=(),
+                              keep: bool = True) -> DataFrame:
+    """(by…, field, value, cnt, before, n) for several columns from one scan: the
+    columns are unpivoted to (field, value), counted per distinct value, and one
+    two-level prefix sum runs over (by…, field, value).  A group's rows are
+    contiguous in that order, so its offset is the smallest exclusive prefix in
+    the group and its size the sum of its counts: one combinable aggregate, no
+    window over the groups.  `keep` writes the table to the shared folder, for
+    callers that read it more than once."""
+    by = list(by)
+    pairs = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    vc = pairs.groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    run = prefix_sums(vc, ["field", "value"], {"run": F.col("cnt")}, parts, inclusive=False)
-    tot = run.groupBy("field").agg(F.sum("cnt").alias("n"))
-    off = tot.select("field", "n", F.coalesce(F.sum("n").over(
-        Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    out = run.join(F.broadcast(off), "field").select(
-        "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
+    ])).alias("p")).select(*by, "p.*").filter(F.col("value").isNotNull())
+    vc = pairs.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    run = prefix_sums(vc, [*by, "field", "value"], {"run": F.col("cnt")}, parts, inclusive=False)
+    grp = run.groupBy(*by, "field").agg(F.sum("cnt").alias("n"), F.min("run").alias("off"))
+    g = grp.select(*[F.col(b).alias(f"__g_{b}") for b in by], F.col("field").alias("__g_field"), "n", "off")
+    if not by:
+        g = F.broadcast(g)  # one row per column
+    cond = reduce(lambda a, b: a & b, [run[b].eqNullSafe(g[f"__g_{b}"]) for b in by], run["field"] == g["__g_field"])
+    out = run.join(g, cond).select(
+        *by, "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
+    if not keep:
+        return out
     # one row per distinct value: written once, then joined as often as needed
     from ..plans.curated import materialise
     return materialise(out, "value-prefix")
 
 
+def exact_quantiles(df: DataFrame, cols, probs, by=(), parts: int | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation between the values at ranks
+    floor/ceil of p·(n−1), as Spark's `percentile`) of several columns, per
+    group of `by`: (by…, field, q0, q1, …).
+
+    Unlike `percentile` no group's value→count map is merged in one task: the
+    distinct values are counted (combinable) and prefix-summed across range
+    partitions, and each quantile reads the at most two distinct-value rows
+    whose rank interval holds floor/ceil of its position.
+    """
+    by = list(by)
+    vb = value_counts_before_multi(df, cols, parts, by, keep=False)  # read once, by the filter below
+    hit, picks, out = [], [], []
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1).cast("double") * float(p)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        in_lo = (F.col("before") <= lo) & (lo < F.col("before") + F.col("cnt"))
+        in_hi = (F.col("before") <= hi) & (hi < F.col("before") + F.col("cnt"))
+        hit += [in_lo, in_hi]
+        picks += [F.max(F.when(in_lo, F.col("value"))).alias(f"__lo{i}"),
+                  F.max(F.when(in_hi, F.col("value"))).alias(f"__hi{i}")]
+        out.append(F.when(hi == lo, F.col(f"__lo{i}")).otherwise(
+            (hi - pos) * F.col(f"__lo{i}") + (pos - lo) * F.col(f"__hi{i}")).alias(f"q{i}"))
+    sel = vb.filter(reduce(lambda a, b: a | b, hit))
+    return sel.groupBy(*by, "field", "n").agg(*picks).select(*by, "field", *out)
+
+
 # ---------------------------------------------------------------- O-56
 def percentile_rank(df: DataFrame, key: str, cols, scale: float = 100.0, digits: int = 1,
                     parts: int | None = None) -> DataFrame:

@@ -79,7 +79,8 @@ def q_group_profile(spark, sf_dir):
 @register("group_profile_lineitem", _GP_SQL.format(by="l_returnflag", v="l_extendedprice", t="lineitem"))
 def q_group_profile_li(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
-    return rounded(X.group_profile(li, "l_extendedprice", "l_returnflag"))
+    # prices are continuous: exact quartiles without a per-group value map
+    return rounded(X.group_profile(li, "l_extendedprice", "l_returnflag", method="prefix"))
 
 
 @register("banded_mean", with_curated("""SELECT CAST(band AS INT) AS band, CAST(band_lo AS DOUBLE) AS band_lo,
@@ -174,7 +175,9 @@ LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @register("column_profile_lineitem", _profile_num_sql(LI_NUM, "lineitem"))
 def q_profile_li(spark, sf_dir):
-    return rounded(X.column_profile_numeric(read(spark, sf_dir, "lineitem"), LI_NUM).withColumnRenamed("column", "column_name"))
+    li = read(spark, sf_dir, "lineitem")
+    # l_extendedprice is continuous: exact medians without a per-column value map
+    return rounded(X.column_profile_numeric(li, LI_NUM, method="prefix").withColumnRenamed("column", "column_name"))
 
 
 PROFILE_TXT = ["segment", "flag", "perf_band", "progress_badge"]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions.pvalues import f_upper, t_two_sided
+from cohortlens.operators import explore as X
 from cohortlens.operators import ranks as K
 from cohortlens.operators import stats as S
 
@@ -84,3 +85,36 @@ def test_multi_column_prefix_table(spark):
     got = {(r.field, r.value): (r.cnt, r.before, r.n) for r in K.value_counts_before_multi(df, ["a", "b"], 3).collect()}
     assert got == {("a", 1.0): (1, 0, 4), ("a", 2.0): (2, 1, 4), ("a", 3.0): (1, 3, 4),
                    ("b", 1.0): (1, 0, 3), ("b", 5.0): (2, 1, 3)}
+
+
+def test_exact_quantiles_match_percentile(spark):
+    rng = random.Random(7)
+    rows = []
+    for g, n in (("a", 200), ("b", 1), ("c", 37), (None, 15)):
+        for _ in range(n):
+            # few distinct values in x (ties), continuous y with some NULLs
+            rows.append((g, float(rng.randint(0, 6)), None if rng.random() < 0.1 else rng.uniform(-5, 5)))
+    rows += [("z", None, None), ("z", None, None)]  # a group whose values are all NULL
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = K.exact_quantiles(df, ["x", "y"], probs, by=["g"], parts=3)
+    ref = df.groupBy("g").agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in ("x", "y")])
+    want = {}
+    for r in ref.collect():
+        for c in ("x", "y"):
+            if r[c] is not None:
+                want[(r["g"], c)] = r[c]
+    have = {(r["g"], r["field"]): [r[f"q{i}"] for i in range(len(probs))] for r in got.collect()}
+    assert set(have) == set(want)
+    for k, v in want.items():
+        assert have[k] == pytest.approx(v, abs=1e-9), k
+    # ungrouped, through the column profile
+    prof = {r["column"]: r["median"] for r in X.column_profile_numeric(df, ["x", "y"], method="prefix").collect()}
+    base = {r["column"]: r["median"] for r in X.column_profile_numeric(df, ["x", "y"]).collect()}
+    assert prof == pytest.approx(base, abs=1e-9)
+    gp = sorted(X.group_profile(df, "y", "g", method="prefix").collect(), key=lambda r: str(r["g"]))
+    gm = sorted(X.group_profile(df, "y", "g").collect(), key=lambda r: str(r["g"]))
+    assert [(r["g"], r["n"]) for r in gp] == [(r["g"], r["n"]) for r in gm]
+    for a, b in zip(gp, gm):
+        for c in ("mean", "q1", "median", "q3"):
+            assert (a[c] is None and b[c] is None) or a[c] == pytest.approx(b[c], abs=1e-9)
