@@ -225,6 +225,8 @@ def greedy_plan(df: DataFrame, roles: Roles, scorer: LinearScorer, key: str, tar
                     F.lit(False).alias("stop"))
     tgt = F.lit(Decimal(str(target_grade))).cast(DEC)
 
+    moves = F.array(*[F.lit(float(lev[2] * lev[3])) for _, lev in lv])
+
     def step(acc, _i):
         v, p = acc["v"], acc["p"]
         cands = []
@@ -235,13 +237,17 @@ def greedy_plan(df: DataFrame, roles: Roles, scorer: LinearScorer, key: str, tar
             ok = _within(v[k], lever) & (gain > 0)
             cands.append(F.when(ok, F.struct(gain.alias("g"), F.lit(-k).alias("o"), F.lit(k).alias("k"))))
         best = F.array_max(F.filter(F.array(*cands), lambda s: s.isNotNull()))
-        done = acc["stop"] | (p >= tgt) | best.isNull()
-        newv = F.transform(v, lambda x, j: F.when(j == best["k"], x + F.element_at(
-            F.array(*[F.lit(float(lev[2] * lev[3])) for _, lev in lv]), j + 1)).otherwise(x))
         stopped = F.struct(v.alias("v"), p.alias("p"), acc["n"].alias("n"), F.lit(True).alias("stop"))
-        moved = F.struct(newv.alias("v"), (p + best["g"]).cast(DEC).alias("p"), (acc["n"] + 1).alias("n"),
-                         F.lit(False).alias("stop"))
-        return F.when(done, stopped).otherwise(moved)
+
+        def take(b):
+            newv = F.transform(v, lambda x, j: F.when(j == b["k"], x + F.element_at(moves, j + 1)).otherwise(x))
+            moved = F.struct(newv.alias("v"), (p + b["g"]).cast(DEC).alias("p"), (acc["n"] + 1).alias("n"),
+                             F.lit(False).alias("stop"))
+            return F.when(b.isNull(), stopped).otherwise(moved)
+
+        # the candidates are evaluated only while the row is still moving, and the
+        # best one once per step (bound as the lambda variable of a one-element transform)
+        return F.when(acc["stop"] | (p >= tgt), stopped).otherwise(F.transform(F.array(best), take)[0])
 
     plan = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), init, step)
     extra = [roles.failures] if roles.failures and roles.failures not in names else []
