@@ -74,10 +74,15 @@ def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None, by=
     ])).alias("p")).select(*by, "p.*").filter(F.col("value").isNotNull())
     vc = pairs.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("cnt"))
     run = prefix_sums(vc, [*by, "field", "value"], {"run": F.col("cnt")}, parts, inclusive=False)
-    grp = run.groupBy(*by, "field").agg(F.sum("cnt").alias("n"), F.min("run").alias("off"))
+    if by:
+        grp = run.groupBy(*by, "field").agg(F.sum("cnt").alias("n"), F.min("run").alias("off"))
+    else:
+        # one row per column: the offsets are a window over that tiny table, and
+        # the totals need only the counts (the prefix windows are pruned away)
+        tot = run.groupBy("field").agg(F.sum("cnt").alias("n"))
+        grp = F.broadcast(tot.select("field", "n", F.coalesce(F.sum("n").over(
+            Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off")))
     g = grp.select(*[F.col(b).alias(f"__g_{b}") for b in by], F.col("field").alias("__g_field"), "n", "off")
-    if not by:
-        g = F.broadcast(g)  # one row per column
     cond = reduce(lambda a, b: a & b, [run[b].eqNullSafe(g[f"__g_{b}"]) for b in by], run["field"] == g["__g_field"])
     out = run.join(g, cond).select(
         *by, "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
