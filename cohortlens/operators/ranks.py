@@ -31,25 +31,41 @@ def ranged(df: DataFrame, order_cols: list[str], parts: int | None = None) -> Da
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
-                parts: int | None = None, inclusive: bool = True) -> DataFrame:
+                parts: int | None = None, inclusive: bool = True, groups=(),
+                with_totals: bool = False) -> DataFrame:
     """Adds `<name>` = running sum of each value over the global order (ties in
-    the order columns must be broken by the caller, e.g. with a key)."""
+    the order columns must be broken by the caller, e.g. with a key).
+
+    With `groups` (a prefix of `order_cols`) the sums restart in every group and
+    `with_totals` adds `<name>_total`, the group's sum.  Each range computes its
+    local sums per group; the offsets come from the (range, group) totals, a
+    table of at most ranges + groups rows, so a group spread over many ranges
+    is still summed in parallel."""
+    g = list(groups)
+    assert order_cols[:len(g)] == g, "groups must lead the order"
     base = df.withColumns({f"__v_{k}": v for k, v in values.items()})
     r = ranged(base, order_cols, parts)
-    w = Window.partitionBy("__part").orderBy(*order_cols)
+    w = Window.partitionBy("__part", *g).orderBy(*order_cols)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = r.withColumns({
         f"__l_{k}": F.coalesce(F.sum(f"__v_{k}").over(frame), F.lit(0)) for k in values
     })
-    totals = r.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
-    # one row per range: the cumulative offsets are a tiny window
-    wo = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "__part", *[F.coalesce(F.sum(f"__t_{k}").over(wo), F.lit(0)).alias(f"__o_{k}") for k in values]
-    )
-    out = local.join(F.broadcast(offsets), "__part")
+    totals = r.groupBy("__part", *g).agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in values])
+    # earlier ranges of the same group; without groups one row per range
+    wo = Window.partitionBy(*g).orderBy("__part")
+    cum = [F.coalesce(F.sum(f"__t_{k}").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+           .alias(f"__o_{k}") for k in values]
+    tot = [F.sum(f"__t_{k}").over(Window.partitionBy(*g)).alias(f"__n_{k}") for k in values] if with_totals else []
+    offsets = totals.select("__part", *[F.col(c).alias(f"__g_{c}") for c in g], *cum, *tot)
+    if g:
+        cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(offsets[f"__g_{c}"]) for c in g],
+                      local["__part"] == offsets["__part"])
+        out = local.join(offsets, cond)  # AQE broadcasts it when the group count allows
+    else:
+        out = local.join(F.broadcast(offsets), "__part")  # one row per range
     return out.select(
-        *df.columns, *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in values]
+        *[local[c] for c in df.columns], *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in values],
+        *[F.col(f"__n_{k}").alias(f"{k}_total") for k in values if with_totals],
     )
 
 
@@ -63,29 +79,16 @@ def value_counts_before_multi(df: DataFrame, cols, parts: int | None = None, by=
                               keep: bool = True) -> DataFrame:
     """(by…, field, value, cnt, before, n) for several columns from one scan: the
     columns are unpivoted to (field, value), counted per distinct value, and one
-    two-level prefix sum runs over (by…, field, value).  A group's rows are
-    contiguous in that order, so its offset is the smallest exclusive prefix in
-    the group and its size the sum of its counts: one combinable aggregate, no
-    window over the groups.  `keep` writes the table to the shared folder, for
-    callers that read it more than once."""
+    two-level prefix sum per (by…, field) group runs over the values (see
+    `prefix_sums`).  `keep` writes the table to the shared folder, for callers
+    that read it more than once."""
     by = list(by)
     pairs = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("p")).select(*by, "p.*").filter(F.col("value").isNotNull())
     vc = pairs.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    run = prefix_sums(vc, [*by, "field", "value"], {"run": F.col("cnt")}, parts, inclusive=False)
-    if by:
-        grp = run.groupBy(*by, "field").agg(F.sum("cnt").alias("n"), F.min("run").alias("off"))
-    else:
-        # one row per column: the offsets are a window over that tiny table, and
-        # the totals need only the counts (the prefix windows are pruned away)
-        tot = run.groupBy("field").agg(F.sum("cnt").alias("n"))
-        grp = F.broadcast(tot.select("field", "n", F.coalesce(F.sum("n").over(
-            Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off")))
-    g = grp.select(*[F.col(b).alias(f"__g_{b}") for b in by], F.col("field").alias("__g_field"), "n", "off")
-    cond = reduce(lambda a, b: a & b, [run[b].eqNullSafe(g[f"__g_{b}"]) for b in by], run["field"] == g["__g_field"])
-    out = run.join(g, cond).select(
-        *by, "field", "value", "cnt", (F.col("run") - F.col("off")).alias("before"), "n")
+    out = prefix_sums(vc, [*by, "field", "value"], {"before": F.col("cnt")}, parts, inclusive=False,
+                      groups=[*by, "field"], with_totals=True).withColumnRenamed("before_total", "n")
     if not keep:
         return out
     # one row per distinct value: written once, then joined as often as needed
