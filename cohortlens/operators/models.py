@@ -41,17 +41,14 @@ def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stratified_split(df: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Exact per-class 80/20: rows ordered by (label, hash, key); the position
-    inside the class comes from a global prefix count minus the class offset."""
+    """Exact per-class 80/20: rows ordered by (hash, key) inside each class; the
+    position inside the class and the class size come from one grouped prefix
+    count (rows without a label take no part)."""
     h = F.xxhash64(F.col(key), F.lit(SEED))
-    d = df.withColumn("__h", h)
-    pos = prefix_sums(d, [label, "__h", key], {"__pos": F.lit(1).cast("bigint")})
-    sizes = d.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    offs = prefix_sums(sizes, [label], {"__off": F.col("__n")}, inclusive=False)
-    j = pos.join(F.broadcast(offs), label)  # one row per class
-    within = F.col("__pos") - F.col("__off")
-    n_test = F.round(F.col("__n") * (TEST_PCT / 100.0))
-    tagged = j.withColumn("__test", within <= n_test)
+    d = df.filter(F.col(label).isNotNull()).withColumn("__h", h)
+    j = prefix_sums(d, [label, "__h", key], {"__pos": F.lit(1).cast("bigint")}, groups=[label], with_totals=True)
+    n_test = F.round(F.col("__pos_total") * (TEST_PCT / 100.0))
+    tagged = j.withColumn("__test", F.col("__pos") <= n_test)
     cols = df.columns
     return tagged.filter(~F.col("__test")).select(*cols), tagged.filter(F.col("__test")).select(*cols)
 

@@ -118,3 +118,20 @@ def test_exact_quantiles_match_percentile(spark):
     for a, b in zip(gp, gm):
         for c in ("mean", "q1", "median", "q3"):
             assert (a[c] is None and b[c] is None) or a[c] == pytest.approx(b[c], abs=1e-9)
+
+
+def test_stratified_split_exact_per_class(spark):
+    from cohortlens.operators.models import TEST_PCT, stratified_split
+
+    rows = [(i, "a" if i % 10 < 7 else ("b" if i % 10 < 9 else "c")) for i in range(1, 538)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    train, test = stratified_split(df, "id", "y")
+    tr = {r["id"]: r["y"] for r in train.collect()}
+    te = {r["id"]: r["y"] for r in test.collect()}
+    assert not set(tr) & set(te)
+    assert set(tr) | set(te) == set(range(1, 538))
+    for cls in ("a", "b", "c"):
+        n = sum(1 for _, y in rows if y == cls)
+        assert sum(1 for y in te.values() if y == cls) == round(n * TEST_PCT / 100.0)
+    # stable across evaluations
+    assert {r["id"] for r in test.collect()} == set(te)
