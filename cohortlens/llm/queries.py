@@ -5,10 +5,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import vector_packing
-from .common import table
+from . import quality_qda, toxicity_gbt, vector_packing
+from .common import crc_fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,24 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"), **BYTE_BPE)
+
+
+#: A document counts as label 1 from this score on.
+THRESHOLD = 0.3
+
+
+@query
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = materialise(quality_qda.document_stats(docs), "quality-stats")  # read twice: to learn and to score
+    model = quality_qda.fit(quality_qda.labelled(stats, labels, "quality", folds=5, held_out=0))
+    scored = stats.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), quality_qda.score_column(model, F.col("stats")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query
+def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_gbt.fit(docs, labels, folds=4, held_out=2)
+    scored = model.score(docs.select("doc_id", "text")).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
