@@ -7,7 +7,8 @@ obfuscation (look-alike digits and signs, single letters with separators) is und
 Learning uses at most about `sample` labelled rows outside the held-out fold, chosen by a
 hash of the id (a documented bound: the broadcast id list, the trees and the calibration
 stay the same size on any corpus).  The sample is dealt into three parts by another hash:
-words whose document frequency among label 1 is significantly high (lexicon), trees, and
+lexicon (words and word beginnings whose document frequency among label 1 is
+significantly high, so inflected and compound forms are found too), trees, and
 calibration; below `SMALL` rows all three use every row.  Scoring reads every document
 in one pass without a shuffle.
 
@@ -50,6 +51,13 @@ _LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 _HIDDEN = re.compile(r"[@$!|0-9]")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){2,}(?!\w)")
 NEAR = 5
+STEMS = range(3, 8)  # lengths of the word beginnings in a learned lexicon
+
+
+def _forms(word: str) -> list[str]:
+    """The lexicon entries that a word matches: itself, closed by a blank, and its beginnings."""
+    return [word + " ", *(word[:k] for k in STEMS if k <= len(word))]
+
 
 NAMES = (
     "fixed_density", "fixed_hits", "fixed_distinct", "learned_density", "learned_hits", "near_second_person",
@@ -62,7 +70,8 @@ def toxic_stats(text: str, learned: frozenset[str]) -> list[float]:
     tokens = _WORD.findall(lower)
     n = max(len(tokens), 1)
     kinds = set(tokens)
-    fixed, extra = FIXED_LEXICON & kinds, learned & kinds
+    fixed = FIXED_LEXICON & kinds
+    extra = {w for w in kinds if not learned.isdisjoint(_forms(w))} if learned else set()
     fixed_hits = extra_hits = near = 0
     if fixed or extra:
         count = Counter(tokens)
@@ -120,17 +129,18 @@ def _margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     return scored.withColumn("_margin", vector_to_array("rawPrediction")[1])
 
 
-def _learn_lexicon(rows: DataFrame, least_share: float = 0.05, most: int = 200, z_least: float = 5.0) -> frozenset[str]:
-    """Words whose document frequency in label-1 texts is too high for chance, strongest first, at most `most`.
+def _learn_lexicon(rows: DataFrame, least_share: float = 0.03, odds: float = 8.0, most: int = 300, z_least: float = 5.0) -> frozenset[str]:
+    """Words and beginnings whose document frequency in label-1 texts is too high for chance, at most `most`, strongest first.
 
-    A word must be in `least_share` of the label-1 texts, so the vocabulary of one group of copies isn't learned.
+    Each must be in `least_share` of the label-1 texts, so the vocabulary of one group of copies isn't learned,
+    and `odds` times likelier there.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                found[y].update({w for w in _WORD.findall(text.lower()) if 2 < len(w) < 40})
+                found[y].update({f for w in set(_WORD.findall(text.lower())) if 2 < len(w) < 40 for f in _forms(w)})
             if len(found[0]) + len(found[1]) > 500_000:
                 yield frame(found)
                 found[0].clear()
@@ -146,7 +156,7 @@ def _learn_lexicon(rows: DataFrame, least_share: float = 0.05, most: int = 200,
     counts = rows.select("text", "y").mapInPandas(count, "word string, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     n = F.col("c0") + F.col("c1")
     z = (F.col("c1") - n * p) / F.sqrt(n * p * (1 - p))
-    best = counts.where((F.col("c1") >= max(4, least_share * totals["n1"])) & (F.col("c1") >= 3 * F.col("c0") * p / (1 - p))).withColumn("z", z).where(F.col("z") >= z_least)
+    best = counts.where((F.col("c1") >= max(4, least_share * totals["n1"])) & (F.col("c1") >= odds * F.col("c0") * p / (1 - p))).withColumn("z", z).where(F.col("z") >= z_least)
     return frozenset(r["word"] for r in best.orderBy(F.desc("z"), "word").limit(most).collect())
 
 
