@@ -51,7 +51,7 @@ _LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
 _HIDDEN = re.compile(r"[@$!|0-9]")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){2,}(?!\w)")
 NEAR = 5
-STEMS = range(3, 8)  # lengths of the word beginnings in a learned lexicon
+STEMS = range(4, 8)  # lengths of the word beginnings in a learned lexicon
 
 
 def _forms(word: str) -> list[str]:
@@ -129,7 +129,7 @@ def _margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     return scored.withColumn("_margin", vector_to_array("rawPrediction")[1])
 
 
-def _learn_lexicon(rows: DataFrame, least_share: float = 0.03, odds: float = 8.0, most: int = 300, z_least: float = 5.0) -> frozenset[str]:
+def _learn_lexicon(rows: DataFrame, least_share: float = 0.03, odds: float = 15.0, most: int = 300, z_least: float = 5.0) -> frozenset[str]:
     """Words and beginnings whose document frequency in label-1 texts is too high for chance, at most `most`, strongest first.
 
     Each must be in `least_share` of the label-1 texts, so the vocabulary of one group of copies isn't learned,
