@@ -1,6 +1,10 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +33,24 @@ def text_or_empty(col: str) -> Column:
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id written as text, modulo `folds` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)
+
+
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it.
+
+    The zip file is staged on the driver for as long as its process lives; Spark's own file
+    distribution does the rest.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        staging = tempfile.TemporaryDirectory(prefix=f"{root.name}-ship-")
+        for p in root.rglob("*.py"):
+            to = Path(staging.name, "src", root.name, p.relative_to(root))
+            to.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copyfile(p, to)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{staging.name}/{root.name}-tasks", "zip", f"{staging.name}/src"))
+        _SHIPPED[app] = staging

@@ -1,14 +1,15 @@
 """Registered queries of the operators here: QUERIES (name -> builder) and ORACLE (name -> DuckDB SQL)."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_qda, toxicity_gbt, vector_packing
-from .common import crc_fold, materialise, table
+from . import jaccard_join, quality_qda, toxicity_gbt, vector_packing
+from .common import crc_fold, materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,8 +24,13 @@ BYTE_BPE = {
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
@@ -51,3 +57,8 @@ def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_gbt.fit(docs, labels, folds=4, held_out=2)
     scored = model.score(docs.select("doc_id", "text")).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
