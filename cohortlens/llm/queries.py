@@ -5,10 +5,10 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_qda, toxicity_gbt, vector_packing
+from . import cross_polytope, jaccard_join, pivot_topk, quality_qda, toxicity_gbt, vector_packing
 from .common import crc_fold, materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,15 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 THRESHOLD = 0.3
 
 
+def _hundredth(vec_id: Column) -> Column:
+    return vec_id % 100 == 0
+
+
+@query
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
 @query
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -59,6 +68,11 @@ def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+@query
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), _hundredth)
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
