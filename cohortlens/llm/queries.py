@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, jaccard_join, pivot_topk, quality_qda, toxicity_gbt, vector_packing
+from . import cross_polytope, jaccard_join, pivot_topk, quality_qda, toxicity_gbt, trie_bpe, vector_packing
 from .common import crc_fold, materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ BYTE_BPE = {
 }
 
 
+#: Vocabulary of op5; the pattern is the one in its file.
+WORD_BPE = {
+    "path": public_tokenizers.path("word_bpe_49k.json"),
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +40,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+@query
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.encode(table(spark, sf_dir, "documents"), **WORD_BPE, ids=False)
+
+
 @query
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"), **BYTE_BPE)
