@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, jaccard_join, pivot_topk, quality_qda, toxicity_gbt, trie_bpe, vector_packing
+from . import cross_polytope, jaccard_join, page_diff, pivot_topk, quality_qda, toxicity_gbt, trie_bpe, vector_packing
 from .common import crc_fold, materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
