@@ -33,7 +33,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -51,7 +50,7 @@ LIGHT_MOST = 32  # sizes looked at for the boundary
 class _Words(dict):
     """64-bit hash of each word, kept for at most `most` words."""
 
-    most = 500_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -128,7 +127,7 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int32)
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             n, sig = [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
@@ -189,7 +188,7 @@ def _second_pass(docs: DataFrame, words: int, rule: Rule, boundary: int, table,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = table.value, set()
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             keys, parts, sigs, sizes, lights = [], [], [], [], []
 
             def flush():
@@ -206,7 +205,7 @@ def _second_pass(docs: DataFrame, words: int, rule: Rule, boundary: int, table,
                 sig = signature(s)
                 if not n or sig in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sig)
                 found = []
@@ -242,7 +241,7 @@ def _jaccard_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for b, x, y in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if last != b:
@@ -324,12 +323,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _texts(source: DataFrame, live: DataFrame, words: int) -> DataFrame:
     """One text for each set in a list: its class's smallest document (an id may come with other texts too)."""
 
-    @F.pandas_udf("long")
-    def sig_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(shingle_set(t, words)) for t in texts], dtype="int64")
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            same = [signature(shingle_set(t, words)) == s for t, s in zip(batch.column("text").to_pylist(), batch.column("sig").to_pylist(), strict=True)]
+            yield batch.select(["sig", "text"]).filter(pa.array(same, pa.bool_()))
 
     found = source.join(live, "id").dropDuplicates(["id", "sig", "text"])
-    return found.where(sig_of("text") == F.col("sig")).select("sig", "text")
+    return found.select("sig", "text").mapInArrow(own, "sig long, text string")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
