@@ -13,11 +13,11 @@ c(a, b) = ceil(t (a + b) / (1 + t)) elements.  Documents with the same set are o
 * The boundary is the largest size up to which enumerating costs no more rows than scanning,
   from the sizes of all classes.
 
-Lists are never expanded into all pairs.  Every list names a leader; a set is first checked
-against the leader it meets in most lists, then against its other leaders, and what these links
-connect is one component.  Only pairs of sets in different components that still share a list
-are enumerated, and of those only the ones sharing enough of their list elements for a link to
-be possible are compared on whole texts.  No link between different components is lost, so the
+Lists are never expanded into all pairs.  The sets of a list are ranked by the number of lists
+that they share, and the first one leads; a set is checked against the leader it meets in most
+lists, then, as long as they are not in one component, against other leaders.  Only pairs of sets in different components that still share a list
+are enumerated, where they meet early enough in both; and whatever the pair, only sets sharing enough
+of their list elements for a link to be possible are compared on whole texts.  No link between different components is lost, so the
 components are exact.  A list with more than `split` sets is dealt into parts with a leader each.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased; a text with
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
@@ -45,6 +45,7 @@ from .components import components
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
 BUCKETS, CHUNKS = 1 << 20, 64  # the count table, and the rows it travels in
 LIGHT_MOST = 32  # sizes looked at for the boundary
+LEADERS = 5  # sets of a list that others are checked against one by one
 
 
 class _Words(dict):
@@ -174,7 +175,8 @@ def boundary_by_cost(rule: Rule, sizes: dict[int, int], scan: float = 2.0) -> in
 
 
 def _second_pass(docs: DataFrame, words: int, rule: Rule, boundary: int, table, split: int) -> DataFrame:
-    """Rows (key, part, sig, n, light): subset keys of light sets, list elements of the others."""
+    """Rows (key, part, sig, n, light): subset keys of light sets (light: the smaller size of the subset's
+    pair), list elements of the others (light: -1 less the place among the list elements)."""
     least_heavy = -(-rule.percent * (boundary + 1) // 100)
 
     def light(s: np.ndarray) -> list[tuple[int, int]]:
@@ -217,7 +219,7 @@ def _second_pass(docs: DataFrame, words: int, rule: Rule, boundary: int, table,
                     first = np.argsort(count, kind="stable")[:rule.prefix(n)]
                     many = (count[first] + split - 1) // split
                     part = np.where(many > 1, 1 + (sig % (1 << 31)) % np.maximum(many, 1), 0).astype(np.int32)
-                    found.append((s[first].view(np.int64), part, np.zeros(len(first), dtype=np.int32)))
+                    found.append((s[first].view(np.int64), part, -1 - np.arange(len(first), dtype=np.int32)))
                 for key, part, small in found:
                     m = len(key)
                     keys.append(key)
@@ -272,44 +274,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boundary = boundary_by_cost(rule, sizes)
 
     rows = _second_pass(source.where("id is not null"), words, rule, boundary, table, split)
-    listed = Window.partitionBy("key", "part", "light")
-    ordered = listed.orderBy("n", "sig")
-    member = F.struct("sig", "n")
-    lists = rows.select(
+    listed = Window.partitionBy("key", "part", "kind")
+    lists = rows.withColumn("kind", F.greatest("light", F.lit(0))).select(
         "key", "part", "sig", "n", "light",
         F.min(F.when(F.col("light") > 0, F.struct("n", "sig"))).over(listed).alias("smallest"),
-        F.min(member).over(listed).alias("leader"), F.max("sig").over(listed).alias("last"),
-    ).where("part > 0 or leader.sig != last")
+        F.min("sig").over(listed).alias("lo"), F.max("sig").over(listed).alias("hi"),
+    ).where("part > 0 or lo != hi").drop("lo", "hi")
     lists = materialise(lists, "lists")
 
     light = lists.where("light > 0 and smallest.n = light and sig != smallest.sig").select(F.col("sig").alias("a"), F.col("smallest.sig").alias("b"))
-    heavy = lists.where("light = 0")
-    parts = heavy.where("part > 0").select("key", F.col("leader.sig").alias("sig"), F.col("leader.n").alias("n")).distinct()
-    between = parts.withColumn("leader", F.min(member).over(Window.partitionBy("key")))
-    ratio = (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")) & (F.col("sig") != F.col("leader.sig"))
-    met = heavy.select("sig", "n", "leader").union(between.select("sig", "n", "leader")).where(ratio)
-    met = materialise(met.groupBy(F.col("sig").alias("a"), F.col("leader.sig").alias("b")).agg(F.count("*").alias("lists")), "led")
-
-    live = heavy.select("sig").distinct().join(classes.select("sig", "id"), "sig")
+    heavy = lists.where("light < 0").select("key", "part", "sig", "n", (-1 - F.col("light")).alias("place")).distinct()
+    # a set that shares many of its elements is the likeliest to link with others: it leads its lists
+    weight = heavy.groupBy("sig").agg(F.count("*").alias("weight"))
+    own = Window.partitionBy("key", "part").orderBy(F.desc("weight"), "sig")
+    ranked = heavy.join(weight, "sig").withColumns({"rank": F.row_number().over(own), "leader": F.first(F.struct("sig", "n")).over(own)})
+    heavy = materialise(ranked, "ranked")
+    elements = materialise(heavy.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("key").alias("keys")), "elements")
+    live = elements.join(classes.select("sig", "id"), "sig").select("sig", "id")
     texts = materialise(_texts(source, live, words), "texts")
 
+    parts = heavy.where("part > 0 and rank = 1")
+    between = parts.withColumn("leader", F.first(F.struct("sig", "n")).over(Window.partitionBy("key").orderBy(F.desc("weight"), "sig")))
+    led = heavy.select(F.col("sig").alias("a"), F.col("leader.sig").alias("b")).union(between.select("sig", "leader.sig")).where("a != b")
+    met = materialise(_possible(led.groupBy("a", "b").agg(F.count("*").alias("lists")), elements, percent), "met")
     best = met.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
-    links = materialise(light.union(_jaccard_links(best, texts, words, percent)), "links1")
+    links = materialise(light.union(_jaccard_links(best, texts, words, percent)), "links")
 
-    roots = components(links)
-    apart = _apart(met.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
-    links = materialise(links.union(_jaccard_links(apart, texts, words, percent)), "links2")
+    leaders = heavy.where(F.col("rank").between(2, LEADERS)).select("key", "part", F.col("sig").alias("b"))
+    star = heavy.select("key", "part", F.col("sig").alias("a")).join(leaders, ["key", "part"]).where("a != b").select("a", "b")
+    apart = _apart(star.union(met.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), components(links))
+    links = materialise(links.union(_jaccard_links(_possible(apart, elements, percent), texts, words, percent)), "links")
 
-    rooted = materialise(_rooted(heavy.select("key", "sig", "n"), links), "rooted")
+    rooted = materialise(_rooted(heavy.select("key", "sig", "n", "place"), links), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = rooted.join(mixed, "key").distinct()
-    a, b = left.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), left.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    beyond = lambda n: F.ceil(F.col(n) * percent / F.lit(100)) - 1  # noqa: E731  elements of a set after its list elements
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    possible = shared.where(F.col("k") + F.greatest(beyond("na"), beyond("nb")) >= needed).select("a", "b")
-    links = links.union(_jaccard_links(possible, texts, words, percent))
+    left = rooted.join(mixed, "key")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "place", "root")]) for side in "ab")
+    least = _least_common(F.col("n_a"), F.col("n_b"), percent)
+    early = (F.col("place_a") <= _prefix(F.col("n_a"), percent) - least) & (F.col("place_b") <= _prefix(F.col("n_b"), percent) - least)
+    pairs = x.join(y, "key").where((F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b")) & early & _near(F.col("n_a"), F.col("n_b"), percent))
+    pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
+    links = links.union(_jaccard_links(_possible(pairs, elements, percent), texts, words, percent))
 
     roots = components(links).withColumnRenamed("v", "sig")
     named = classes.join(roots, "sig", "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
@@ -339,6 +343,35 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(k, rows)
 
 
+def _near(n: Column, m: Column, percent: int) -> Column:
+    """Sizes that allow a link."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _prefix(n: Column, percent: int) -> Column:
+    """List elements of a set of n."""
+    return n - F.ceil(percent * n / F.lit(100)) + 1
+
+
+def _least_common(n: Column, m: Column, percent: int) -> Column:
+    """List elements that linked sets have in common at least.
+
+    All common elements up to the earlier one of the two last list elements are list elements of both,
+    and after it only the rest of that set is left.  So the first common one is no later
+    than this number of places before the end of either set's list elements."""
+    needed = F.ceil(percent * (n + m) / F.lit(100 + percent))
+    rest = F.greatest(n - _prefix(n, percent), m - _prefix(m, percent))
+    return F.greatest(needed - rest, F.lit(1))
+
+
+def _possible(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ...) with sizes and common list elements that allow a link."""
+    x, y = (elements.select(*[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "keys")]) for side in "ab")
+    both = pairs.join(x, F.col("a") == F.col("sig_a")).join(y, F.col("b") == F.col("sig_b"))
+    common = F.size(F.array_intersect("keys_a", "keys_b"))
+    return both.where(_near(F.col("n_a"), F.col("n_b"), percent) & (common >= _least_common(F.col("n_a"), F.col("n_b"), percent))).select(*pairs.columns)
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) not yet in one component."""
     ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
