@@ -1,33 +1,8 @@
-"""Exact top-k per group that does not put a whole group into one task.
-
-A plain `row_number().over(partitionBy(g))` sorts every member of a group in a
-single task, so one group holding a third of the rows would hold a third of the
-data in one task.  Here each group is first split into `salt` buckets by a
-hash of the ordering key; the top k of every bucket is kept, then the top k of
-those (at most k·salt rows per group) is taken.  The global top k is always
-among the bucket winners, so the result is exact.
-"""
+"""Most frequent values as combinable aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def top_k_per_group(df: DataFrame, group_cols, order: list[Column], k: int, salt: int = 32,
-                    salt_cols=None, rank_col: str = "rank") -> DataFrame:
-    group_cols = list(group_cols)
-    salt_cols = list(salt_cols or [c for c in df.columns if c not in group_cols])
-    bucket = F.pmod(F.xxhash64(*salt_cols), F.lit(salt))
-    w1 = Window.partitionBy(*group_cols, "__b").orderBy(*order)
-    stage = (
-        df.withColumn("__b", bucket)
-        .withColumn("__r", F.row_number().over(w1))
-        .filter(F.col("__r") <= k)
-        .drop("__b", "__r")
-    )
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return stage.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
 
 
 def modes(df: DataFrame, cols) -> dict:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.topk import modes, top_k_per_group
+from ..functions.paging import numbered_page
+from ..functions.topk import modes
 from ..roles import Roles
 
 
@@ -48,12 +49,7 @@ def explorer_page(df: DataFrame, roles: Roles, equals: dict | None = None, page:
     """
     if page_size < 1:
         raise ValueError("page_size must be >= 1")
-    f = subgroup(df, roles, equals=equals)
-    total = f.count()
-    pages = max(1, -(-total // page_size))
-    page = min(max(1, page), pages)
-    rows = f.orderBy(roles.id).offset((page - 1) * page_size).limit(page_size)
-    return total, pages, page, rows
+    return numbered_page(subgroup(df, roles, equals=equals), roles.id, page, page_size)
 
 
 def keyset_page(df: DataFrame, roles: Roles, after_key, page_size: int = 20) -> DataFrame:
@@ -337,9 +333,9 @@ def column_profile_text(df: DataFrame, cols=None, top: int = 20) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
     ])).alias("kv")).select("kv.*").filter(F.col("value").isNotNull())
     counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    # top values without sorting a whole column in one task (salted two-stage top-k)
-    best = top_k_per_group(counts, ["column"], [F.col("count").desc(), F.col("value")], top,
-                           salt_cols=["value"])
+    # Spark keeps the first `top` of each map task before the shuffle (WindowGroupLimit)
+    order = Window.partitionBy("column").orderBy(F.col("count").desc(), "value")
+    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     # distinct count per column is a combinable aggregate; one row per column
     nd = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     return best.join(F.broadcast(nd), "column")

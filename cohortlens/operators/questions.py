@@ -56,11 +56,12 @@ def _any(q: Column, words) -> Column:
 
 def subject_id(q: Column) -> Column:
     """Number within 5 non-digits after a keyword; else the only number when a
-    subject word is present; else NULL."""
+    subject word is present; else NULL.  A number beyond the range of BIGINT names
+    no subject (NULL)."""
     first = F.regexp_extract(q, ID_AFTER_KEYWORD, 1)
     nums = F.regexp_extract_all(q, F.lit(r"(\d+)"), 1)
     lone = F.when(q.rlike(SUBJECT_WORD) & (F.size(nums) == 1), nums[0])
-    return F.when(first != "", first).otherwise(lone).cast("bigint")
+    return F.when(first != "", first).otherwise(lone).try_cast("bigint")
 
 
 def target_grade(q: Column, sid: Column) -> Column:
@@ -68,7 +69,7 @@ def target_grade(q: Column, sid: Column) -> Column:
     nums = F.transform(F.regexp_extract_all(q, F.lit("(" + NUMBER + ")"), 1),
                        lambda s: F.regexp_replace(s, ",", ".").cast("double"))
     ok = F.filter(nums, lambda x: (x >= 0) & (x <= 20) & (sid.isNull() | (x != sid.cast("double"))))
-    return F.coalesce(F.element_at(ok, -1), F.lit(DEFAULT_TARGET))
+    return F.coalesce(F.try_element_at(ok, F.lit(-1)), F.lit(DEFAULT_TARGET))
 
 
 def route(df: DataFrame, text_col: str, keys) -> DataFrame:

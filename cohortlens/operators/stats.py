@@ -147,21 +147,24 @@ def ols_by(df: DataFrame, x: str, y: str, by: Column, by_name: str = "subpop") -
 
 
 # ---------------------------------------------------------------- O-75
-def scatter(df: DataFrame, x: str, y: str, key: str, max_points: int = 5000, seed: int = 7):
-    """Points (a seeded sample when above `max_points`; the sample is the
-    feature, the statistics use every row), the regression and its end points."""
-    if x == y:
-        raise ValueError("x and y must differ")
-    n = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).count()
-    pts = df.select(key, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if n > max_points:
-        pts = pts.sample(fraction=min(1.0, max_points / n * 1.1), seed=seed).orderBy(key).limit(max_points)
+def scatter(df: DataFrame, x: str, y: str, key: str):
+    """Every point with both values, and the regression with its end points (one row).
+
+    For x = y the points are still given, and the line's numbers are NULL.  An unknown
+    column is an error."""
+    unknown = [c for c in (x, y, key) if c not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown columns: {unknown}")
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    points = both.select(key, F.col(x).alias("x"), F.col(y).alias("y"))
     line = df.agg(*_ols_aggs(x, y), F.min(x).alias("x_min"), F.max(x).alias("x_max")).select(
         "n", "slope", "intercept", "r2", "x_min", "x_max",
         (F.col("intercept") + F.col("slope") * F.col("x_min")).alias("y_at_min"),
         (F.col("intercept") + F.col("slope") * F.col("x_max")).alias("y_at_max"),
     )
-    return pts, line
+    if x == y:
+        line = line.withColumns({c: F.lit(None).cast("double") for c in ("slope", "intercept", "r2", "y_at_min", "y_at_max")})
+    return points, line
 
 
 # ---------------------------------------------------------------- O-77

@@ -4,8 +4,10 @@ One request is scored against every reference row in a single projection;
 the k nearest come from `orderBy(distance, key).limit(k)`, which Spark runs
 as a per-partition top-k followed by a merge of k rows per partition
 (TakeOrderedAndProject) — no pairs are materialised and nothing is sorted in
-one task.  Missing fields are filled with the neighbours' median (numeric,
-half-even to an integer) or lowest mode (text).
+one task.  A row whose distance is unknown (a missing value in a known numeric
+field) is no neighbour.  With no known field there is no distance: the whole
+table is the neighbourhood and no row is closest.  Missing fields are filled with
+the neighbours' median (numeric, half-even to an integer) or lowest mode (text).
 """
 from __future__ import annotations
 
@@ -43,12 +45,13 @@ def suggest(df: DataFrame, key: str, known: dict, numeric, categorical, k: int =
     dist = F.lit(0.0)
     for t in terms:
         dist = dist + t
-    near = df.select(key, *fields, dist.alias("distance")).orderBy("distance", key).limit(k)
+    rows = df.select(key, *fields, dist.alias("distance"))
+    near = rows.filter(F.col("distance").isNotNull()).orderBy("distance", key).limit(k) if known else rows
     aggs = [F.bround(F.percentile(F.col(c), F.lit(0.5)), 0).cast("bigint").cast("string").alias(c)
             for c in numeric if c in missing]
     aggs += [F.mode(c, deterministic=True).alias(c) for c in categorical if c in missing]
     row = near.agg(*aggs)
     out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
                                           for c in missing])).alias("s")).select("s.*")
-    closest = near.orderBy("distance", key).limit(N_SHOWN).select(key, "distance")
+    closest = near.orderBy("distance", key).limit(N_SHOWN if known else 0).select(key, "distance")
     return out, closest

@@ -17,13 +17,13 @@ def _formula_rows(spark, sf_dir, text):
 
 
 @register("formula_row", with_curated(
-    "SELECT subject_id AS row_id, ROUND(g1 * 0.3 + g2 * 0.3 + g3 * 0.4, 6) AS resultado FROM curated"))
+    "SELECT subject_id AS row_id, ROUND(g1 * 0.3 + g2 * 0.3 + g3 * 0.4, 4) AS resultado FROM curated"))
 def q_formula_row(spark, sf_dir):
     return _formula_rows(spark, sf_dir, "G1 * 0.3 + G2 * 0.3 + G3 * 0.4")
 
 
 @register("formula_agg", with_curated(
-    "SELECT ROUND(AVG(g3) - quantile_cont(g3, 0.5) + STDDEV_SAMP(g3) * 2 + COUNT(g1) / COUNT(*), 6) AS resultado "
+    "SELECT ROUND(AVG(g3) - quantile_cont(g3, 0.5) + STDDEV_SAMP(g3) * 2 + COUNT(g1) / COUNT(*), 4) AS resultado "
     "FROM curated"))
 def q_formula_agg(spark, sf_dir):
     return rounded(FM.evaluate(curated(spark, sf_dir), "média(g3) - mediana(g3) + desvio(g3) * 2 + contar(g1) / contar()")
@@ -37,7 +37,7 @@ def q_formula_where(spark, sf_dir):
 
 
 @register("formula_mixed", with_curated(
-    "SELECT subject_id AS row_id, ROUND(g3 - (SELECT AVG(g3) FROM curated WHERE segment = 'BUILDING'), 6) AS resultado "
+    "SELECT subject_id AS row_id, ROUND(g3 - (SELECT AVG(g3) FROM curated WHERE segment = 'BUILDING'), 4) AS resultado "
     "FROM curated WHERE segment = 'BUILDING'"))
 def q_formula_mixed(spark, sf_dir):
     return _formula_rows(spark, sf_dir, "g3 - media(g3) where segment = 'BUILDING'")
@@ -46,7 +46,7 @@ def q_formula_mixed(spark, sf_dir):
 @register("formula_page", with_curated("""
 , r AS (SELECT subject_id AS row_id, (g1 + g2 + g3) / 3 AS resultado FROM curated WHERE failures >= 1)
 SELECT COUNT(*) AS total, GREATEST(1, CAST(CEIL(COUNT(*) / 20.0) AS BIGINT)) AS pages,
-       ROUND(AVG(resultado), 6) AS mean, ROUND(MIN(resultado), 6) AS min, ROUND(MAX(resultado), 6) AS max FROM r"""))
+       ROUND(AVG(resultado), 4) AS mean, ROUND(MIN(resultado), 4) AS min, ROUND(MAX(resultado), 4) AS max FROM r"""))
 def q_formula_page(spark, sf_dir):
     res = FM.evaluate(curated(spark, sf_dir), "(G1 + G2 + G3) / 3 onde failures >= 1", id_col="subject_id")
     total, pages, _, _, summary = FM.page(res, 1, 20)
@@ -54,6 +54,23 @@ def q_formula_page(spark, sf_dir):
                                   "mean", "min", "max"))
 
 
+@register("formula_page_rows", with_curated(
+    "SELECT subject_id AS row_id, ROUND((g1 + g2 + g3) / 3, 4) AS resultado FROM curated WHERE failures >= 1 "
+    "ORDER BY subject_id LIMIT 20 OFFSET 20"))
+def q_formula_page_rows(spark, sf_dir):
+    """O-125: the rows of the second page."""
+    res = FM.evaluate(curated(spark, sf_dir), "(G1 + G2 + G3) / 3 onde failures >= 1", id_col="subject_id")
+    return FM.page(res, 2, 20)[3]
+
+
+@register("formula_quoted", with_curated(
+    "SELECT subject_id AS row_id, CASE WHEN segment = 'onde' THEN 1 ELSE 0 END AS resultado FROM curated "
+    "WHERE segment <> 'b=c'"))
+def q_formula_quoted(spark, sf_dir):
+    """Keywords and `=` inside quoted text are text."""
+    return _formula_rows(spark, sf_dir, "se(segment == 'onde', 1, 0) where segment != 'b=c'")
+
+
 CUSTOMER_TEXT = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 

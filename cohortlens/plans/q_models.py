@@ -155,6 +155,29 @@ def q_knn(spark, sf_dir):
     return out
 
 
+_KNN_ALL = "absences failures n_orders".split()
+
+
+@register("knn_no_known_field", with_curated(
+    "SELECT 'effort' AS field, CAST(CAST(round_even(quantile_cont(effort, 0.5), 0) AS BIGINT) AS VARCHAR) AS value FROM curated "
+    + "".join(f"UNION ALL SELECT '{c}', CAST(CAST(round_even(quantile_cont({c}, 0.5), 0) AS BIGINT) AS VARCHAR) FROM curated " for c in _KNN_ALL)
+    + "".join(f"UNION ALL SELECT '{c}', (SELECT {c} FROM curated WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1) " for c in ("segment", "flag"))))
+def q_knn_nothing_known(spark, sf_dir):
+    """O-82 with no known field: the whole table is the neighbourhood."""
+    out, _ = SU.suggest(curated(spark, sf_dir), "subject_id", {"bogus": 1, "segment": ""}, ["effort", *_KNN_ALL], ["segment", "flag"])
+    return out
+
+
+@register("knn_closest", with_curated("""
+, sd AS (SELECT STDDEV_SAMP(effort) AS s FROM curated)
+SELECT subject_id, ROUND(POW((effort - 4.0) / sd.s, 2) + CASE WHEN flag = 'no' THEN 0.0 ELSE 6.25 END, 6) AS distance
+FROM curated c, sd WHERE effort IS NOT NULL ORDER BY 2, 1 LIMIT 6"""))
+def q_knn_closest(spark, sf_dir):
+    """O-64: the closest rows shown with the suggestion."""
+    _, near = SU.suggest(curated(spark, sf_dir), "subject_id", {"effort": 4, "flag": "no"}, KNN_NUM, KNN_CAT)
+    return rounded(near)
+
+
 NUMERIC_HABITS = ["n_orders", "effort", "failures", "absences"]
 CATS = ["segment", "flag"]
 
@@ -227,7 +250,7 @@ def q_segmentation(spark, sf_dir):
 
 @register("segment_export")
 def q_segment_export(spark, sf_dir):
-    """O-10: members per group (`;`-joined) or the (group, key) table for large groups."""
+    """O-10: the members of every group."""
     a, _, _ = SG.segment(curated(spark, sf_dir), R, SEG_FEATURES, k=4)
     return segment_members(a, "group", "subject_id")
 
@@ -268,6 +291,14 @@ def q_scatter(spark, sf_dir):
     return rounded(line)
 
 
+@register("scatter_points", with_curated(
+    "SELECT subject_id, absences AS x, g3 AS y FROM curated WHERE absences IS NOT NULL AND g3 IS NOT NULL"))
+def q_scatter_points(spark, sf_dir):
+    """O-75: every point."""
+    from ..operators import stats as S
+    return S.scatter(curated(spark, sf_dir), "absences", "g3", "subject_id")[0]
+
+
 # ---------------------------------------------------------------- O-91
 SCENARIOS = (("current", 0.0, 0.0), ("effort_up", 1.0, 0.0), ("absences_down", 0.0, -3.0))
 

@@ -62,8 +62,8 @@ def test_quick_wins_and_explain(spark):
 
 def test_name_dedupe_and_sniff():
     assert IN.dedupe_names(["Total", "Total", "Total", "Regiao"]) == ["Total", "Total_1", "Total_2", "Regiao"]
-    assert IN.sniff_delimiter("a;b;c\n1;2;3\n") == ";"
-    assert IN.normalize_for_detection("Tempo Livre (1-5)") == "tempo livre"
+    assert IN.sniff_delimiter(["a;b;c", "1;2;3"]) == ";" and IN.sniff_delimiter(['"a,b";c', '"1,2";3']) == ";"
+    assert IN.header_key("Tempo Livre (1-5)") == "tempo livre"
     roles, dupes = IN.detect_roles(["Idade", "age", "Faltas"], {"age": ["idade"], "absences": ["faltas"]})
     assert roles == {"Idade": "age", "Faltas": "absences"} and dupes == ["age"]
 
@@ -148,3 +148,54 @@ def test_bulk_intake_end_to_end(spark):
     assert [(r.effort, r.label_source) for r in rows] == [(3, "imputed"), (2, "imputed")]
     assert all(r.g3 is not None for r in rows)
     assert spark.read.parquet(out + "_rejected").count() == 2
+
+
+def test_upload_quotes_breaks_and_repeated_headers(spark):
+    path = os.path.join(tempfile.mkdtemp(), "in.csv")
+    with open(path, "w", encoding="utf-8-sig") as fh:
+        fh.write('a;a;text\n1;2;"say ""hi""; you"\n3;4;"two\nlines"\n')
+    rows = IN.read_upload(spark, path, multi_line=True).collect()
+    assert [r.asDict() for r in rows] == [{"a": "1", "a_1": "2", "text": 'say "hi"; you'}, {"a": "3", "a_1": "4", "text": "two\nlines"}]
+
+
+def test_upload_folder_with_other_delimiter_is_an_error(spark):
+    folder = tempfile.mkdtemp()
+    for name, text in (("1.csv", "a,b\n1,2\n"), ("2.csv", "a;b\n3;4\n")):
+        with open(os.path.join(folder, name), "w") as fh:
+            fh.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        IN.read_upload(spark, folder).collect()
+
+
+def test_line_numbers_over_partitions(spark):
+    path = os.path.join(tempfile.mkdtemp(), "in.csv")
+    with open(path, "w") as fh:
+        fh.write("n\n" + "".join(f"{i}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = IN.with_line_numbers(IN.read_upload(spark, path))
+        assert df.where("line != cast(n as long) + 2").count() == 0 and df.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_header_folding_on_data_equals_names(spark):
+    names = ["Tempo Livre (1-5)", "Média__final!", "  A  b ", "(x)", "Ação/Ñandú 2"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(IN.fold_header(df["n"])).collect()] == [IN.header_key(n) for n in names] == \
+        ["tempo livre", "media final", "a b", "", "acao nandu 2"]
+
+
+def test_suggestion_without_known_field_and_with_missing_values(spark):
+    from cohortlens.operators import suggest as SU
+    df = spark.createDataFrame([(i, float(i), "a" if i < 60 else "b") for i in range(100)] + [(100, None, "c")], "k long, x double, s string")
+    out, near = SU.suggest(df, "k", {}, ["x"], ["s"])
+    assert {r.field: r.value for r in out.collect()} == {"x": "50", "s": "a"} and near.count() == 0
+    _, near = SU.suggest(df, "k", {"x": 50}, ["x"], ["s"])
+    assert near.first()["k"] == 50 and 100 not in {r.k for r in near.collect()}
+
+
+def test_very_long_number_in_a_question(spark):
+    from cohortlens.operators import questions as QU
+    df = spark.createDataFrame([(1, "student 99999999999999999999"), (2, "student 12")], "k long, text string")
+    assert {r.k: r.subject_id for r in QU.route(df, "text", ["k"]).collect()} == {1: None, 2: 12}

@@ -67,15 +67,18 @@ def test_correlation_constant_column_is_null(spark):
     assert r[("x", "c")] is None and r[("x", "x")] == pytest.approx(1.0)
 
 
-def test_top_k_per_group_and_modes_match_brute_force(spark):
-    from cohortlens.functions.topk import modes, top_k_per_group
+def test_top_values_and_modes_match_brute_force(spark):
+    from collections import Counter
+
+    from cohortlens.functions.topk import modes
+    from cohortlens.operators.explore import column_profile_text
     rnd = random.Random(11)
-    rows = [(rnd.choice("abc"), rnd.randint(0, 50), i) for i in range(400)]
-    df = spark.createDataFrame(rows, "g string, v int, id long")
-    got = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 3, salt=7).collect()
-    for g in "abc":
-        exp = sorted([r for r in rows if r[0] == g], key=lambda r: (-r[1], r[2]))[:3]
-        assert sorted((r.v, r.id) for r in got if r.g == g) == sorted((r[1], r[2]) for r in exp)
+    rows = [(rnd.choice("abc") + str(rnd.randint(0, 9)), rnd.choice("xyz")) for _ in range(400)]
+    got = column_profile_text(spark.createDataFrame(rows, "g string, h string"), top=3).collect()
+    for k, c in enumerate("gh"):
+        exp = sorted(Counter(r[k] for r in rows).items(), key=lambda t: (-t[1], t[0]))
+        assert [(r.value, r["count"]) for r in sorted(got, key=lambda r: r["rank"]) if r.column == c] == exp[:3]
+        assert {r.n_distinct for r in got if r.column == c} == {len(exp)}
     vals = spark.createDataFrame([("x", "b"), ("y", "a"), ("x", "a"), ("y", "b"), (None, None)], "p string, q string")
     assert modes(vals, ["p", "q"]) == {"p": "x", "q": "a"}
 
@@ -135,3 +138,14 @@ def test_stratified_split_exact_per_class(spark):
         assert sum(1 for y in te.values() if y == cls) == round(n * TEST_PCT / 100.0)
     # stable across evaluations
     assert {r["id"] for r in test.collect()} == set(te)
+
+
+def test_scatter_gives_every_point(spark):
+    df = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(6000)] + [(6000, None, 1.0)], "k long, a double, b double")
+    points, line = S.scatter(df, "a", "b", "k")
+    assert points.count() == 6000 and points.agg({"k": "max"}).first()[0] == 5999
+    assert line.first()["slope"] == pytest.approx(2.0)
+    points, line = S.scatter(df, "a", "a", "k")
+    assert points.count() == 6000 and line.first()["slope"] is None
+    with pytest.raises(ValueError):
+        S.scatter(df, "a", "nope", "k")
