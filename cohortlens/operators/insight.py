@@ -1,7 +1,7 @@
 """Peer comparisons and per-row insight (O-34, O-35, O-98, O-109, O-111, O-113).
 
-The per-level aggregate (one row per level) is joined back to every row and
-to itself shifted by one level, so the insight is produced for all rows in
+The per-level aggregate (one row per level, its size checked before it is broadcast)
+is joined back to every row and to itself shifted by one level, so the insight is produced for all rows in
 one job rather than one lookup per row.
 """
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import bounded
 from ..roles import Roles
 from .stats import pearson
 
@@ -24,6 +25,7 @@ def insight(df: DataFrame, roles: Roles) -> DataFrame:
     nxt = lv.select((F.col(roles.effort) - 1).alias("__lvl"), F.col("level_mean").alias("next_mean"),
                     F.col("level_n").alias("next_n"))
     mean_abs = df.agg(F.avg(roles.absences)).first()[0]
+    lv, nxt = bounded(lv), bounded(nxt)
     j = df.join(lv, roles.effort, "left").join(nxt, F.col(roles.effort) == F.col("__lvl"), "left")
     y = F.col(roles.target)
     gain = F.col("next_mean") - F.col("level_mean")

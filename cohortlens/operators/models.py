@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.topk import modes
+from .clean import observed_only
 from .ranks import prefix_sums
 
 SEED = 42
@@ -99,7 +100,7 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     """O-87: three candidates, hash split, k-fold CV on the training part,
     best by test R² (first wins ties).  Returns (best PipelineModel, metrics frame)."""
     spark = df.sparkSession
-    data = df.dropna(subset=[label])
+    data = observed_only(df).dropna(subset=[label])
     train, test = split(data, key)
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     # iterative fitters scan the training part many times: keep it in executor memory/disk
@@ -107,12 +108,12 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     def run(candidate):
         name, est = candidate
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
-        model = pipe.fit(train)
-        m = _reg_metrics(model.transform(test), label)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                             evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
                             foldCol="__fold", numFolds=folds, parallelism=folds, seed=SEED)
         cvm = cv.fit(train)
+        model = cvm.bestModel  # fitted on the whole training part
+        m = _reg_metrics(model.transform(test), label)
         m["cv_r2_mean"] = float(cvm.avgMetrics[0])
         m["cv_r2_std"] = float(cvm.stdMetrics[0]) if cvm.stdMetrics else None
         return name, m, model
@@ -124,6 +125,8 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
         if best is None or m["r2"] > best[1]:
             best = (name, m["r2"], model)
     baseline = naive_baseline(train, test, label)
+    rows += [("regression", variant, r[2], "improvement_pct", 100.0 * (baseline["mae"] - r[4]) / baseline["mae"])
+             for r in rows if r[3] == "mae" and baseline["mae"]]
     rows += _metrics_rows("regression", variant, "mean_baseline", baseline)
     train.unpersist()
     test.unpersist()
@@ -132,20 +135,6 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     return best[2], spark.createDataFrame(rows, schema)
 
 
-def right_size(df: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
-    """Partition count proportional to the row count (iterative fitters run one
-    job per round, so tiny data in many partitions pays task overhead every
-    round, while large data keeps one partition per ~200k rows)."""
-    n = df.count()
-    want = max(1, -(-n // rows_per_part))
-    have = df.rdd.getNumPartitions()
-    if want < have:
-        return df.coalesce(want)
-    if want > have:
-        return df.repartition(want)
-    return df
-
-
 def _concurrently(fn, items):
     """Run independent fits on driver threads (each submits its own Spark jobs);
     results come back in input order, so tie rules stay deterministic."""
@@ -177,14 +166,28 @@ def binary_metrics(pred: DataFrame, label: str) -> dict:
     return {"accuracy": r["ok"] / r["n"] if r["n"] else 0.0, "precision": prec, "recall": rec, "f1": f1, "roc_auc": auc}
 
 
+def weighted_auc(pred: DataFrame, label: str) -> float | None:
+    """ROC-AUC of the positive class for two labels, else one class against the rest weighted by
+    class size; NULL when a class of the model isn't in the rows (the curve is undefined)."""
+    sizes = {int(r[label]): r["count"] for r in pred.groupBy(label).count().collect()}
+    k = len(pred.select("probability").first()["probability"]) if sizes else 0
+    if len(sizes) < max(k, 2):
+        return None
+    scored = pred.withColumn("__p", vector_to_array("probability"))
+    auc = {}
+    for c in [1] if k == 2 else range(k):
+        one = scored.select((F.col(label) == c).cast("double").alias("y"), F.col("__p")[c].alias("p"))
+        auc[c] = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="p").evaluate(one)
+    return sum(auc[c] * sizes[c] for c in auc) / sum(sizes[c] for c in auc)
+
+
 def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical, trees: int = 300, depth: int = 8,
                      folds: int = FOLDS):
     """O-88: logistic regression (L2 with the 1/n scaling of C = 1), random
     forest, gradient boosting; exact stratified split; best by test F1."""
     spark = df.sparkSession
-    data = df.dropna(subset=[label]).withColumn(label, F.col(label).cast("double"))
+    data = observed_only(df).dropna(subset=[label]).withColumn(label, F.col(label).cast("double"))
     train, test = stratified_split(data, key, label)
-    train, test = right_size(train), right_size(test)
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train.count()
     cands = [
@@ -198,12 +201,14 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
     def run(candidate):
         name, est = candidate
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
-        model = pipe.fit(train)
-        m = binary_metrics(model.transform(test), label)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                            evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
+        positive_f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=positive_f1,
                             foldCol="__fold", numFolds=folds, parallelism=folds, seed=SEED)
-        m["cv_f1_mean"] = float(cv.fit(train).avgMetrics[0])
+        cvm = cv.fit(train)
+        model = cvm.bestModel  # fitted on the whole training part
+        m = binary_metrics(model.transform(test), label)
+        m["cv_f1_mean"] = float(cvm.avgMetrics[0])
+        m["cv_f1_std"] = float(cvm.stdMetrics[0]) if cvm.stdMetrics else None
         return name, m, model
 
     rows, best = [], None
@@ -264,7 +269,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
     weighted metrics; best by R² / weighted F1."""
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
-    d = df.dropna(subset=[target])
+    d = observed_only(df).dropna(subset=[target])
     n = d.count()
     if n < MIN_ROWS:
         raise ValueError(f"need at least {MIN_ROWS} rows with a target, have {n}")
@@ -277,10 +282,10 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
     rows = []
     if isinstance(types[target], T.NumericType):
         d = d.withColumn(target, F.col(target).cast("double"))
-        train, test = right_size(split(d, key)[0]), right_size(split(d, key)[1])
+        train, test = split(d, key)
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
-        for name, est in _reg_candidates(target, trees, depth):
+        for name, est in _reg_candidates(target, trees, depth)[:2]:  # linear and forest
             m = Pipeline(stages=stages + [est]).fit(train)
             met = _reg_metrics(m.transform(test), target)
             rows += _metrics_rows("regression", target, name, met)
@@ -293,7 +298,6 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
             raise ValueError("need at least 2 classes with at least 5 rows each")
         d = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc").fit(d).transform(d)
         train, test = stratified_split(d, key, "__label")
-        train, test = right_size(train), right_size(test)
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         cands = [("logistic", LogisticRegression(labelCol="__label", maxIter=200)),
@@ -305,9 +309,12 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
             ev = MulticlassClassificationEvaluator(labelCol="__label")
             met = {k: ev.setMetricName(k).evaluate(p)
                    for k in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+            met["roc_auc"] = weighted_auc(p, "__label")
             rows += _metrics_rows("classification", target, name, met)
             if best is None or met["f1"] > best[1]:
                 best = (name, met["f1"], m)
+    train.unpersist()
+    test.unpersist()
     rows.append(("generic", target, best[0], "is_best", 1.0))
     return best[2], spark.createDataFrame(rows, "task string, variant string, model string, metric string, value double")
 

@@ -7,16 +7,25 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import clean
 from ..roles import SUBJECTS, Roles
 from ..session import scratch_path
 from .bindings import subjects
 
+SOURCES = ("customer", "orders")  # tables of the `subjects` binding
 _LOCK = threading.RLock()
 _CACHE: dict = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number, size and latest change of the source files: another state means another cache entry."""
+    folder = sf_dir.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{folder}/{t}.parquet" for t in SOURCES])
+    return tuple(files.agg(F.count("path"), F.sum("length"), F.max("modificationTime"), F.sum(F.unix_micros("modificationTime") % 1_000_003)).first())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
@@ -39,8 +48,8 @@ def build_curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS,
 
 def prefiltered(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> DataFrame:
     """O-14 … O-17 output (deduplicated, coerced, filtered subjects), written once
-    per session and input folder; the curation steps and their jobs start here."""
-    key = ("pre", spark.sparkContext.applicationId, sf_dir.rstrip("/"), roles)
+    per session and state of the input files; the curation steps and their jobs start here."""
+    key = ("pre", spark.sparkContext.applicationId, sf_dir.rstrip("/"), _state(spark, sf_dir), roles)
     with _LOCK:
         hit = _CACHE.get(key)
         if hit is None:
@@ -50,8 +59,12 @@ def prefiltered(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> Da
 
 
 def curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> DataFrame:
-    """Curated subjects table, built once per session and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), roles)
+    """Curated subjects table, built once per session and state of the input files."""
+    return _curated(spark, sf_dir, roles)[0]
+
+
+def _curated(spark: SparkSession, sf_dir: str, roles: Roles) -> tuple[DataFrame, clean.CurationModel]:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _state(spark, sf_dir), roles)
     with _LOCK:
         hit = _CACHE.get(key)
         if hit is None:
@@ -59,9 +72,8 @@ def curated(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> DataFr
             df = materialise(df, "curated")
             hit = (df, model)
             _CACHE[key] = hit
-    return hit[0]
+    return hit
 
 
 def curation_model(spark: SparkSession, sf_dir: str, roles: Roles = SUBJECTS) -> clean.CurationModel:
-    curated(spark, sf_dir, roles)
-    return _CACHE[(spark.sparkContext.applicationId, sf_dir.rstrip("/"), roles)][1]
+    return _curated(spark, sf_dir, roles)[1]

@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from ..functions.bounded import bounded
 from ..operators import models as M
 from ..operators import segment as SG
 from ..operators import suggest as SU
@@ -200,23 +201,34 @@ def q_train_clf(spark, sf_dir):
 
 @register("feature_importance")
 def q_importance(spark, sf_dir):
-    """O-85: random-forest importances with readable feature names, top 15."""
-    df = curated(spark, sf_dir)
-    train, _ = M.split(df, "subject_id")
-    pipe = Pipeline(stages=M.preprocessor(NUMERIC_HABITS, CATS) + [RandomForestRegressor(
-        labelCol="g3", numTrees=300, maxDepth=8, featureSubsetStrategy="all", seed=M.SEED)])
+    """O-85: importances of the pass/fail forest with readable feature names, top 15."""
+    df = curated(spark, sf_dir).withColumn("passed", F.col("passed").cast("double"))
+    train, _ = M.stratified_split(df, "subject_id", "passed")
+    pipe = Pipeline(stages=M.preprocessor(NUMERIC_HABITS, CATS) + [RandomForestClassifier(
+        labelCol="passed", numTrees=300, maxDepth=8, featureSubsetStrategy="sqrt", seed=M.SEED)])
     pairs = M.feature_importance(pipe.fit(train))
     return spark.createDataFrame(pairs, "feature string, importance double")
 
 
 @register("batch_score")
 def q_batch_score(spark, sf_dir):
-    """O-78/O-93: the habits model (linear, the reference's best candidate) scores every row; clamped, 2 dp."""
+    """O-78/O-93: both linear variants and the pass probability for every row; clamped, 2 dp, with the
+    test MAE of each variant as the expected error."""
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import LinearRegression
     df = curated(spark, sf_dir)
-    train, _ = M.split(df, "subject_id")
-    model = Pipeline(stages=M.preprocessor(NUMERIC_HABITS, CATS) + [LinearRegression(labelCol="g3")]).fit(train)
-    return M.score(model, df).select("subject_id", "predicted")
+    train, test = M.split(df, "subject_id")
+    out, cols = df, ["subject_id"]
+    for name, inputs in (("habits", NUMERIC_HABITS), ("with_periods", NUMERIC_HABITS + ["g1", "g2"])):
+        model = Pipeline(stages=M.preprocessor(inputs, CATS) + [LinearRegression(labelCol="g3")]).fit(train)
+        mae = M.score(model, test).agg(F.avg(F.abs(F.col("prediction") - F.col("g3")))).first()[0]
+        scored = M.score(model, out.select(*df.columns, *cols[1:]))
+        out = scored.select(*df.columns, *cols[1:], F.col("predicted").alias(f"predicted_{name}"),
+                            F.lit(mae).cast("double").alias(f"error_{name}"))
+        cols += [f"predicted_{name}", f"error_{name}"]
+    label = train.withColumn("__y", F.col("passed").cast("double"))
+    clf = Pipeline(stages=M.preprocessor(NUMERIC_HABITS, CATS) + [LogisticRegression(labelCol="__y")]).fit(label)
+    return M.score(clf, out, prob=True).select(*cols, "pass_probability")
 
 
 @register("custom_train_lineitem")
@@ -272,6 +284,7 @@ def q_peer(spark, sf_dir):
                                                        F.avg("passed").alias("level_pass_rate"),
                                                        F.count(F.lit(1)).alias("level_n"))
     p = df.select("subject_id", "effort", sc.expr().alias("predicted"))
+    lv = bounded(lv)
     j = p.join(lv, p.effort == lv.lvl)
     return rounded(j.select("subject_id", "predicted", "level_mean", "level_pass_rate", "level_n",
                             (F.col("predicted") - F.col("level_mean")).alias("diff_vs_level"),

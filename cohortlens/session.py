@@ -39,12 +39,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests, local bench) a scratch folder is created and registered.
+    (tests, local bench) a scratch folder is created and registered; on a cluster, where no
+    local folder is shared, an unset one is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)

@@ -3,12 +3,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from cohortlens.plans import ORACLE, QUERIES
 from cohortlens.sources.tables import TABLES
 from tools.check_oracle import canon
 
 SF = "/root/testdata/sf0.01"
-HEAVY = {"train_regression", "train_classifier", "custom_train_lineitem", "custom_train_customer", "batch_score",
-         "segmentation", "segment_export", "feature_importance"}
+HEAVY = {"train_regression", "train_classifier", "custom_train_lineitem"}  # their functions run on small data in test_models.py
 
 
 def test_entry_runs(spark):
@@ -28,13 +28,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rel = con.sql(E.oracle_sql()[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - HEAVY))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
