@@ -76,12 +76,12 @@ def preprocessor(numeric, categorical, scale: bool = True, impute: bool = False)
     return stages
 
 
-def _reg_candidates(label: str, trees: int = 300, depth: int = 8):
+def _reg_candidates(label: str, trees: int = 300, depth: int = 8, rounds: int = 100):
     return [
         ("linear", LinearRegression(labelCol=label, featuresCol="features")),
         ("random_forest", RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=trees,
                                                 maxDepth=depth, featureSubsetStrategy="all", seed=SEED)),
-        ("gradient_boosting", GBTRegressor(labelCol=label, featuresCol="features", maxIter=100, maxDepth=3,
+        ("gradient_boosting", GBTRegressor(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=3,
                                            stepSize=0.1, seed=SEED)),
     ]
 
@@ -96,7 +96,7 @@ def _reg_metrics(pred: DataFrame, label: str) -> dict:
 
 
 def train_regression(df: DataFrame, key: str, label: str, numeric, categorical, variant: str,
-                     trees: int = 300, depth: int = 8, folds: int = FOLDS):
+                     trees: int = 300, depth: int = 8, folds: int = FOLDS, rounds: int = 100):
     """O-87: three candidates, hash split, k-fold CV on the training part,
     best by test R² (first wins ties).  Returns (best PipelineModel, metrics frame)."""
     spark = df.sparkSession
@@ -120,7 +120,7 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
 
     rows, best = [], None
     # candidates are independent Spark jobs: submit them concurrently, keep the listed order
-    for name, m, model in _concurrently(run, _reg_candidates(label, trees, depth)):
+    for name, m, model in _concurrently(run, _reg_candidates(label, trees, depth, rounds)):
         rows += _metrics_rows("regression", variant, name, m)
         if best is None or m["r2"] > best[1]:
             best = (name, m["r2"], model)
@@ -182,7 +182,7 @@ def weighted_auc(pred: DataFrame, label: str) -> float | None:
 
 
 def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical, trees: int = 300, depth: int = 8,
-                     folds: int = FOLDS):
+                     folds: int = FOLDS, rounds: int = 100):
     """O-88: logistic regression (L2 with the 1/n scaling of C = 1), random
     forest, gradient boosting; exact stratified split; best by test F1."""
     spark = df.sparkSession
@@ -195,7 +195,7 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
                                         standardization=False, maxIter=200)),
         ("random_forest", RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth,
                                                  featureSubsetStrategy="sqrt", seed=SEED)),
-        ("gradient_boosting", GBTClassifier(labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)),
+        ("gradient_boosting", GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED)),
     ]
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     def run(candidate):

@@ -18,5 +18,5 @@ def test_new_files_are_seen(spark):
     more = spark.read.parquet(f"{SF}/customer.parquet")
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     more.withColumn("c_custkey", more["c_custkey"] + 10_000_000).coalesce(1).write.mode("append").parquet(f"{folder}/customer.parquet")
-    orders.withColumns({"o_custkey": orders["o_custkey"] + 10_000_000, "o_orderkey": orders["o_orderkey"] + 10_000_000}).coalesce(1).write.mode("append").parquet(f"{folder}/orders.parquet")
+    orders.withColumns({"o_custkey": orders["o_custkey"] + 10_000_000, "o_orderkey": orders["o_orderkey"] + 10_000_000, "o_totalprice": orders["o_totalprice"] * 0.7 + 11}).coalesce(1).write.mode("append").parquet(f"{folder}/orders.parquet")
     assert curated(spark, folder).count() != first

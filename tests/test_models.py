@@ -18,7 +18,7 @@ def metrics(frame):
 
 
 def test_regression_ignores_imputed_targets(data):
-    model, frame = M.train_regression(data, "k", "y", ["x", "z"], ["c"], "v", trees=5, depth=3, folds=3)
+    model, frame = M.train_regression(data, "k", "y", ["x", "z"], ["c"], "v", trees=5, depth=3, folds=2, rounds=2)
     m = metrics(frame)
     assert m["linear", "r2"] > 0.9 and m["linear", "improvement_pct"] > 50 and m["linear", "cv_r2_std"] >= 0
     assert m["mean_baseline", "mae"] < 20
@@ -26,7 +26,7 @@ def test_regression_ignores_imputed_targets(data):
 
 
 def test_classifier_reports_positive_class_folds(data):
-    _, frame = M.train_classifier(data, "k", "passed", ["x", "z"], ["c"], trees=5, depth=3, folds=3)
+    _, frame = M.train_classifier(data, "k", "passed", ["x", "z"], ["c"], trees=5, depth=3, folds=2, rounds=2)
     m = metrics(frame)
     assert m["logistic", "f1"] > 0.9 and 0.9 < m["logistic", "cv_f1_mean"] <= 1 and m["logistic", "cv_f1_std"] is not None
 
