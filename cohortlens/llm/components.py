@@ -18,17 +18,23 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.union(small.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Rows (v, root) for every vertex of `links` (columns a, b); root is the smallest vertex reachable.
+    """Rows (v, root) for every vertex of `links` (two columns a, b); root is the smallest vertex reachable.
 
-    Rows with a null or with a == b give no vertex of their own.  Each round is written to the
+    Rows with a null or with a == b give no vertex of their own.  The result is itself a table of
+    links (v, root): new links can be added to it and given here again, which takes few rounds.  Each round is written to the
     shared folder; the number of rounds grows with the logarithm of the largest component.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    edges, before = materialise(edges, "links"), None
+    edges = links.toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    edges = materialise(edges, "links")
+    before = _state(edges)
     for _ in range(most_rounds):
         edges = materialise(_stars(edges), "stars")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        state = _state(edges)
         if state == before:
             break
         before = state

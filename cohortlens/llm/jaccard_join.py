@@ -256,11 +256,6 @@ def _jaccard_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    return lists.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, split: int = 4096) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     rule = Rule(percent)
@@ -298,14 +293,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     led = heavy.select(F.col("sig").alias("a"), F.col("leader.sig").alias("b")).union(between.select("sig", "leader.sig")).where("a != b")
     met = materialise(_possible(led.groupBy("a", "b").agg(F.count("*").alias("lists")), elements, percent), "met")
     best = met.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
-    links = materialise(light.union(_jaccard_links(best, texts, words, percent)), "links")
+    roots = components(light.union(_jaccard_links(best, texts, words, percent)))
 
     leaders = heavy.where(F.col("rank").between(2, LEADERS)).select("key", "part", F.col("sig").alias("b"))
     star = heavy.select("key", "part", F.col("sig").alias("a")).join(leaders, ["key", "part"]).where("a != b").select("a", "b")
-    apart = _apart(star.union(met.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), components(links))
-    links = materialise(links.union(_jaccard_links(_possible(apart, elements, percent), texts, words, percent)), "links")
+    apart = _apart(star.union(met.select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), roots)
+    roots = components(roots.union(_jaccard_links(_possible(apart, elements, percent), texts, words, percent)))
 
-    rooted = materialise(_rooted(heavy.select("key", "sig", "n", "place"), links), "rooted")
+    rooted = heavy.select("key", "sig", "n", "place").join(roots.withColumnRenamed("v", "sig"), "sig", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "sig")), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     left = rooted.join(mixed, "key")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "place", "root")]) for side in "ab")
@@ -313,9 +309,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     early = (F.col("place_a") <= _prefix(F.col("n_a"), percent) - least) & (F.col("place_b") <= _prefix(F.col("n_b"), percent) - least)
     pairs = x.join(y, "key").where((F.col("sig_a") < F.col("sig_b")) & (F.col("root_a") != F.col("root_b")) & early & _near(F.col("n_a"), F.col("n_b"), percent))
     pairs = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct()
-    links = links.union(_jaccard_links(_possible(pairs, elements, percent), texts, words, percent))
-
-    roots = components(links).withColumnRenamed("v", "sig")
+    roots = components(roots.union(_jaccard_links(_possible(pairs, elements, percent), texts, words, percent))).withColumnRenamed("v", "sig")
     named = classes.join(roots, "sig", "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "root").select("sig", "component_id")
