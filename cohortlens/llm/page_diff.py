@@ -1,35 +1,42 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
-A page is read into text lines, one for each block of its markup.  The pages of a host are put in
-the order of their URL paths; a page's partner is the one of its two neighbours whose path
-shares the longer beginning with its own (the earlier one on a tie), unless both have the same
-lines, which says nothing about either.  A longest common subsequence aligns the lines
-of the two pages, and shared lines are deleted as part of the host's template.
+A page is read into text lines, one for each block of its markup.  Pages of a host with equal
+lines are one page with the least of their paths, and all of them get its result.  The different pages of a
+host are put in the order of their URL paths; a page's partner is the nearest on either side that
+is no near copy (shared lines with NEAR of the characters of the shorter page, which says nothing
+about either), of these two the one whose path shares the longer beginning with its own
+(the earlier one on a tie).  Near copies are looked past run by run: beyond a near copy comes that
+copy's own neighbour.  A longest common subsequence aligns the lines of the two pages, and shared
+lines are deleted as part of the host's template.
 
 Two kinds of line need no partner: what stands in elements that are never content (menus,
 forms, adverts, ...) is always deleted, and what stands in an article or main element is never
-taken for template, as two pages may well quote the same passage.  The differencing decides on
-all other lines, so on all lines of a page without such an element.
+taken for template, as two pages may well quote the same passage.
 
-Pages are dealt by ranges of (host, path, id) found from these keys alone, so that a host of any
-size is spread over tasks; the first and the last page of a range are also sent to the
-range next to it, so results don't depend on how many ranges there are.  Only pages travel, once.
+Different pages are dealt by ranges of (host, path, id, digest) found from these keys alone, so that a
+host of any size is spread over tasks; only hashes and lengths of lines travel for that.  What
+lies beyond a range is known by up to CHAIN pages on each side, each no near copy of the one
+before, which reach past ranges that hold nothing but near copies.  Texts travel once, to
+the join with the shared positions.
 
 Defined results: null html is the empty page; a null url, or one without "://", has an empty
-host and path (and no partner); a null id is kept; repeated rows are extracted one by one and
-are never partners of each other (same lines); other columns of the input are ignored.
+host and path (and no partner); a null id is kept; repeated rows stay and get one
+text; a page whose host has only copies and near copies of it has no partner; other columns of the input are ignored.
 """
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import hashlib
+from base64 import b64encode
+from collections.abc import Iterable
 from html.parser import HTMLParser
 from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import materialise
 
 #: Elements that end a line when they open or close.
 BLOCKS = frozenset(
@@ -51,6 +58,9 @@ MARKS = frozenset(
     "complementary dialog form hidden skip".split()
 )
 SPLIT = str.maketrans("-_:", "   ")
+KEY = ["host", "path", "order", "digest"]
+NEAR = 0.8  # share of the shorter page's characters
+CHAIN = 4  # pages known beyond the edge of a range, each no near copy of the one before
 
 
 class _Reader(HTMLParser):
@@ -156,30 +166,124 @@ def url_path(url: str | Column) -> Column:
 
 
 class _Page:
-    __slots__ = ("row", "host", "path", "lines", "texts")
-
-    def __init__(self, row):
-        self.row, self.host, self.path = row, row.host, row.path
-        self.lines = page_lines(row.html or "")
-        self.texts = [t for t, _ in self.lines]
+    """A different page of a host: hashes and lengths of its lines."""
 
+    __slots__ = ("host", "path", "id", "lines", "sizes", "total", "weight")
 
-def _partner(before: _Page | None, page: _Page, after: _Page | None) -> _Page | None:
+    def __init__(self, row):
+        self.host, self.path, self.id = row.host, row.path, row.id
+        self.lines, self.sizes = [int(x) for x in row.lines], [int(x) for x in row.sizes]
+        self.total, self.weight = sum(self.sizes), {}
+        for x, n in zip(self.lines, self.sizes, strict=True):
+            self.weight[x] = self.weight.get(x, 0) + n
+
+
+def near(a: _Page, b: _Page) -> bool:
+    """Whether shared lines hold NEAR of the characters of the shorter page."""
+    least = NEAR * min(a.total, b.total)
+    small, large = sorted((a.weight, b.weight), key=len)
+    if sum(min(n, large.get(x, 0)) for x, n in small.items()) < least:
+        return False
+    return sum(a.sizes[i] for i in shared_lines(a.lines, b.lines)) >= least
+
+
+def _chain(pages: Iterable[_Page]) -> list[_Page]:
+    """The first page and the next ones of its host, each no near copy of the one before; at most CHAIN."""
+    out: list[_Page] = []
+    for p in pages:
+        if len(out) == CHAIN or out and p.host != out[0].host:
+            break
+        if not out or not near(p, out[-1]):
+            out.append(p)
+    return out
+
+
+def _before(pages: list[_Page], known: list[_Page]) -> list[_Page | None]:
+    """For each page the nearest earlier page of its host that is no near copy; known: the pages before, nearest first."""
+    line = [*reversed(known), *pages]
+    last = [-1] * len(line)
+    for i, p in enumerate(line):
+        q = i - 1 if p.host else -1
+        while q >= 0 and line[q].host == p.host and near(p, line[q]):
+            q = last[q]
+        last[i] = q if q >= 0 and line[q].host == p.host else -1
+    return [line[q] if q >= 0 else None for q in last[len(known):]]
+
+
+def _partner(page: _Page, before: _Page | None, after: _Page | None) -> _Page | None:
     best, most = None, -1
     for other in (before, after):
-        if other is not None and page.host and other.host == page.host and other.texts != page.texts:
+        if other is not None:
             common = len(commonprefix([page.path, other.path]))
             if common > most:
                 best, most = other, common
     return best
 
 
-def _ranges(keys: DataFrame) -> list[tuple]:
-    """(smallest, largest) key of each range, in order; as many rows as there are shuffle partitions."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _digest(host: str, texts: list[str]) -> str:
+    return b64encode(hashlib.blake2b("\n".join([host, *texts]).encode("utf-8", "surrogatepass"), digest_size=12).digest()).decode()
+
+
+def _lows(keys: DataFrame) -> list[tuple]:
+    """Smallest key of each range, in order; as many as there are shuffle partitions."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct("host", "path", "order")
-    found = keys.repartitionByRange(n, "host", "path", "order").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    return sorted((tuple(r["low"]), tuple(r["high"])) for r in found)
+    found = keys.repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("low")).collect()
+    return sorted(tuple(r["low"]) for r in found)
+
+
+def _pages_of(frame: pd.DataFrame) -> list[_Page]:
+    return [_Page(row) for row in frame.sort_values(KEY, kind="stable").itertuples(index=False)]
+
+
+def _edges(frame: pd.DataFrame) -> pd.DataFrame:
+    pages = _pages_of(frame)
+    found = [(int(frame["range"].iloc[0]), side, k, p.host, p.path, p.id, p.lines, p.sizes) for side, of in (("first", pages), ("last", pages[::-1])) for k, p in enumerate(_chain(of))]
+    return pd.DataFrame(found, columns=["range", "side", "k", "host", "path", "id", "lines", "sizes"])
+
+
+def _known(edges: dict[tuple[int, str], list[_Page]], ranges: list[int], side: str) -> dict[int, list[_Page]]:
+    """For each range, the chain of pages before it (after it, for ranges in reverse), past ranges of near copies."""
+    out: dict[int, list[_Page]] = {}
+    chain: list[_Page] = []
+    for r in ranges:
+        out[r] = chain
+        chain = _chain([*edges[r, side], *chain])
+    return out
+
+
+def _pairs(classes: DataFrame) -> DataFrame:
+    """digest, mask (whether a line is shared with the partner) and partner of each different page that has one."""
+    lows = _lows(classes.select(*KEY))
+
+    @F.pandas_udf("int")
+    def range_of(host: pd.Series, path: pd.Series, order: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([max(0, bisect.bisect_right(lows, key) - 1) for key in zip(host, path, order, digest, strict=True)], dtype="int32")
+
+    dealt = classes.withColumn("range", range_of(*KEY))
+    edges: dict[tuple[int, str], list[_Page]] = {}
+    # at most 2 * CHAIN rows for each range
+    rows = dealt.groupBy("range").applyInPandas(_edges, "range int, side string, k int, host string, path string, id string, lines array<long>, sizes array<int>").collect()
+    for row in sorted(rows, key=lambda r: (r["range"], r["side"], r["k"])):
+        edges.setdefault((row["range"], row["side"]), []).append(_Page(row))
+    ranges = sorted({r for r, _ in edges})
+    before, after = _known(edges, ranges, "last"), _known(edges, ranges[::-1], "first")
+
+    def pair(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(KEY, kind="stable")
+        pages, r = _pages_of(frame), int(frame["range"].iloc[0])
+        out = []
+        for page, digest, a, b in zip(pages, frame["digest"], _before(pages, before[r]), reversed(_before(pages[::-1], after[r])), strict=True):
+            partner = _partner(page, a, b)
+            if partner:
+                shared = shared_lines(page.lines, partner.lines)
+                out.append((digest, [i in shared for i in range(len(page.lines))], partner.id))
+        return pd.DataFrame(out, columns=["digest", "mask", "partner"])
+
+    return dealt.groupBy("range").applyInPandas(pair, "digest string, mask array<boolean>, partner string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -188,56 +292,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"),
         url_host(F.col(url_col).cast("string")).alias("host"), url_path(F.col(url_col).cast("string")).alias("path"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("order"),
     )
-    ranges = _ranges(rows.select("host", "path", "order"))
-    lows = [low for low, _ in ranges]
 
-    @F.pandas_udf("array<struct<range:int,ghost:boolean>>")
-    def places(host: pd.Series, path: pd.Series, order: pd.Series) -> pd.Series:
-        out = []
-        for key in zip(host, path, order, strict=True):
-            k = max(0, bisect.bisect_right(lows, key) - 1)
-            at = [(k, False)]
-            if key == ranges[k][0] and k:
-                at.append((k - 1, True))
-            if key == ranges[k][1] and k + 1 < len(ranges):
-                at.append((k + 1, True))
-            out.append(at)
-        return pd.Series(out, dtype=object)
-
-    schema = T.StructType([
-        T.StructField(id_col, id_type), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
-        T.StructField("lines", T.LongType()), T.StructField("shared_lines", T.LongType()), T.StructField("partner", id_type),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-
-        def done(before, page, after) -> None:
-            if page is None or page.row.ghost:
-                return
-            near = lambda p: p if p is not None and p.row.range == page.row.range else None
-            partner = _partner(near(before), page, near(after))
-            shared = shared_lines(page.texts, partner.texts) if partner else set()
-            text = "\n".join(t for i, (t, kind) in enumerate(page.lines) if kind == 2 or kind == 1 and i not in shared)
-            out.append((page.row.id, page.row.url, text, len(text), len(page.lines), len(shared), partner.row.id if partner else None))
-
-        def frame() -> pd.DataFrame:
-            made = pd.DataFrame({name: pd.Series([r[k] for r in out], dtype=object) for k, name in enumerate(schema.names)})
-            out.clear()
-            return made
-
-        before = page = None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                after = _Page(row)
-                done(before, page, after)
-                before, page = page, after
-                if len(out) >= 2000:
-                    yield frame()
-        done(before, page, None)
-        yield frame()
-
-    placed = rows.withColumn("_at", F.explode(places("host", "path", "order"))).select("id", "url", "html", "host", "path", "order", "_at.range", "_at.ghost")
-    return placed.repartition("range").sortWithinPartitions("range", "host", "path", "order").mapInPandas(run, schema)
+    @F.pandas_udf("struct<digest:string,lines:array<long>,sizes:array<int>>")
+    def outline(host: pd.Series, html: pd.Series) -> pd.DataFrame:
+        read = [[t for t, _ in page_lines(h or "")] for h in html]
+        return pd.DataFrame({"digest": map(_digest, host, read), "lines": [[_hash(t) for t in x] for x in read], "sizes": [[len(t) for t in x] for x in read]})
+
+    @F.pandas_udf("struct<digest:string,texts:array<string>,article:array<boolean>>")
+    def read(host: pd.Series, html: pd.Series) -> pd.DataFrame:
+        found = [page_lines(h or "") for h in html]  # lines that the check deletes become null
+        return pd.DataFrame({"digest": [_digest(a, [t for t, _ in x]) for a, x in zip(host, found, strict=True)], "texts": [[t if kind else None for t, kind in x] for x in found], "article": [[kind == 2 for _, kind in x] for x in found]})
+
+    order = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    outlines = rows.where("host <> ''").select("host", "path", order.alias("order"), F.col("id").cast("string").alias("id"), outline("host", "html").alias("o")).select("host", "path", "order", "id", "o.*")
+    first = F.min(F.struct("path", "order", "id", "lines", "sizes"))
+    classes = outlines.groupBy("host", "digest").agg(first.alias("f")).select("host", "digest", "f.*")
+    pairs = _pairs(materialise(classes, "page-lines"))
+
+    full = rows.select("id", "url", read("host", "html").alias("r")).select("id", "url", "r.*")
+    joined = full.join(pairs, "digest", "left").withColumn("mask", F.coalesce("mask", F.transform("texts", lambda _: F.lit(False))))
+    own = F.filter(F.arrays_zip("texts", "article", "mask"), lambda x: x["texts"].isNotNull() & (x["article"] | ~x["mask"]))
+    made = joined.withColumn("text", F.array_join(F.transform(own, lambda x: x["texts"]), "\n"))
+    return made.select(
+        F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("texts").cast("long").alias("lines"),
+        F.size(F.filter("mask", lambda x: x)).cast("long").alias("shared_lines"), F.col("partner").cast(id_type).alias("partner"),
+    )

@@ -80,3 +80,27 @@ def test_url_parts(spark):
     urls = [("HTTP://User@A.Com:80/P/q?x#y", "user@a.com:80", "/P/q"), ("x://h?/a", "h", ""), ("a://b://c", "b:", "//c"), ("//h/p", "", ""), (None, "", ""), ("s://ÄB/é\n?z", "Äb", "/é\n"), ("s://h#/a", "h", "")]
     df = spark.createDataFrame([(u,) for u, *_ in urls], "url string")
     assert [tuple(r) for r in df.select(P.url_host("url"), P.url_path("url")).collect()] == [(h, p) for _, h, p in urls]
+
+
+def test_copies_get_one_text(spark):
+    one, two = plain("Top", "own one", "Bottom"), plain("Top", "own two", "Bottom")
+    rows = [(k, f"http://a.com/x/{k}", one) for k in range(1, 6)] + [(6, "http://a.com/x/6", two), (7, "http://a.com/z", one), (8, "http://a.com/x/1", one)]
+    got = texts(spark, rows)
+    assert got == {k: "own two" if k == 6 else "own one" for k in range(1, 9)}
+
+
+def test_near_copies_are_looked_past(spark):
+    body = [f"a sentence of the body, number {i}" for i in range(12)]
+    rows = [(k, f"http://a.com/x/{k:02d}", plain("Top", *body, f"seen {k}", "Bottom")) for k in range(30)]
+    rows += [(k, f"http://b.com/x/{k:02d}", plain("Top", *body, f"seen {k}", "Bottom")) for k in range(30, 33)]
+    rows += [(90, "http://a.com/x/90", plain("Top", "something else of some length", "Bottom")), (91, "http://a.com/a", plain("Top", "of a third kind", "End"))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = texts(spark, rows)
+            assert all(got[k] == "\n".join([*body, f"seen {k}"]) for k in range(30))
+            assert all(got[k] == "\n".join(["Top", *body, f"seen {k}", "Bottom"]) for k in range(30, 33))
+            assert got[90] == "something else of some length" and got[91] == "of a third kind\nEnd"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
