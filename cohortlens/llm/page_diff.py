@@ -7,11 +7,11 @@ is no near copy (shared lines with NEAR of the characters of the shorter page, w
 about either), of these two the one whose path shares the longer beginning with its own
 (the earlier one on a tie).  Near copies are looked past run by run: beyond a near copy comes that
 copy's own neighbour.  A longest common subsequence aligns the lines of the two pages, and shared
-lines are deleted as part of the host's template.
+lines, wherever they stand, are deleted as part of the host's template.
 
-Two kinds of line need no partner: what stands in elements that are never content (menus,
-forms, adverts, ...) is always deleted, and what stands in an article or main element is never
-taken for template, as two pages may well quote the same passage.
+A check by elements follows: of the lines that are left, those in elements that are never content
+(menus, forms, adverts, ...) are deleted, but never an article or main element, nor the rest
+of an element that holds one.
 
 Different pages are dealt by ranges of (host, path, id, digest) found from these keys alone, so that a
 host of any size is spread over tasks; only hashes and lengths of lines travel for that.  What
@@ -63,30 +63,42 @@ NEAR = 0.8  # share of the shorter page's characters
 CHAIN = 4  # pages known beyond the edge of a range, each no near copy of the one before
 
 
+class _Element:
+    """An open element; `spared` once an article or main element has opened in it."""
+
+    __slots__ = ("tag", "around", "spared")
+
+    def __init__(self, tag: str, around: tuple):
+        self.tag, self.around, self.spared = tag, around, False
+
+
 class _Reader(HTMLParser):
-    """Lines of a page with their kind: 0 deleted, 1 open to differencing, 2 article."""
+    """Lines of a page with their kind: 0 in an element that is never content, 2 article, 1 all others."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # element, its kind, kind around it
-        self.kind, self.parts, self.lines = 1, [], []
+        self.open: list[_Element] = []
+        self.state: tuple[int, tuple[_Element, ...]] = (1, ())  # 1 or 2, and the listed elements around
+        self.parts, self.found = [], []
 
     def _line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                self.lines.append((text, self.kind))
-
-    def _kind_of(self, tag: str, attrs: list) -> int:
-        if self.kind == 0 or tag in NEVER:
-            return 0
-        if tag == "header" and self.kind == 1:
-            return 0
-        for name, value in attrs:
-            if name == "hidden" or name in ("class", "id", "role") and value and tag not in ("html", "body") and not MARKS.isdisjoint(value.lower().translate(SPLIT).split()):
-                return 0
-        return 2 if tag in CONTENT else self.kind
+                self.found.append((text, self.state))
+
+    @property
+    def lines(self) -> list[tuple[str, int]]:
+        return [(text, kind if all(e.spared for e in listed) else 0) for text, (kind, listed) in self.found]
+
+    def _listed(self, tag: str, attrs: list) -> bool:
+        if tag in NEVER or tag == "header" and self.state == (1, ()):
+            return True
+        return any(
+            name == "hidden" or name in ("class", "id", "role") and value and tag not in ("html", "body") and not MARKS.isdisjoint(value.lower().translate(SPLIT).split())
+            for name, value in attrs
+        )
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -95,11 +107,17 @@ class _Reader(HTMLParser):
             self._line()
         if tag in VOID:
             return
-        kind = self._kind_of(tag, attrs)
-        if kind != self.kind:
+        element, state = _Element(tag, self.state), self.state
+        if tag in CONTENT:
+            for e in self.open:
+                e.spared = True
+            state = (2, ())
+        elif self._listed(tag, attrs):
+            state = (state[0], (*state[1], element))
+        if state != self.state:
             self._line()
-        self.open.append((tag, kind, self.kind))
-        self.kind = kind
+        self.open.append(element)
+        self.state = state
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,10 +126,10 @@ class _Reader(HTMLParser):
         if tag in BLOCKS:
             self._line()
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if self.open[k][2] != self.kind:
+            if self.open[k].tag == tag:
+                if self.open[k].around != self.state:
                     self._line()
-                self.kind = self.open[k][2]
+                self.state = self.open[k].around
                 del self.open[k:]
                 return
 
@@ -299,10 +317,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         read = [[t for t, _ in page_lines(h or "")] for h in html]
         return pd.DataFrame({"digest": map(_digest, host, read), "lines": [[_hash(t) for t in x] for x in read], "sizes": [[len(t) for t in x] for x in read]})
 
-    @F.pandas_udf("struct<digest:string,texts:array<string>,article:array<boolean>>")
+    @F.pandas_udf("struct<digest:string,texts:array<string>>")
     def read(host: pd.Series, html: pd.Series) -> pd.DataFrame:
         found = [page_lines(h or "") for h in html]  # lines that the check deletes become null
-        return pd.DataFrame({"digest": [_digest(a, [t for t, _ in x]) for a, x in zip(host, found, strict=True)], "texts": [[t if kind else None for t, kind in x] for x in found], "article": [[kind == 2 for _, kind in x] for x in found]})
+        return pd.DataFrame({"digest": [_digest(a, [t for t, _ in x]) for a, x in zip(host, found, strict=True)], "texts": [[t if kind else None for t, kind in x] for x in found]})
 
     order = F.coalesce(F.col("id").cast("string"), F.lit(""))
     outlines = rows.where("host <> ''").select("host", "path", order.alias("order"), F.col("id").cast("string").alias("id"), outline("host", "html").alias("o")).select("host", "path", "order", "id", "o.*")
@@ -312,7 +330,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     full = rows.select("id", "url", read("host", "html").alias("r")).select("id", "url", "r.*")
     joined = full.join(pairs, "digest", "left").withColumn("mask", F.coalesce("mask", F.transform("texts", lambda _: F.lit(False))))
-    own = F.filter(F.arrays_zip("texts", "article", "mask"), lambda x: x["texts"].isNotNull() & (x["article"] | ~x["mask"]))
+    own = F.filter(F.arrays_zip("texts", "mask"), lambda x: x["texts"].isNotNull() & ~x["mask"])
     made = joined.withColumn("text", F.array_join(F.transform(own, lambda x: x["texts"]), "\n"))
     return made.select(
         F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("texts").cast("long").alias("lines"),

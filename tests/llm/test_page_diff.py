@@ -82,6 +82,17 @@ def test_url_parts(spark):
     assert [tuple(r) for r in df.select(P.url_host("url"), P.url_path("url")).collect()] == [(h, p) for _, h, p in urls]
 
 
+def test_differencing_decides_on_all_lines(spark):
+    body = lambda n: f"<article><p>Read more on our site</p><p>own text {n}</p></article><nav>Menu</nav><div>Terms</div>"
+    got = P.extract(pages(spark, [(k, f"http://a.com/x/{k}", body(k)) for k in (1, 2)])).collect()
+    assert {r["page_id"]: (r["text"], r["lines"], r["shared_lines"]) for r in got} == {k: (f"own text {k}", 4, 3) for k in (1, 2)}
+
+
+def test_marks_never_delete_an_article():
+    html = '<div class="comments widget">Around<article class="post social"><p>Body</p><div class="share">Share</div></article><nav>Menu</nav></div><div class="widget">Box</div><form><main>In a form</main></form><head><div>x'
+    assert [t for t, kind in P.page_lines(html) if kind] == ["Around", "Body", "In a form"]
+
+
 def test_copies_get_one_text(spark):
     one, two = plain("Top", "own one", "Bottom"), plain("Top", "own two", "Bottom")
     rows = [(k, f"http://a.com/x/{k}", one) for k in range(1, 6)] + [(6, "http://a.com/x/6", two), (7, "http://a.com/z", one), (8, "http://a.com/x/1", one)]
