@@ -14,6 +14,12 @@ would meet a template is left out.  Each text is scanned once, inside its row: t
 text are never rows of their own, and nothing but the matches is shuffled.  Only DataFrame
 functions are used.
 
+The templates of one family differ in a few words (version, Lesser, Affero, ShareAlike): a match
+must hold the words that tell its license from the others (`license_texts.required`) between
+its first and last shingle.  Where matches of different licenses lie over each other, the one with the
+most shingles in common wins, then the one with the higher containment, over those that lie
+half or more below it; equal ones stay.
+
 Words are runs of letters and digits in lower case.  Overlapping matches of one template in a
 document are one match, with the best containment.
 
@@ -25,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES, WHOLE, required
+
 WIDTH, BANDS = 5, 20
 
 #: Texts of widely used license notices as (license, variant, text).
@@ -39,13 +47,15 @@ TEMPLATES = [
      "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("BSD", "clauses", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("GPL-3.0", "line", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+    ("GPL-3.0", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
      "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "line", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "line", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Proprietary", "line", "All rights reserved."),
 ]
+#: The registered query's templates.
+FAMILIES = [*TEMPLATES, *NOTICES, *WHOLE]
 
 
 def words_of(text: Column) -> Column:
@@ -112,7 +122,7 @@ def _windows(words: Column, hits: Column, width: int, n: int, anchors: list[int]
     def window(k: Column) -> Column:
         begin = k * step + 1
         span = F.transform(F.sequence(begin, F.least(begin + (length - 1), last)), _hash_at(words, width))
-        return F.struct(F.lit(width).alias("width"), F.lit(n).alias("n"), begin.alias("begin"), span.alias("shingles"))
+        return F.struct(F.lit(width).alias("width"), F.lit(n).alias("n"), begin.alias("begin"), span.alias("shingles"), F.slice(words, begin, length + width - 1).alias("words"))
 
     return F.transform(numbers, window)
 
@@ -134,18 +144,48 @@ def _sizes(words: Column, width: int, by_size: dict[int, list[int]]):
 def scan(docs: DataFrame, texts: list[tuple[str, str, str]] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license, variant, first_word (from 0), n_words, containment of every match."""
     spark = docs.sparkSession
-    known = templates(spark, TEMPLATES if texts is None else texts)
+    used = TEMPLATES if texts is None else texts
+    known = templates(spark, used)
+    phrases = {t[:2]: [f" {x} " for x in required(*t[:2])] for t in used if t in FAMILIES}
     windows = _bind(words_of(F.col(text_col).cast("string")), lambda words: _all_windows(words, known))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(windows).alias("w"))
-    found = rows.select("id", "w.*").withColumn("signature", _signature(F.array_distinct("shingles")))
-    table = spark.createDataFrame([(t["license"], t["variant"], t["width"], t["n"], t["shingles"], t["signature"]) for t in known], "license string, variant string, width int, n int, template array<long>, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), windows.alias("w")).select("id", "row", F.explode("w").alias("w"))
+    found = rows.select("id", "row", "w.*").withColumn("signature", _signature(F.array_distinct("shingles")))
+    table = spark.createDataFrame(
+        [(t["license"], t["variant"], t["width"], t["n"], t["shingles"], t["signature"], phrases.get((t["license"], t["variant"]), [])) for t in known],
+        "license string, variant string, width int, n int, template array<long>, bands array<long>, required array<string>")
     # as many rows as there are templates
     met = found.join(F.broadcast(table), ["width", "n"]).where(F.exists(F.zip_with("signature", "bands", lambda a, b: a == b), lambda x: x))
-    common = F.size(F.array_intersect("shingles", "template"))
-    at = F.filter(F.sequence(F.lit(1), F.size("shingles")), lambda i: F.array_contains(F.col("template"), F.element_at(F.col("shingles"), i)))
-    verified = met.withColumn("common", common).where(F.col("common") * 100 >= F.col("n") * percent).select(
-        "id", "license", "variant", (F.col("begin") + F.array_min(at) - 2).alias("first"), (F.col("begin") + F.array_max(at) - 2 + F.col("width") - 1).alias("last"), (F.col("common") / F.col("n")).alias("containment"))
-    return _merged(verified).withColumnRenamed("id", id_col)
+    size = F.size("shingles")
+    both = met.withColumn("both", F.array_intersect("shingles", "template")).withColumn("common", F.size("both")).where(F.col("common") * 100 >= F.col("n") * percent)
+    turned = F.reverse("shingles")
+    low = F.array_position("shingles", F.element_at("both", 1)).cast("int")
+    high = size + 1 - F.array_position(turned, F.element_at(F.array_intersect(turned, F.col("template")), 1)).cast("int")
+    spans = both.withColumns({"low": low, "high": high})
+    inside = F.concat(F.lit(" "), F.array_join(F.slice("words", F.col("low"), F.col("high") - F.col("low") + F.col("width")), " "), F.lit(" "))
+    verified = spans.where(F.forall("required", lambda x: F.contains(inside, x))).select(
+        "id", "row", "license", "variant", (F.col("begin") + F.col("low") - 2).alias("first"), (F.col("begin") + F.col("high") - 2 + F.col("width") - 1).alias("last"), "common", (F.col("common") / F.col("n")).alias("containment"))
+    return _merged(_best(verified)).withColumnRenamed("id", id_col)
+
+
+def _better(m: Column):
+    """Whether a span of another license wins over m."""
+    def wins(o: Column) -> Column:
+        over = F.least(o["last"], m["last"]) - F.greatest(o["first"], m["first"]) + 1
+        more = (o["common"] > m["common"]) | (o["common"] == m["common"]) & (o["containment"] > m["containment"])
+        return (o["license"] != m["license"]) & (over * 2 >= m["last"] - m["first"] + 1) & more
+
+    return wins
+
+
+def _best(verified: DataFrame) -> DataFrame:
+    """Spans that no competing one wins over; only those of one text that touch are compared."""
+    own = Window.partitionBy("row").orderBy("first", "last")
+    reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = verified.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("row", "island").agg(F.first("id").alias("id"), F.collect_set(F.struct("license", "variant", "first", "last", "common", "containment")).alias("spans"))
+    kept = F.filter("spans", lambda m: ~F.exists("spans", _better(m)))
+    return spans.select("id", F.explode(kept).alias("s")).select("id", "s.license", "s.variant", "s.first", "s.last", "s.containment")
 
 
 def _merged(spans: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def op4_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.FAMILIES)
 
 
 @query

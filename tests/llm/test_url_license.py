@@ -125,3 +125,33 @@ def test_odd_rows(documents):
     got = L.scan(documents([(1, None), (2, ""), (3, line), (3, line), (None, line), (4, line + " x " + line), (5, "the MIT license"), (6, "w " * 30_000 + line)])).collect()
     assert sorted((str(r["doc_id"]), r["first_word"]) for r in got) == [("3", 0), ("4", 0), ("4", 6), ("6", 30_000), ("None", 0)]
     assert L.scan(documents([])).count() == 0
+
+
+def licenses(documents, lines):
+    found = {}
+    for r in L.scan(documents(list(enumerate(lines))), L.FAMILIES).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    return [found.get(k, set()) for k in range(len(lines))]
+
+
+def test_versions_and_variants_are_told_apart(documents):
+    notice = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    lines = {
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"},
+        "This program " + notice.format("Affero General Public License", 3): {"AGPL-3.0"},
+        "This program " + notice.format("Lesser General Public License", 3): {"LGPL-3.0"},
+        "This library " + notice.format("Lesser General Public License", "2.1"): {"LGPL-2.1"},
+        "This program " + notice.format("General Public License", 2): {"GPL-2.0"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        "Licensed under CC BY-SA 4.0.": {"CC-BY-SA-4.0"},
+        "This work is licensed under the GNU General Public License, version 9.": set(),
+    }
+    assert licenses(documents, list(lines)) == list(lines.values())
+
+
+def test_usual_families_are_covered(documents):
+    whole = [(name, text) for name, variant, text in L.FAMILIES if variant in ("whole", "text", "disclaimer")]
+    assert {"ISC", "Unlicense", "CC0-1.0", "EPL-2.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause"} <= {name for name, *_ in L.FAMILIES}
+    for (name, _), got in zip(whole, licenses(documents, [text for _, text in whole]), strict=True):
+        assert name in got
