@@ -5,12 +5,13 @@ rounds of random signs and a fast Hadamard transform, in the next power of two o
 and falls into the bucket of the nearest signed axis.  A query visits the buckets of its `probes`
 nearest signed axes in each of the `tables` tables; every row there is ranked by its exact
 Euclidean distance.  No bucket is capped: large ones are dealt into blocks (vector_blocks.py).
-Every row is indexed and nothing is fitted, so results don't depend on a sample.
+Every row is indexed and nothing is fitted, so results don't depend on a sample.  Queries that found
+fewer than k rows are ranked against all rows of their length.
 
 Defined results: vectors that are null, empty or zero or hold a null or non-finite component
 take no part, nor do rows with a null id; vectors of different lengths are not compared; rows of
 one id are one candidate (its smallest distance), and a query never meets a row of its own id;
-ties go to the smaller vec_id; fewer rows found than k give them all; other columns of the
+ties go to the smaller vec_id; fewer than k rows of its length give them all; other columns of the
 input are ignored.
 """
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .vector_blocks import search, usable
 
 SPREAD = 256  # buckets of one table; longer vectors' axes are folded onto them
@@ -82,8 +84,9 @@ def nearest(
 
         return df.mapInPandas(run, "vec_id long, v array<double>, cells array<int>").select(F.explode("cells").alias("cell"), "vec_id", "v")
 
+    asked = rows.where(query_ids(F.col("vec_id")))
     table = hashed(rows, 1)
-    queries = hashed(rows.where(query_ids(F.col("vec_id"))), probes).withColumnRenamed("vec_id", "query_id")
+    queries = hashed(asked, probes).withColumnRenamed("vec_id", "query_id")
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -103,4 +106,14 @@ def nearest(
                 out += [(query_id, i, d) for i, d in found.items()]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return search(table, queries, tables * SPREAD, kernel, k, largest=False, score="double")
+    found = materialise(search(table, queries, tables * SPREAD, kernel, k, largest=False, score="double"), "neighbours")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = asked.join(full, "vec_id", "left_anti")
+    if short.isEmpty():
+        return found
+    short = materialise(short, "short-queries")
+    length = F.size("v").alias("n")
+    alike = rows.withColumn("n", length).join(short.select(length).distinct(), "n", "left_semi")  # only rows of the lengths that came short
+    cell = (length % SPREAD).alias("cell")
+    more = search(alike.select(cell, "vec_id", "v"), short.select(cell, F.col("vec_id").alias("query_id"), "v"), SPREAD, kernel, k, largest=False, score="double")
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(more)

@@ -121,3 +121,18 @@ def test_blocks_lose_no_pair(spark):
 
     got = search(rows, queries, 3, kernel, 1000, True, "long", block=16, query_block=4)
     assert got.count() == 200 * 20 and got.where("score != 1000 * query_id + vec_id").count() == 0
+
+
+def test_cross_polytope_gives_all_rows_of_small_tables(spark):
+    few = vectors(5, seed=3, dim=64)
+    rare = [(1000 + i, v) for i, v in vectors(7, seed=4, dim=33)]
+    for rows in (few, [*vectors(300, dim=64), *rare]):
+        got = {}
+        for r in cross_polytope.nearest(frame(spark, rows), lambda c: (c < 5) | (c >= 1000)).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        for i, v in rows:
+            if i < 5 or i >= 1000:
+                near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for j, w in rows if j != i and len(w) == len(v))[:10]
+                assert sorted(got[i]) == list(range(1, len(near) + 1))
+                if len(near) < 10:
+                    assert [got[i][k + 1][0] for k in range(len(near))] == [j for _, j in near]
