@@ -8,7 +8,23 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, jaccard_join, license_scan, page_diff, pivot_topk, quality_qda, toxicity_gbt, trie_bpe, url_filter, vector_packing
+from . import (
+    blob_ledger,
+    cross_polytope,
+    filter_audit,
+    jaccard_join,
+    license_scan,
+    merkle_manifest,
+    page_diff,
+    pivot_topk,
+    quality_qda,
+    toxicity_gbt,
+    trie_bpe,
+    url_filter,
+    vector_packing,
+)
+from . import oracle_sql as sql
+from ..session import scratch_path
 from .common import crc_fold, materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +131,27 @@ def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    built = merkle_manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": lower}, where=crc_fold("doc_id", 3) == 0)
+    return merkle_manifest.verify(built)
+
+
+@query
+def op13_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.secrets(table(spark, sf_dir, "documents"), scratch_path(spark, "llm-secret-ledger"), "documents")
+
+
+ORACLE["op11_filter_audit"] = sql.FILTER_AUDIT
+ORACLE["op12_merkle_manifest"] = sql.MERKLE_MANIFEST
+ORACLE["op13_blob_ledger"] = sql.BLOB_LEDGER
+
 ORACLE["op1_pivot_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
