@@ -2,9 +2,8 @@
 box summaries, kernel density, scatter, and the test battery.
 
 Every statistic is a combinable aggregate (count/avg/var/covar/regr_*), so a
-hot group is reduced on the map side; test statistics are column arithmetic
-on the resulting one-row-per-test tables; p-values are a pandas UDF on those
-few rows.
+hot group is reduced on the map side; test statistics and p-values are column arithmetic
+on the resulting one-row-per-test tables.
 """
 from __future__ import annotations
 
@@ -12,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.bounded import bounded
 from ..functions.pvalues import p_value_f, p_value_t
@@ -214,28 +214,41 @@ def kde(df: DataFrame, col: str, points: int = 50, bandwidth: float | None = Non
 
 # ---------------------------------------------------------------- O-76
 def test_battery(df: DataFrame, value: str, two_group=(), multi_group=(), regressors=()) -> DataFrame:
-    """Welch tests, ANOVAs and OLS slopes in one long table with p-values."""
-    parts = []
-    for g in two_group:
-        w = welch(df, g, value)
-        parts.append(w.select(F.lit("welch").alias("test"), F.col("group_col").alias("factor"),
-                              F.col("t").alias("statistic"), F.col("df").alias("df1"),
-                              F.lit(None).cast("double").alias("df2"),
-                              p_value_t(F.col("t"), F.col("df")).alias("p_value")))
-    for g in multi_group:
-        a = anova(df, g, value)
-        parts.append(a.select(F.lit("anova").alias("test"), F.col("group_col").alias("factor"),
-                              F.col("f").alias("statistic"), F.col("df_between").cast("double").alias("df1"),
-                              F.col("df_within").cast("double").alias("df2"),
-                              p_value_f(F.col("f"), F.col("df_between").cast("double"),
-                                        F.col("df_within").cast("double")).alias("p_value")))
-    for x in regressors:
-        o = ols(df, x, value)
-        parts.append(o.select(F.lit("ols").alias("test"), F.col("x").alias("factor"),
-                              F.col("t").alias("statistic"), F.col("df").cast("double").alias("df1"),
-                              F.lit(None).cast("double").alias("df2"),
-                              p_value_t(F.col("t"), F.col("df").cast("double")).alias("p_value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("significant", F.col("p_value") < 0.05)
+    """Welch tests, ANOVAs and OLS slopes in one long table with p-values, from one pass over `df`.
+
+    Every row is unpivoted to one entry for each test, (test, factor, level, x), and added up to the mergeable moments of
+    (test, factor, level); the statistics come from those.  A two-group factor with more or fewer groups is an error
+    when the table is read.  An empty factor (all NULL) gives a row of NULLs only for the regressions."""
+    entries = [F.struct(F.lit(t).alias("test"), F.lit(o).alias("o"), F.lit(c).alias("factor"), level.alias("level"), x.alias("x")) for o, (t, c, level, x) in enumerate(
+        [("welch", g, F.col(g).cast("string"), F.col(g).cast("double") if isinstance(df.schema[g].dataType, NumericType) else F.lit(None).cast("double")) for g in two_group]
+        + [("anova", g, F.col(g).cast("string"), F.lit(None).cast("double")) for g in multi_group]
+        + [("ols", c, F.lit(None).cast("string"), F.col(c).cast("double")) for c in regressors])]
+    if not entries:
+        raise ValueError("no tests asked for")
+    long = df.select(F.col(value).cast("double").alias("y"), F.explode(F.array(*entries)).alias("e")).select("y", "e.*")
+    long = long.where((F.col("test") == "ols") | (F.col("level").isNotNull() & F.col("y").isNotNull()))
+    moments = long.groupBy("test", "o", "factor", "level").agg(
+        F.count("y").alias("n"), F.avg("y").alias("m"), F.coalesce(F.var_samp("y"), F.lit(0.0)).alias("v"), F.var_samp("y").isNull().alias("lone"), F.min("x").alias("x"),
+        F.regr_count("y", "x").alias("rn"), F.regr_slope("y", "x").alias("slope"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
+    # lowest and highest level are the two groups of a Welch test; an ANOVA needs sums over all levels only
+    level = {name: (F.min_by(name, F.struct("x", "level")).alias(f"{name}_a"), F.max_by(name, F.struct("x", "level")).alias(f"{name}_b")) for name in ("n", "m", "v", "lone")}
+    tests = moments.groupBy("test", "o", "factor").agg(
+        F.count("level").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"),
+        F.sum((F.col("n") - 1) * F.col("v")).alias("within"), *[c for pair in level.values() for c in pair],
+        F.max("rn").alias("rn"), F.max("slope").alias("slope"), F.max("sxx").alias("sxx"), F.max("syy").alias("syy"))
+
+    two = F.when(F.col("k") == 2, F.lit(True)).otherwise(F.raise_error(F.concat(F.col("factor"), F.lit(" must have exactly 2 groups, has "), F.col("k").cast("string"))).cast("boolean"))
+    se = [F.when(~F.col(f"lone_{g}"), F.col(f"v_{g}") / F.col(f"n_{g}")) for g in "ab"]
+    t = F.when(two, F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(se[0] + se[1])))
+    freedom = F.try_divide(F.pow(se[0] + se[1], 2), F.try_divide(F.pow(se[0], 2), F.col("n_a") - 1) + F.try_divide(F.pow(se[1], 2), F.col("n_b") - 1))
+    between = F.col("nmm") - F.col("nm") * F.try_divide(F.col("nm"), F.col("n"))
+    f = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k")))
+    rest = F.try_divide(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.col("rn") - 2)
+    slope_t = F.try_divide(F.col("slope"), F.sqrt(F.try_divide(rest, F.col("sxx"))))
+    test = F.col("test")
+    stats = tests.select(
+        "test", "factor", F.when(test == "welch", t).when(test == "anova", f).otherwise(slope_t).alias("statistic"),
+        F.when(test == "welch", freedom).when(test == "anova", F.col("k") - 1).otherwise(F.col("rn") - 2).cast("double").alias("df1"),
+        F.when(test == "anova", F.col("n") - F.col("k")).cast("double").alias("df2"))
+    p = F.when(test == "anova", p_value_f(F.col("statistic"), F.col("df1"), F.col("df2"))).otherwise(p_value_t(F.col("statistic"), F.col("df1")))
+    return stats.withColumn("p_value", p).withColumn("significant", F.col("p_value") < 0.05)

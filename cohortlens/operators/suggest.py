@@ -8,12 +8,24 @@ one task.  A row whose distance is unknown (a missing value in a known numeric
 field) is no neighbour.  With no known field there is no distance: the whole
 table is the neighbourhood and no row is closest.  Missing fields are filled with
 the neighbours' median (numeric, half-even to an integer) or lowest mode (text).
+
+`suggest_many` answers a whole table of requests at once.  Neither side meets the other row by row:
+the reference is reduced to the distinct tuples of the fields that a request knows, each with its k smallest keys
+(more can't be among the k nearest), the requests to their distinct tuples, and both are compared in
+blocks.  The work grows with the number of distinct tuples, not with the rows behind them.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.topk import modes
+from .ranks import exact_quantiles
+
 # fixed values
 K_NEIGHBOURS = 15
 N_SHOWN = 6
@@ -47,11 +59,113 @@ def suggest(df: DataFrame, key: str, known: dict, numeric, categorical, k: int =
         dist = dist + t
     rows = df.select(key, *fields, dist.alias("distance"))
     near = rows.filter(F.col("distance").isNotNull()).orderBy("distance", key).limit(k) if known else rows
+    if not known:
+        return _typical(df, numeric, categorical), near.limit(0).select(key, "distance")
     aggs = [F.bround(F.percentile(F.col(c), F.lit(0.5)), 0).cast("bigint").cast("string").alias(c)
             for c in numeric if c in missing]
     aggs += [F.mode(c, deterministic=True).alias(c) for c in categorical if c in missing]
     row = near.agg(*aggs)
     out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
                                           for c in missing])).alias("s")).select("s.*")
-    closest = near.orderBy("distance", key).limit(N_SHOWN if known else 0).select(key, "distance")
+    closest = near.orderBy("distance", key).limit(N_SHOWN).select(key, "distance")
     return out, closest
+
+
+def _typical(df: DataFrame, numeric, categorical) -> DataFrame:
+    """(field, value) of the whole table: exact medians from the prefix counts, lowest modes."""
+    most = modes(df, categorical)
+    middle = exact_quantiles(df, numeric, [0.5]).select("field", F.bround("q0", 0).cast("bigint").cast("string").alias("value"))
+    fields = df.sparkSession.createDataFrame([(c,) for c in numeric] + [(c,) for c in categorical], "field string")
+    text = F.create_map(*[x for c in categorical for x in (F.lit(c), F.lit(most[c]))]) if categorical else F.lit(None).cast("map<string,string>")
+    return fields.join(middle, "field", "left").select("field", F.coalesce("value", text[F.col("field")]).alias("value"))
+
+
+def suggest_many(df: DataFrame, key: str, requests: DataFrame, request: str, numeric, categorical,
+                 k: int = K_NEIGHBOURS, shown: int = N_SHOWN, block: int = 2048):
+    """`suggest` for every row of `requests` (unique `request`, and the fields, NULL or blank where unknown):
+    (answers [request, field, value], closest [request, rank, key, distance]).
+
+    Distances are rounded to 9 decimals, so that equal ones are ties whatever the order of summing; the
+    smaller key wins.  A request that knows nothing gets the typical values and no closest row, one that knows everything no answer.
+    `key` is unique in `df`."""
+    fields = [*numeric, *categorical]
+    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    scaled = [c for c in numeric if spread[c]]  # a constant field tells nothing apart
+    known = {c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in fields}
+    asked = requests.select(F.col(request).alias("_request"), *[F.when(known[c], F.col(c)).alias(c) for c in fields])
+    pattern = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(fields)])
+    asked = asked.withColumn("_pattern", pattern).withColumn("_known", F.to_json(F.struct("_pattern", *fields)))
+    patterns = [r[0] for r in asked.select("_pattern").distinct().collect()]  # at most 2 ^ fields
+    full = (1 << len(fields)) - 1
+    partial = [p for p in patterns if 0 < p < full]
+
+    # the k smallest keys of each tuple, first of all fields, then of those that a pattern knows
+    rows = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in numeric], *categorical)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*fields).orderBy("_key"))).where(F.col("_n") <= k)
+    rows = rows.withColumn("_pattern", F.explode(F.array(*[F.lit(p) for p in partial]).cast("array<int>")))
+    seen = {c: F.col("_pattern").bitwiseAND(1 << i) > 0 for i, c in enumerate(fields)}
+    rows = rows.where(reduce(lambda a, b: a & b, [~seen[c] | F.col(c).isNotNull() for c in scaled], F.lit(True)))
+    numbers = F.array(*[F.when(seen[c], F.col(c)) for c in scaled]).cast("array<double>")
+    texts = F.array(*[F.when(seen[c], F.col(c)) for c in categorical]).cast("array<string>")
+    rows = rows.select("_pattern", numbers.alias("_numbers"), texts.alias("_texts"), "_key")
+    own = Window.partitionBy("_pattern", "_numbers", "_texts").orderBy("_key")
+    tuples = rows.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= k).groupBy("_pattern", "_numbers", "_texts").agg(F.collect_list("_key").alias("_keys"))
+
+    wanted = asked.where(F.col("_pattern").isin(partial)).dropDuplicates(["_known"]).select(
+        "_pattern", "_known", F.array(*[F.col(c).cast("double") for c in scaled]).cast("array<double>").alias("_numbers"), F.array(*categorical).cast("array<string>").alias("_texts"))
+    found = _nearest(tuples, wanted, [spread[c] for c in scaled], df.schema[key].dataType.simpleString(), k, block)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_known").orderBy("distance", "_key"))).where(F.col("rank") <= k)
+
+    near = ranked.select("_known", F.col("_key").alias(key)).join(df.select(key, *fields), key)
+    values = near.groupBy("_known").agg(
+        *[F.bround(F.percentile(F.col(c), F.lit(0.5)), 0).cast("bigint").cast("string").alias(c) for c in numeric],
+        *[F.mode(c, deterministic=True).cast("string").alias(c) for c in categorical])
+    entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"), F.col(c).alias("value")) for i, c in enumerate(fields)])
+    values = values.select("_known", F.explode(entries).alias("e"))
+    mine = asked.select("_request", "_pattern", "_known")
+    unknown = F.get(F.array(*[F.col("_pattern").bitwiseAND(1 << i) == 0 for i in range(len(fields))]), F.col("e.i"))
+    answers = mine.join(values, "_known").where(unknown).select(F.col("_request").alias(request), "e.field", "e.value")
+    if 0 in patterns:
+        typical = F.array(*[F.struct(F.lit(r["field"]).alias("field"), F.lit(r["value"]).alias("value")) for r in _typical(df, numeric, categorical).collect()])
+        answers = answers.union(mine.where("_pattern = 0").select("_request", F.explode(typical).alias("e")).select("_request", "e.field", "e.value"))
+    closest = mine.join(ranked.where(F.col("rank") <= shown), "_known").select(F.col("_request").alias(request), "rank", F.col("_key").alias(key), "distance")
+    return answers, closest
+
+
+def _nearest(tuples: DataFrame, wanted: DataFrame, spread: list[float], key_type: str, k: int, block: int) -> DataFrame:
+    """(_known, _key, distance): of every block of tuples the k nearest keys of each request."""
+    sizes = tuples.groupBy("_pattern").agg(F.ceil(F.count("*") / block).cast("int").alias("_t")).join(
+        wanted.groupBy("_pattern").agg(F.ceil(F.count("*") / block).cast("int").alias("_q")), "_pattern")  # one row for each pattern
+
+    def dealt(rows: DataFrame, mine: str, theirs: str, name: str) -> DataFrame:
+        """Rows in blocks of their own, each copied to all blocks of the other side."""
+        other = "_block_t" if name == "_block_q" else "_block_q"
+        placed = rows.join(sizes, "_pattern").withColumn(name, F.pmod(F.xxhash64("_numbers", "_texts"), F.col(mine)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, keys, distances = [], [], []
+        if len(left) and len(right):
+            x, v = (np.array(t["_numbers"].to_pylist(), dtype=np.float64).reshape(len(t), -1) for t in (left, right))
+            distance = np.zeros((len(right), len(left)))
+            for j, s in enumerate(spread):
+                if not np.isnan(v[0, j]):
+                    distance += ((x[:, j] - v[:, j:j + 1]) / s) ** 2
+            a, b = left["_texts"].to_pylist(), right["_texts"].to_pylist()
+            for j in range(len(b[0])):
+                if b[0][j] is not None:
+                    distance += np.where(np.array([t[j] for t in a], dtype=object) == np.array([[t[j]] for t in b], dtype=object), 0.0, MISMATCH_PENALTY ** 2)
+            distance = np.round(distance, 9)
+            ids = left["_keys"].to_pylist()
+            for q, (name, row) in enumerate(zip(right["_known"].to_pylist(), distance, strict=True)):
+                last = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+                best = sorted((row[t], i) for t in np.flatnonzero(row <= last) for i in ids[t])[:k]
+                known += [name] * len(best)
+                keys += [i for _, i in best]
+                distances += [float(d) for d, _ in best]
+        return pa.table({"_known": pa.array(known, pa.string()), "_key": pa.array(keys, left["_keys"].type.value_type), "distance": pa.array(distances, pa.float64())})
+
+    by = ["_pattern", "_block_t", "_block_q"]
+    t = dealt(tuples, "_t", "_q", "_block_t").select(*by, "_numbers", "_texts", "_keys")
+    q = dealt(wanted, "_q", "_t", "_block_q").select(*by, "_known", "_numbers", "_texts")
+    return t.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(compare, f"_known string, _key {key_type}, distance double")

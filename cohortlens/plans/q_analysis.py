@@ -245,7 +245,35 @@ def q_kde(spark, sf_dir):
     return rounded(S.kde(curated(spark, sf_dir), "g3"))
 
 
-@register("pvalue_battery")
+_BATTERY_X = ("effort", "absences", "failures")
+_BATTERY_SQL = """
+, wg AS (SELECT flag AS g, COUNT(g3) AS n, AVG(g3) AS m, VAR_SAMP(g3) / COUNT(g3) AS se FROM curated WHERE flag IS NOT NULL GROUP BY flag),
+""" + ", ".join(f"""g_{c} AS (SELECT {c} AS g, COUNT(g3) AS n, AVG(g3) AS m, COALESCE(VAR_SAMP(g3), 0) AS v FROM curated WHERE {c} IS NOT NULL AND g3 IS NOT NULL GROUP BY {c})""" for c in ("effort", "segment")) + """,
+tests AS (
+  SELECT 'welch' AS test, 'flag' AS factor, (a.m - b.m) / SQRT(a.se + b.se) AS statistic,
+         POW(a.se + b.se, 2) / (POW(a.se, 2) / (a.n - 1) + POW(b.se, 2) / (b.n - 1)) AS df1, NULL AS df2 FROM wg a, wg b WHERE a.g < b.g
+""" + "".join(f"""  UNION ALL SELECT 'anova', '{c}', ((SUM(n * m * m) - SUM(n * m) * SUM(n * m) / SUM(n)) / (COUNT(*) - 1)) / (SUM((n - 1) * v) / (SUM(n) - COUNT(*))),
+         COUNT(*) - 1, SUM(n) - COUNT(*) FROM g_{c}
+""" for c in ("effort", "segment")) + "".join(f"""  UNION ALL SELECT 'ols', '{c}', REGR_SLOPE(g3, {c}) / SQRT(((REGR_SYY(g3, {c}) - POW(REGR_SLOPE(g3, {c}), 2) * REGR_SXX(g3, {c})) / (REGR_COUNT(g3, {c}) - 2)) / REGR_SXX(g3, {c})),
+         REGR_COUNT(g3, {c}) - 2, NULL FROM curated
+""" for c in _BATTERY_X) + """),
+par AS (SELECT *, CAST(CASE WHEN test = 'anova' THEN df2 / 2 ELSE df1 / 2 END AS DOUBLE) AS a0, CAST(CASE WHEN test = 'anova' THEN df1 / 2 ELSE 0.5 END AS DOUBLE) AS b0,
+               CAST(CASE WHEN test = 'anova' THEN df2 / (df2 + df1 * statistic) ELSE df1 / (df1 + statistic * statistic) END AS DOUBLE) AS x0 FROM tests),
+side AS (SELECT *, x0 < (a0 + 1) / (a0 + b0 + 2) AS low FROM par),
+ready AS (SELECT *, CASE WHEN low THEN a0 ELSE b0 END AS a, CASE WHEN low THEN b0 ELSE a0 END AS b, CASE WHEN low THEN x0 ELSE 1 - x0 END AS x FROM side),
+frac AS (
+  SELECT test, factor, a, b, x, 0 AS i, CAST(1 AS DOUBLE) AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM ready
+  UNION ALL
+  SELECT test, factor, a, b, x, i + 1, 1 + odd / c1, 1 / (1 + odd * d1), h1 * (1 + odd / c1) / (1 + odd * d1)
+  FROM (SELECT *, -(a + i + 1) * (a + b + i + 1) * x / ((a + 2 * i + 2) * (a + 2 * i + 3)) AS odd, 1 + even / c AS c1, 1 / (1 + even * d) AS d1, h * (1 + even / c) / (1 + even * d) AS h1
+        FROM (SELECT *, (i + 1) * (b - i - 1) * x / ((a + 2 * i + 1) * (a + 2 * i + 2)) AS even FROM frac WHERE i < 1500))),
+p AS (SELECT r.*, EXP(LGAMMA(r.a0 + r.b0) - LGAMMA(r.a0) - LGAMMA(r.b0) + r.a0 * LN(r.x0) + r.b0 * LN(1 - r.x0)) * f.h / r.a AS part
+      FROM ready r JOIN frac f ON r.test = f.test AND r.factor = f.factor AND f.i = 1500)
+SELECT test, factor, ROUND(statistic, 6) AS statistic, ROUND(CAST(df1 AS DOUBLE), 6) AS df1, ROUND(CAST(df2 AS DOUBLE), 6) AS df2,
+       ROUND(CASE WHEN low THEN part ELSE 1 - part END, 6) AS p_value, CASE WHEN low THEN part ELSE 1 - part END < 0.05 AS significant FROM p"""
+
+
+@register("pvalue_battery", with_curated(_BATTERY_SQL).replace("WITH subjects AS", "WITH RECURSIVE subjects AS", 1))
 def q_battery(spark, sf_dir):
     return rounded(S.test_battery(curated(spark, sf_dir), "g3", two_group=["flag"], multi_group=["effort", "segment"],
                                   regressors=["effort", "absences", "failures"]))

@@ -6,16 +6,19 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded
+from ..functions.topk import modes
+from ..operators import foldsums as FS
 from ..operators import models as M
 from ..operators import segment as SG
 from ..operators import suggest as SU
 from ..operators import whatif as W
+from ..operators.ranks import exact_quantiles
 from ..roles import SUBJECTS as R
 from ..sources.intake import segment_members
 from ..sources.tables import read
 from .curated import curated
 from .oracle import with_curated
-from .registry import register, rounded
+from .registry import ORACLE, register, rounded
 
 HABITS = ("effort", "absences")
 PERIODS = ("g1", "g2")
@@ -25,6 +28,10 @@ def _scorer(df, inputs=HABITS):
     return W.LinearScorer.fit(df, inputs, "g3")
 
 
+def _medians(df, cols):
+    return {r["field"]: r["q0"] for r in exact_quantiles(df, cols, [0.5]).collect()}
+
+
 def _coef_sql(x1, x2, name):
     return f"""
 , st_{name} AS (SELECT COVAR_SAMP({x1}, {x1}) s11, COVAR_SAMP({x1}, {x2}) s12, COVAR_SAMP({x2}, {x2}) s22,
@@ -92,8 +99,7 @@ SELECT subject_id, ROUND(base, 6) AS base, CAST(rank AS INT) AS rank, factor, RO
        ROUND(typical, 6) AS typical, ROUND(impact, 6) AS impact FROM r"""))
 def q_explain(spark, sf_dir):
     df = curated(spark, sf_dir)
-    t = df.agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in HABITS]).first().asDict()
-    return rounded(W.explain(df, _scorer(df), "subject_id", t))
+    return rounded(W.explain(df, _scorer(df), "subject_id", _medians(df, HABITS)))
 
 
 @register("residual_outliers", with_curated(_coef_sql("g1", "g2", "fullm") + f"""
@@ -134,7 +140,76 @@ FROM last l JOIN b ON l.subject_id = b.subject_id WHERE rn = 1"""
 def q_plan(spark, sf_dir):
     """O-80 for every row (target 12): one row-wise expression; the oracle is a recursive CTE."""
     df = curated(spark, sf_dir)
-    return rounded(W.greedy_plan(df, R, _scorer(df), "subject_id", 12.0))
+    return rounded(W.greedy_plan(df, R, _scorer(df), "subject_id", 12.0).drop("changes"))
+
+
+# steps of one lever in a row are one island: the step number less the number among the lever's steps is the same
+_STEPS_SQL = _PLAN_SQL[:_PLAN_SQL.index("last AS (")] + """
+moves AS (SELECT subject_id, n, e, a, LAG(e) OVER w AS e1, LAG(a) OVER w AS a1 FROM plan WINDOW w AS (PARTITION BY subject_id ORDER BY n)),
+one AS (SELECT subject_id, n, CASE WHEN e > e1 THEN 'effort' ELSE 'absences' END AS lever, CASE WHEN e > e1 THEN e1 ELSE a1 END AS x, CASE WHEN e > e1 THEN e ELSE a END AS y
+        FROM moves WHERE n > 0),
+isl AS (SELECT *, n - ROW_NUMBER() OVER (PARTITION BY subject_id, lever ORDER BY n) AS g FROM one),
+merged AS (SELECT subject_id, lever, MIN(n) AS n, arg_min(x, n) AS x, arg_max(y, n) AS y FROM isl GROUP BY subject_id, lever, g),
+listed AS (SELECT subject_id, string_agg(lever || ':' || CAST(CAST(x AS DOUBLE) AS VARCHAR) || '->' || CAST(CAST(y AS DOUBLE) AS VARCHAR), ',' ORDER BY n) AS changes, COUNT(*) AS n_changes FROM merged GROUP BY subject_id),
+last AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY n DESC) AS rn FROM plan)
+SELECT l.subject_id, ROUND(CAST(p AS DOUBLE), 6) AS final_pred, CAST(n AS INT) AS steps, p >= 12.0 AS reached, COALESCE(changes, '') AS changes,
+       CAST(COALESCE(n_changes, 0) AS INT) AS n_changes FROM last l LEFT JOIN listed s ON s.subject_id = l.subject_id WHERE rn = 1"""
+_STEPS_SQL = with_curated(_STEPS_SQL).replace("WITH subjects AS", "WITH RECURSIVE subjects AS", 1)
+
+
+def _steps(plan):
+    text = F.transform("changes", lambda s: F.concat_ws("", s["lever"], F.lit(":"), s["from_value"].cast("string"), F.lit("->"), s["to_value"].cast("string")))
+    return rounded(plan.select("subject_id", "final_pred", "steps", "reached", F.array_join(text, ",").alias("changes"), F.size("changes").alias("n_changes")))
+
+
+@register("greedy_plan_steps", _STEPS_SQL)
+def q_plan_steps(spark, sf_dir):
+    """O-80: the steps of every plan in order, those of one lever in a row merged."""
+    df = curated(spark, sf_dir)
+    return _steps(W.greedy_plan(df, R, _scorer(df), "subject_id", 12.0))
+
+
+@register("greedy_plan_scored", _STEPS_SQL)
+def q_plan_scored(spark, sf_dir):
+    """O-80 by rounds over the frontier, as a trained model needs it; here with the linear scorer."""
+    df = curated(spark, sf_dir)
+    return _steps(W.greedy_plan_scored(df, R, _scorer(df), "subject_id", 12.0))
+
+
+@register("quick_wins_scored", ORACLE["quick_wins"])
+def q_quick_wins_scored(spark, sf_dir):
+    """O-81 by scoring all candidates as rows; here with the linear scorer."""
+    df = curated(spark, sf_dir)
+    return rounded(W.quick_wins_scored(df, R, _scorer(df), "subject_id"))
+
+
+@register("explain_scored", ORACLE["explain"])
+def q_explain_scored(spark, sf_dir):
+    """O-83 by scoring all candidates as rows; here with the linear scorer."""
+    df = curated(spark, sf_dir)
+    out = W.explain_scored(df, _scorer(df), "subject_id", _medians(df, HABITS))
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in ("value", "typical")}))
+
+
+def _forest(df, trees=20):
+    from pyspark.ml.regression import RandomForestRegressor
+    model = Pipeline(stages=M.preprocessor(NUMERIC_HABITS, CATS) + [RandomForestRegressor(labelCol="g3", numTrees=trees, maxDepth=6, seed=M.SEED)]).fit(df)
+    return W.ModelScorer(model, (*NUMERIC_HABITS, *CATS))
+
+
+@register("quick_wins_forest")
+def q_quick_wins_forest(spark, sf_dir):
+    """O-81 with a trained forest, which no SQL expresses; tests hold it against single predictions."""
+    df = curated(spark, sf_dir)
+    return rounded(W.quick_wins_scored(df, R, _forest(df), "subject_id"))
+
+
+@register("explain_forest")
+def q_explain_forest(spark, sf_dir):
+    """O-83 with a trained forest, text factors included."""
+    df = curated(spark, sf_dir)
+    typical = {**_medians(df, NUMERIC_HABITS), **modes(df, CATS)}
+    return rounded(W.explain_scored(df, _forest(df), "subject_id", typical))
 
 
 KNN_NUM = ["effort", "absences", "failures", "n_orders"]
@@ -179,6 +254,47 @@ def q_knn_closest(spark, sf_dir):
     return rounded(near)
 
 
+# one request for each customer of a segment; what it knows depends on the row
+_KNN_FIELDS = ("effort", "absences", "failures", "n_orders", "segment", "flag")
+_KNOWS = {"effort": "effort >= 2", "flag": "flag = 'yes'", "absences": "failures >= 1"}
+_KNN_BATCH = with_curated("""
+, sd AS (SELECT STDDEV_SAMP(effort) AS s_effort, STDDEV_SAMP(absences) AS s_absences FROM curated),
+req AS (SELECT subject_id AS request_id, """ + ", ".join(f"CASE WHEN {w} THEN {c} END AS k_{c}" for c, w in _KNOWS.items()) + """
+        FROM curated WHERE segment = 'BUILDING'),
+d AS (SELECT request_id, k_effort, k_flag, k_absences, c.*, k_effort IS NULL AND k_flag IS NULL AND k_absences IS NULL AS nothing,
+             ROUND((CASE WHEN k_effort IS NULL THEN 0.0 ELSE POW((c.effort - k_effort) / s_effort, 2) END)
+                   + (CASE WHEN k_absences IS NULL THEN 0.0 ELSE POW((c.absences - k_absences) / s_absences, 2) END)
+                   + (CASE WHEN k_flag IS NULL OR c.flag = k_flag THEN 0.0 ELSE 6.25 END), 9) AS distance FROM req, curated c, sd),
+n AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY distance, subject_id) AS rank FROM d)
+      WHERE rank <= 15 OR nothing)
+""")
+
+
+def _requests(df):
+    known = [F.when(F.expr(_KNOWS[c]), F.col(c)).alias(c) if c in _KNOWS else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in _KNN_FIELDS]
+    return df.filter("segment = 'BUILDING'").select(F.col("subject_id").alias("request_id"), *known)
+
+
+@register("knn_batch", _KNN_BATCH + " UNION ALL ".join(
+    f"SELECT request_id, '{c}' AS field, CAST(CAST(round_even(quantile_cont({c}, 0.5), 0) AS BIGINT) AS VARCHAR) AS value FROM n "
+    f"WHERE {f'k_{c} IS NULL' if c in _KNOWS else 'TRUE'} GROUP BY request_id" for c in KNN_NUM)
+    + "".join(f""" UNION ALL SELECT request_id, '{c}', {c} FROM (SELECT request_id, {c},
+    ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY COUNT(*) DESC, {c}) AS o FROM n
+    WHERE {f'k_{c} IS NULL' if c in _KNOWS else 'TRUE'} GROUP BY request_id, {c}) WHERE o = 1""" for c in KNN_CAT))
+def q_knn_batch(spark, sf_dir):
+    """O-82 for a table of requests: suggested values."""
+    df = curated(spark, sf_dir)
+    return SU.suggest_many(df, "subject_id", _requests(df), "request_id", KNN_NUM, KNN_CAT)[0]
+
+
+@register("knn_batch_closest", _KNN_BATCH + """
+SELECT request_id, CAST(rank AS INT) AS rank, subject_id, ROUND(distance, 6) AS distance FROM n WHERE rank <= 6 AND NOT nothing""")
+def q_knn_batch_closest(spark, sf_dir):
+    """O-82/O-64 for a table of requests: the six closest rows of each."""
+    df = curated(spark, sf_dir)
+    return rounded(SU.suggest_many(df, "subject_id", _requests(df), "request_id", KNN_NUM, KNN_CAT)[1])
+
+
 NUMERIC_HABITS = ["n_orders", "effort", "failures", "absences"]
 CATS = ["segment", "flag"]
 
@@ -192,6 +308,69 @@ def q_train_reg(spark, sf_dir):
     return res[0].unionByName(res[1])
 
 
+_LINEAR_INPUTS = {"habits": HABITS, "periods": PERIODS}
+
+
+def _bucket_sql(salt, n):
+    return f"CAST('0x' || substr(md5(CAST(subject_id AS VARCHAR) || '{salt}'), 1, 8) AS BIGINT) % {n}"
+
+
+def _fold_fit_sql(name, x1, x2):
+    """The fit without each fold (-1: with all), and its errors on that fold (-1: on the test rows)."""
+    return f""",
+b_{name} AS (SELECT {x1} AS x1, {x2} AS x2, g3 AS y, CASE WHEN {_bucket_sql('split', 100)} < 20 THEN -1 ELSE {_bucket_sql('fold', 5)} END AS fold FROM curated),
+f_{name} AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f),
+s_{name} AS (SELECT f, COVAR_POP(x1, x1) s11, COVAR_POP(x1, x2) s12, COVAR_POP(x2, x2) s22, COVAR_POP(x1, y) s1y, COVAR_POP(x2, y) s2y, AVG(x1) m1, AVG(x2) m2, AVG(y) my
+             FROM f_{name} JOIN b_{name} ON fold >= 0 AND fold <> f GROUP BY f),
+u_{name} AS (SELECT f, m1, m2, my, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS u1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS u2 FROM s_{name}),
+e_{name} AS (SELECT f, y, y - (my + u1 * (x1 - m1) + u2 * (x2 - m2)) AS e FROM u_{name} JOIN b_{name} ON fold = f),
+r_{name} AS (SELECT f, 1 - SUM(e * e) / (COUNT(*) * VAR_POP(y)) AS r2, SQRT(AVG(e * e)) AS rmse, AVG(ABS(e)) AS mae FROM e_{name} GROUP BY f),
+o_{name} AS (SELECT '{name}' AS variant, AVG(r2) FILTER (WHERE f >= 0) AS cv_r2_mean, STDDEV_POP(r2) FILTER (WHERE f >= 0) AS cv_r2_std,
+             MAX(r2) FILTER (WHERE f < 0) AS r2, MAX(rmse) FILTER (WHERE f < 0) AS rmse, MAX(mae) FILTER (WHERE f < 0) AS mae FROM r_{name})"""
+
+
+@register("linear_cv", with_curated("".join(_fold_fit_sql(n, *x) for n, x in _LINEAR_INPUTS.items())
+          + " UNION ALL ".join(f"SELECT variant, {', '.join(f'ROUND({m}, 6) AS {m}' for m in ('cv_r2_mean', 'cv_r2_std', 'r2', 'rmse', 'mae'))} FROM o_{n}" for n in _LINEAR_INPUTS)))
+def q_linear_cv(spark, sf_dir):
+    """O-87/O-89: cross-validated linear fits of both variants from fold sums, with the test metrics."""
+    df = curated(spark, sf_dir)
+    test, fold = FS.hash_bucket("subject_id", 100, "split") < 20, FS.hash_bucket("subject_id", 5, "fold")
+    rows = []
+    for name, inputs in _LINEAR_INPUTS.items():
+        fit = FS.linear_folds(df, "g3", inputs, [], fold, 5, test)
+        mae = df.where(test).agg(F.avg(F.abs(F.col("g3") - fit.expr()))).first()[0]
+        rows.append((name, *fit.cv_r2, fit.test_r2, fit.test_rmse, mae))
+    return rounded(spark.createDataFrame(rows, "variant string, cv_r2_mean double, cv_r2_std double, r2 double, rmse double, mae double"))
+
+
+@register("class_metrics", with_curated(_HAB + f""",
+s AS (SELECT passed AS y, {_pred_sql('hab', 'effort', 'absences')} AS p FROM curated, hab),
+c AS (SELECT COUNT(*) AS n, SUM(CASE WHEN y = 1 AND p >= 12 THEN 1 ELSE 0 END) AS tp, SUM(CASE WHEN y = 0 AND p >= 12 THEN 1 ELSE 0 END) AS fp,
+             SUM(CASE WHEN y = 1 AND p < 12 THEN 1 ELSE 0 END) AS fn, SUM(CASE WHEN (y = 1) = (p >= 12) THEN 1 ELSE 0 END) AS ok FROM s),
+k AS (SELECT y, RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM s),
+a AS (SELECT (SUM(r) FILTER (WHERE y = 1) - COUNT(*) FILTER (WHERE y = 1) * (COUNT(*) FILTER (WHERE y = 1) + 1) / 2)
+             / NULLIF(COUNT(*) FILTER (WHERE y = 1) * COUNT(*) FILTER (WHERE y = 0), 0) AS auc FROM k),
+m AS (SELECT n, ok / n AS accuracy, COALESCE(tp / NULLIF(tp + fp, 0), 0) AS pr, COALESCE(tp / NULLIF(tp + fn, 0), 0) AS re FROM c)
+SELECT n, ROUND(accuracy, 6) AS accuracy, ROUND(pr, 6) AS precision, ROUND(re, 6) AS recall, ROUND(COALESCE(2 * pr * re / NULLIF(pr + re, 0), 0), 6) AS f1, ROUND(auc, 6) AS roc_auc FROM m, a"""))
+def q_class_metrics(spark, sf_dir):
+    """O-89: classification metrics of the linear prediction, taken as a pass from 12 on."""
+    df = curated(spark, sf_dir)
+    scored = df.select("passed", _scorer(df).expr().alias("score")).withColumn("predicted", (F.col("score") >= 12).cast("int"))
+    return rounded(FS.binary_scores(scored, "passed", "predicted", "score"))
+
+
+@register("one_vs_rest_auc", with_curated("".join(f""",
+k{c} AS (SELECT effort = {c} AS y, RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM (SELECT effort, ROUND(1 / (1 + ABS(g3 - {4 * c})), 2) AS p FROM curated)),
+a{c} AS (SELECT {c} AS class, COUNT(*) FILTER (WHERE y) AS n, (SUM(r) FILTER (WHERE y) - COUNT(*) FILTER (WHERE y) * (COUNT(*) FILTER (WHERE y) + 1) / 2)
+         / NULLIF(COUNT(*) FILTER (WHERE y) * COUNT(*) FILTER (WHERE NOT y), 0) AS auc FROM k{c})""" for c in (1, 2, 3, 4, 5))
+          + " UNION ALL ".join(f"SELECT class, n, ROUND(auc, 6) AS auc FROM a{c}" for c in (1, 2, 3, 4, 5))))
+def q_ovr_auc(spark, sf_dir):
+    """O-92: areas of one level against the rest, by the closeness of the target to four times the level (one level never occurs)."""
+    classes = [1, 2, 3, 4, 5]
+    df = curated(spark, sf_dir).select(F.col("effort").cast("int").alias("level"), F.array(*[F.round(1 / (1 + F.abs(F.col("g3") - 4.0 * c)), 2) for c in classes]).alias("scores"))
+    return rounded(FS.one_vs_rest_auc(df, "level", "scores", classes))
+
+
 @register("train_classifier")
 def q_train_clf(spark, sf_dir):
     df = curated(spark, sf_dir)
