@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import jaccard_join as J
 from cohortlens.llm.common import table
@@ -94,3 +95,44 @@ def test_components(spark):
             root[q] = p
         got = {x["v"]: x["root"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
         assert got == {v: find(v) for e in links for v in e if e[0] != e[1]}
+
+
+def test_coarse_counts_change_no_list(spark, documents):
+    """Lists of one set go and long lists are cut by their true length, whatever the count table says."""
+    docs = documents(corpus()).selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    rule, found = J.Rule(80), {}
+    for counters, split in ((64, 4), (64, 10 ** 6)):
+        table = spark.sparkContext.broadcast(J._count_table(J._first_pass(docs, 5, counters), counters))
+        lists = J.shared_lists(J._second_pass(docs, 5, rule, 5, table, split), split).distinct()
+        found[split] = lists.select("key", "sig", "light").collect()
+        largest = lists.where("light < 0").groupBy("key", "part").count().agg(F.max("count")).first()[0]
+        assert split > 4 or largest <= 16  # parts of some `split` sets
+    assert sorted(found[4]) == sorted(found[10 ** 6])
+
+
+@pytest.mark.parametrize("counters", [64, 1 << 16])
+def test_components_do_not_depend_on_the_count_table(documents, counters):
+    rows = corpus()
+    got = J.jaccard_components(documents(rows), split=4, counters=counters).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
+def test_many_small_sets_under_one_subset(documents):
+    rows = [(i, f"click here to see the price of item {i}") for i in range(300)] + [(1000 + i, f"q{i} click here to see the price of item") for i in range(20)]
+    got = J.jaccard_components(documents(rows), split=4).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
+def test_counts_are_added_in_a_tree(spark, documents, monkeypatch):
+    monkeypatch.setattr(J, "FAN_IN", 2)
+    docs = documents([(i, prose(i, 50)) for i in range(40)]).repartition(9).selectExpr("doc_id AS id", "text")
+    total = J._count_table(J._first_pass(docs, 5, 128), 128)
+    assert total.sum() == sum(len(J.shingle_set(prose(i, 50))) for i in range(40)) and len(total) == 128
+
+
+def test_word_hashes_of_pieces_and_long_words(monkeypatch):
+    raw = b" \n".join([b"Word", b"x" * 300, b"word", b"\xc3\xa9t\xc3\xa9", b"X" * 300, b"y" * 5000, b"a"] * 9)
+    whole = J.word_hashes(raw)
+    monkeypatch.setattr(J, "PIECE", 400)
+    assert (J.word_hashes(raw) == whole).all() and len(whole) == len(raw.split())
+    assert whole[0] == whole[2] and whole[1] == whole[4] and len(set(whole[:7].tolist())) == 5
