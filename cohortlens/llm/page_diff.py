@@ -1,13 +1,13 @@
 """Main text of web pages by differencing each page with the page of the nearest URL.
 
-A page is read into text lines, one for each block of its markup.  Pages of a host with equal
-lines are one page with the least of their paths, and all of them get its result.  The different pages of a
-host are put in the order of their URL paths; a page's partner is the nearest on either side that
-is no near copy (shared lines with NEAR of the characters of the shorter page, which says nothing
-about either), of these two the one whose path shares the longer beginning with its own
-(the earlier one on a tie).  Near copies are looked past run by run: beyond a near copy comes that
-copy's own neighbour.  A longest common subsequence aligns the lines of the two pages, and shared
-lines, wherever they stand, are deleted as part of the host's template.
+A page is read into text lines, one for each block of its markup; end tags that HTML lets out are implied.  Pages of a
+host with equal lines are one page with the least of their paths, and all of them get its result.  The different pages of a
+host are put in the order of their URL paths.  Neighbours that are near copies (shared lines with NEAR of the characters of the
+shorter page, which is at least half as long; that says nothing about either) make a run, and a page has two neighbours to
+learn from, the nearest page before and after its run; its partner is the one of these whose path shares the longer beginning
+with its own (the earlier one on a tie).  A longest common subsequence aligns the lines of two pages, and lines shared with
+the partner, wherever they stand, are deleted as part of the host's template; in an article or main element
+only those shared with both neighbours, as a passage that one other page quotes is no template.
 
 A check by elements follows: of the lines that are left, those in elements that are never content
 (menus, forms, adverts, ...) are deleted, but never an article or main element, nor the rest
@@ -15,9 +15,8 @@ of an element that holds one.
 
 Different pages are dealt by ranges of (host, path, id, digest) found from these keys alone, so that a
 host of any size is spread over tasks; only hashes and lengths of lines travel for that.  What
-lies beyond a range is known by up to CHAIN pages on each side, each no near copy of the one
-before, which reach past ranges that hold nothing but near copies.  Texts travel once, to
-the join with the shared positions.
+lies beyond a range follows from its neighbours' first and last pages and those next to their outer runs, four pages a range
+whatever the runs' length.  Texts travel once, to the join with the shared positions.
 
 Defined results: null html is the empty page; a null url, or one without "://", has an empty
 host and path (and no partner); a null id is kept; repeated rows stay and get one
@@ -27,8 +26,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import math
 from base64 import b64encode
-from collections.abc import Iterable
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from os.path import commonprefix
 
@@ -58,9 +59,24 @@ MARKS = frozenset(
     "complementary dialog form hidden skip".split()
 )
 SPLIT = str.maketrans("-_:", "   ")
+#: Start tags that end an open element: (tags, what they end, what shields it).
+_TABLE, _CELLS = frozenset(["table"]), frozenset("td th".split())
+IMPLIED = [
+    (frozenset(["li"]), frozenset(["li"]), frozenset("ul ol menu dir".split())),
+    (frozenset("dt dd".split()), frozenset("dt dd".split()), frozenset(["dl"])),
+    (frozenset(["option"]), frozenset(["option"]), frozenset("select datalist".split())),
+    (frozenset(["optgroup"]), frozenset("option optgroup".split()), frozenset(["select"])),
+    (_CELLS, _CELLS, _TABLE | {"tr"}),
+    (frozenset(["tr"]), _CELLS | {"tr"}, _TABLE),
+    (frozenset("thead tbody tfoot".split()), _CELLS | frozenset("tr thead tbody tfoot".split()), _TABLE),
+    (frozenset(["body"]), frozenset(["head"]), frozenset()),
+    (frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+               "li dt dd main menu nav ol p pre search section table ul".split()), frozenset(["p"]), frozenset("button caption html object td template th".split())),
+]
 KEY = ["host", "path", "order", "digest"]
 NEAR = 0.8  # share of the shorter page's characters
-CHAIN = 4  # pages known beyond the edge of a range, each no near copy of the one before
+OFTEN = 64  # places of a line from which their bits are kept
+HALF = 0.5  # a near copy's least share of the longer page's characters
 
 
 class _Element:
@@ -78,7 +94,9 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[_Element] = []
-        self.state: tuple[int, tuple[_Element, ...]] = (1, ())  # 1 or 2, and the listed elements around
+        self.places: dict[str, list[int]] = {}  # of the open elements of a tag
+        # 1 or 2, and the innermost listed element; once that one is spared, so are those around it
+        self.state: tuple[int, _Element | None] = (1, None)
         self.parts, self.found = [], []
 
     def _line(self) -> None:
@@ -90,32 +108,51 @@ class _Reader(HTMLParser):
 
     @property
     def lines(self) -> list[tuple[str, int]]:
-        return [(text, kind if all(e.spared for e in listed) else 0) for text, (kind, listed) in self.found]
+        return [(text, kind if listed is None or listed.spared else 0) for text, (kind, listed) in self.found]
 
     def _listed(self, tag: str, attrs: list) -> bool:
-        if tag in NEVER or tag == "header" and self.state == (1, ()):
+        if tag in NEVER or tag == "header" and self.state == (1, None):
             return True
         return any(
             name == "hidden" or name in ("class", "id", "role") and value and tag not in ("html", "body") and not MARKS.isdisjoint(value.lower().translate(SPLIT).split())
             for name, value in attrs
         )
 
+    def _innermost(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        if self.open[k].around != self.state or any(e.tag in BLOCKS for e in self.open[k:]):
+            self._line()
+        self.state = self.open[k].around
+        for e in reversed(self.open[k:]):
+            self.places[e.tag].pop()
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCKS:
             self._line()
+        for tags, ended, shields in IMPLIED:
+            if tag in tags:
+                while (k := self._innermost(ended)) > self._innermost(shields):
+                    self._close(k)
         if tag in VOID:
             return
         element, state = _Element(tag, self.state), self.state
         if tag in CONTENT:
-            for e in self.open:
+            for e in reversed(self.open):
+                if e.spared:
+                    break
                 e.spared = True
-            state = (2, ())
+            state = (2, None)
         elif self._listed(tag, attrs):
-            state = (state[0], (*state[1], element))
+            state = (state[0], element)
         if state != self.state:
             self._line()
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(element)
         self.state = state
 
@@ -125,13 +162,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                if self.open[k].around != self.state:
-                    self._line()
-                self.state = self.open[k].around
-                del self.open[k:]
-                return
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
@@ -145,29 +177,52 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     return reader.lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions of `a` in a longest common subsequence with `b` (bit-parallel, one integer for each line of `a`)."""
+def shared_lines(a: list, b: list) -> set[int]:
+    """Positions of `a` in a longest common subsequence with `b`.
+
+    Bit-parallel: a state has a bit for each line of `b`.  States are kept for every root-th line of `a` and made anew
+    for one such block at a time on the way back, so memory grows with len(a) ** 0.5 * len(b) bits.
+    """
     lead = len(commonprefix([a, b]))
-    where: dict[str, int] = {}
+    tail = len(commonprefix([a[lead:][::-1], b[lead:][::-1]]))
+    out = {*range(lead), *range(len(a) - tail, len(a))}
+    a, b = a[lead:len(a) - tail], b[lead:len(b) - tail]
+    if not a or not b:
+        return out
+    where: dict = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
+        where.setdefault(x, []).append(j)
+    often = {x: sum(1 << j for j in places) for x, places in where.items() if len(places) > OFTEN}
     full = (1 << len(b)) - 1
-    v, states = full, [full]
-    for x in a:
-        u = v & where.get(x, 0)
-        v = (v + u | v - u) & full
-        states.append(v)
-    out, i, j = set(), len(a), len(b)
-    while i > lead and j > lead:
-        bit = 1 << (j - 1)
-        if states[i] & bit:
-            j -= 1
-        elif not states[i - 1] & bit:
-            i -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.add(i)
-    return out | set(range(lead))
+
+    def states(v: int, lines: list) -> Iterator[int]:
+        for x in lines:
+            mask = often.get(x)
+            if mask is None:
+                mask = 0
+                for j in where.get(x, ()):
+                    mask |= 1 << j
+            u = v & mask
+            if u:
+                v = (v + u | v - u) & full
+            yield v
+
+    step = math.isqrt(len(a)) + 1
+    kept = [full, *itertools.islice(states(full, a), step - 1, None, step)]
+    i, j = len(a), len(b)
+    while i and j:
+        base = (i - 1) // step * step
+        block = [kept[base // step], *states(kept[base // step], a[base:i])]
+        while i > base and j:
+            bit = 1 << (j - 1)
+            if block[i - base] & bit:
+                j -= 1
+            elif not block[i - base - 1] & bit:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(lead + i)
+    return out
 
 
 def url_host(url: str | Column) -> Column:
@@ -197,7 +252,9 @@ class _Page:
 
 
 def near(a: _Page, b: _Page) -> bool:
-    """Whether shared lines hold NEAR of the characters of the shorter page."""
+    """Whether shared lines hold NEAR of the characters of the shorter page, and that one isn't much shorter."""
+    if min(a.total, b.total) < HALF * max(a.total, b.total):
+        return False
     least = NEAR * min(a.total, b.total)
     small, large = sorted((a.weight, b.weight), key=len)
     if sum(min(n, large.get(x, 0)) for x, n in small.items()) < least:
@@ -205,27 +262,19 @@ def near(a: _Page, b: _Page) -> bool:
     return sum(a.sizes[i] for i in shared_lines(a.lines, b.lines)) >= least
 
 
-def _chain(pages: Iterable[_Page]) -> list[_Page]:
-    """The first page and the next ones of its host, each no near copy of the one before; at most CHAIN."""
-    out: list[_Page] = []
-    for p in pages:
-        if len(out) == CHAIN or out and p.host != out[0].host:
-            break
-        if not out or not near(p, out[-1]):
-            out.append(p)
-    return out
+def _linked(a: _Page, b: _Page) -> bool:
+    """Whether neighbours are of one run."""
+    return a.host == b.host and near(a, b)
 
 
-def _before(pages: list[_Page], known: list[_Page]) -> list[_Page | None]:
-    """For each page the nearest earlier page of its host that is no near copy; known: the pages before, nearest first."""
-    line = [*reversed(known), *pages]
-    last = [-1] * len(line)
-    for i, p in enumerate(line):
-        q = i - 1 if p.host else -1
-        while q >= 0 and line[q].host == p.host and near(p, line[q]):
-            q = last[q]
-        last[i] = q if q >= 0 and line[q].host == p.host else -1
-    return [line[q] if q >= 0 else None for q in last[len(known):]]
+def _before(pages: list[_Page], known: _Page | None) -> list[_Page | None]:
+    """For each page the one before its run, if it is of the same host; known: that of the first run, beyond the range."""
+    out, own = [], known
+    for i, p in enumerate(pages):
+        if i and not _linked(pages[i - 1], p):
+            own = pages[i - 1]
+        out.append(own if own is not None and own.host == p.host else None)
+    return out
 
 
 def _partner(page: _Page, before: _Page | None, after: _Page | None) -> _Page | None:
@@ -242,8 +291,8 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _digest(host: str, texts: list[str]) -> str:
-    return b64encode(hashlib.blake2b("\n".join([host, *texts]).encode("utf-8", "surrogatepass"), digest_size=12).digest()).decode()
+def _digest(host: str, lines: list[tuple[str, int]]) -> str:
+    return b64encode(hashlib.blake2b("\n".join([host, *[f"{kind}{text}" for text, kind in lines]]).encode("utf-8", "surrogatepass"), digest_size=12).digest()).decode()
 
 
 def _lows(keys: DataFrame) -> list[tuple]:
@@ -258,18 +307,24 @@ def _pages_of(frame: pd.DataFrame) -> list[_Page]:
 
 
 def _edges(frame: pd.DataFrame) -> pd.DataFrame:
-    pages = _pages_of(frame)
-    found = [(int(frame["range"].iloc[0]), side, k, p.host, p.path, p.id, p.lines, p.sizes) for side, of in (("first", pages), ("last", pages[::-1])) for k, p in enumerate(_chain(of))]
+    """Of each side of a range its outermost page (k = 0) and the one next to that page's run, if it is in the range (k = 1)."""
+    pages, found = _pages_of(frame), []
+    for side, line in (("first", pages), ("last", pages[::-1])):
+        end = next((k for k in range(1, len(line)) if not _linked(line[k - 1], line[k])), len(line))
+        found += [(int(frame["range"].iloc[0]), side, k, p.host, p.path, p.id, p.lines, p.sizes) for k, p in enumerate([line[0], *line[end:end + 1]])]
     return pd.DataFrame(found, columns=["range", "side", "k", "host", "path", "id", "lines", "sizes"])
 
 
-def _known(edges: dict[tuple[int, str], list[_Page]], ranges: list[int], side: str) -> dict[int, list[_Page]]:
-    """For each range, the chain of pages before it (after it, for ranges in reverse), past ranges of near copies."""
-    out: dict[int, list[_Page]] = {}
-    chain: list[_Page] = []
-    for r in ranges:
-        out[r] = chain
-        chain = _chain([*edges[r, side], *chain])
+def _known(edges: dict[tuple[int, str], list[_Page]], ranges: list[int], near_side: str, far_side: str) -> dict[int, _Page | None]:
+    """For each range in order, the page before the run of its first page; sides as seen from the range behind."""
+    out: dict[int, _Page | None] = {}
+    for r, earlier in zip(ranges, [None, *ranges], strict=False):
+        if earlier is None:
+            out[r] = None
+        elif not _linked(edges[earlier, far_side][0], edges[r, near_side][0]):
+            out[r] = edges[earlier, far_side][0]
+        else:  # the run goes on in the earlier range: the page before it there, or that range's own one
+            out[r] = edges[earlier, far_side][1] if len(edges[earlier, far_side]) > 1 else out[earlier]
     return out
 
 
@@ -283,21 +338,25 @@ def _pairs(classes: DataFrame) -> DataFrame:
 
     dealt = classes.withColumn("range", range_of(*KEY))
     edges: dict[tuple[int, str], list[_Page]] = {}
-    # at most 2 * CHAIN rows for each range
+    # at most four rows for each range
     rows = dealt.groupBy("range").applyInPandas(_edges, "range int, side string, k int, host string, path string, id string, lines array<long>, sizes array<int>").collect()
     for row in sorted(rows, key=lambda r: (r["range"], r["side"], r["k"])):
         edges.setdefault((row["range"], row["side"]), []).append(_Page(row))
     ranges = sorted({r for r, _ in edges})
-    before, after = _known(edges, ranges, "last"), _known(edges, ranges[::-1], "first")
+    before, after = _known(edges, ranges, "first", "last"), _known(edges, ranges[::-1], "last", "first")
 
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(KEY, kind="stable")
         pages, r = _pages_of(frame), int(frame["range"].iloc[0])
         out = []
-        for page, digest, a, b in zip(pages, frame["digest"], _before(pages, before[r]), reversed(_before(pages[::-1], after[r])), strict=True):
+        for page, digest, kinds, a, b in zip(pages, frame["digest"], frame["kinds"], _before(pages, before[r]), reversed(_before(pages[::-1], after[r])), strict=True):
             partner = _partner(page, a, b)
             if partner:
                 shared = shared_lines(page.lines, partner.lines)
+                other = b if partner is a else a
+                article = {i for i in shared if kinds[i] == 2}
+                if article:
+                    shared -= article - shared_lines(page.lines, other.lines) if other else article
                 out.append((digest, [i in shared for i in range(len(page.lines))], partner.id))
         return pd.DataFrame(out, columns=["digest", "mask", "partner"])
 
@@ -312,19 +371,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         url_host(F.col(url_col).cast("string")).alias("host"), url_path(F.col(url_col).cast("string")).alias("path"),
     )
 
-    @F.pandas_udf("struct<digest:string,lines:array<long>,sizes:array<int>>")
+    @F.pandas_udf("struct<digest:string,lines:array<long>,sizes:array<int>,kinds:array<int>>")
     def outline(host: pd.Series, html: pd.Series) -> pd.DataFrame:
-        read = [[t for t, _ in page_lines(h or "")] for h in html]
-        return pd.DataFrame({"digest": map(_digest, host, read), "lines": [[_hash(t) for t in x] for x in read], "sizes": [[len(t) for t in x] for x in read]})
+        read = [page_lines(h or "") for h in html]
+        return pd.DataFrame({"digest": map(_digest, host, read), "lines": [[_hash(t) for t, _ in x] for x in read], "sizes": [[len(t) for t, _ in x] for x in read], "kinds": [[k for _, k in x] for x in read]})
 
     @F.pandas_udf("struct<digest:string,texts:array<string>>")
     def read(host: pd.Series, html: pd.Series) -> pd.DataFrame:
         found = [page_lines(h or "") for h in html]  # lines that the check deletes become null
-        return pd.DataFrame({"digest": [_digest(a, [t for t, _ in x]) for a, x in zip(host, found, strict=True)], "texts": [[t if kind else None for t, kind in x] for x in found]})
+        return pd.DataFrame({"digest": [_digest(a, x) for a, x in zip(host, found, strict=True)], "texts": [[t if kind else None for t, kind in x] for x in found]})
 
     order = F.coalesce(F.col("id").cast("string"), F.lit(""))
     outlines = rows.where("host <> ''").select("host", "path", order.alias("order"), F.col("id").cast("string").alias("id"), outline("host", "html").alias("o")).select("host", "path", "order", "id", "o.*")
-    first = F.min(F.struct("path", "order", "id", "lines", "sizes"))
+    first = F.min(F.struct("path", "order", "id", "lines", "sizes", "kinds"))
     classes = outlines.groupBy("host", "digest").agg(first.alias("f")).select("host", "digest", "f.*")
     pairs = _pairs(materialise(classes, "page-lines"))
 
