@@ -183,16 +183,16 @@ def _best(verified: DataFrame) -> DataFrame:
     reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = verified.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
     numbered = marked.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("row", "island").agg(F.first("id").alias("id"), F.collect_set(F.struct("license", "variant", "first", "last", "common", "containment")).alias("spans"))
+    spans = numbered.groupBy("row", "island").agg(F.first("id").alias("id"), F.first(F.when(F.col("id").isNull(), F.col("row")), ignorenulls=True).alias("lone"), F.collect_set(F.struct("license", "variant", "first", "last", "common", "containment")).alias("spans"))
     kept = F.filter("spans", lambda m: ~F.exists("spans", _better(m)))
-    return spans.select("id", F.explode(kept).alias("s")).select("id", "s.license", "s.variant", "s.first", "s.last", "s.containment")
+    return spans.select("id", "lone", F.explode(kept).alias("s")).select("id", "lone", "s.license", "s.variant", "s.first", "s.last", "s.containment")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of one template in one document as one."""
-    own = Window.partitionBy("id", "license", "variant").orderBy("first", "last")
+    """Overlapping spans of one template in one document as one; `lone` tells rows without an id apart."""
+    own = Window.partitionBy("id", "lone", "license", "variant").orderBy("first", "last")
     reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.distinct().withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
     numbered = marked.withColumn("match", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("id", "license", "variant", "match").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("containment").alias("containment"))
+    merged = numbered.groupBy("id", "lone", "license", "variant", "match").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("containment").alias("containment"))
     return merged.select("id", "license", "variant", F.col("first").cast("long").alias("first_word"), (F.col("last") - F.col("first") + 1).cast("long").alias("n_words"), "containment")
