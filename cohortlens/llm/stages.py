@@ -10,7 +10,11 @@ from .queries import BYTE_BPE, THRESHOLD
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least the threshold; the rest go."""
+    """Documents whose quality score is at least the threshold; the rest go.
+
+    Rows are judged one by one: null ids, repeated rows and ties stay or go by their own score; a null text counts
+    as empty; without labels of both kinds every score is the share of label 1; an empty table gives no rows.
+    """
     ship(spark)
     labels = table(spark, sf_dir, "labels")
     known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
@@ -22,7 +26,11 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; the rest go."""
+    """Documents whose toxicity score is below the threshold; the rest go.
+
+    Rows are judged one by one: null ids, repeated rows and ties stay or go by their own score; a null text counts
+    as empty; an empty table gives no rows.
+    """
     ship(spark)
     model = toxicity_gbt.fit(docs, table(spark, sf_dir, "labels"), folds=4, held_out=2)
     name = _free("score", docs)
@@ -30,21 +38,27 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of repeated rows of an id, the first by text.
+    """One document of each component: the smallest by (id, hash of the text); the first of rows equal in both.
 
-    Rows with a null id belong to no component and stay.
+    Documents are told apart by id and text, so that each of several texts of an id stands for itself.
+    Rows with a null id belong to no component and stay; a null text is the empty text, a component of its own.
     """
     ship(spark)
-    groups = materialise(jaccard_join.jaccard_components(docs.select("doc_id", "text")), "groups")
-    stay = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    nth, own = _free("_nth", docs), Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn(nth, F.row_number().over(own)).where(F.col(nth) == 1).drop(nth)
-    kept = named.join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    known = F.col("doc_id").isNotNull()
+    own = F.struct(F.col("doc_id"), F.xxhash64(text_or_empty("text")).alias("text_hash"))
+    key = _free("_key", docs)
+    groups = materialise(jaccard_join.jaccard_components(docs.where(known).select(own.alias("key"), "text"), id_col="key"), "groups")
+    stay = groups.where("component_id = key").select(F.col("key").alias("_stays")).distinct()
+    kept = docs.where(known).withColumn(key, own).join(stay, F.col(key) == F.col("_stays"), "left_semi")
+    nth = _free("_nth", docs)
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth, key)
+    return kept.union(docs.where(~known))
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences."""
+    """Pieces of all documents in training sequences; a null text is empty, null ids and repeated rows are packed too,
+    and an empty table gives no rows."""
     ship(spark)
     return vector_packing.pack(docs, **BYTE_BPE)
 

@@ -17,7 +17,7 @@ SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 def test_all_queries_are_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "toxicity", "ngram_jaccard_join", "packing"]
@@ -71,3 +71,20 @@ def test_hidden_names_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2)], "doc_id long, text string, _keep int, _nth int")
     assert stages.near_duplicates(spark, df, SMALL).collect()[0].asDict() == {"doc_id": 1, "text": "a b c d e f", "_keep": 1, "_nth": 2}
     assert jaccard_join.jaccard_components(df).collect()[0]["n_shingles"] == 2
+
+
+def test_each_text_of_an_id_stands_for_itself(documents, spark):
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(5, one), (5, two), (5, two), (6, one + " end"), (4, three), (7, two), (8, None), (8, "")]
+    out = stages.near_duplicates(spark, documents(rows), SMALL).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == sorted([(5, one), (5, two), (4, three), (8, "")])
+
+
+def test_very_long_texts_pass_every_stage(documents, spark):
+    rows = [(1, prose(1, 40_000)), (2, prose(1, 40_000)), (3, "x" * 300_000), (4, "word " * 60_000)]
+    docs = documents(rows)
+    kept = stages.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
+    for stage in (stages.quality, stages.toxicity):
+        assert {r["doc_id"] for r in stage(spark, docs, SMALL).collect()} <= {1, 2, 3, 4}
+    assert {r["doc_id"] for r in stages.packing(spark, docs, SMALL).select("doc_id").distinct().collect()} == {1, 2, 3, 4}
