@@ -1,16 +1,17 @@
 """URL verdicts from host and path rules and, for the rest, a character language-model ratio.
 
 Two variable-order Markov models over the characters of URLs, one of the URLs that an allow rule
-accepts and one of those that a block rule rejects, give each character a probability
-after up to three characters before it; orders are interpolated by Witten-Bell smoothing (a
+accepts and one of those that a block rule rejects, give each character a probability after
+the characters before it.  Lengths of contexts are interpolated by Witten-Bell smoothing (a
 context gives as much weight to the shorter one as it has seen different characters), so a
-context never seen leaves the word to the shorter one.  A URL's score is the mean over its
-characters of the log-likelihood difference, and the limit between block and allow is
+context never seen leaves the word to the shorter one.  Contexts have up to three characters, and beyond that 4, 6, 9, 13, 19 ... as
+long as the context stands in `support` places of different ruled URLs: what the models keep grows with the corpus.
+A URL's score is the mean over its characters of the log-likelihood difference, and the limit between block and allow is
 the one that separates the ruled URLs best (balanced accuracy over fixed bins).
 
-Characters are mapped onto 32 symbols (a-z, one for digits, / . - _ and one for all others), so
-the model has at most 32 ** 4 rows whatever the corpus; it is broadcast under that bound.
-Counts are taken over all rows, scores once for each distinct URL.  Only DataFrame functions.
+Characters are those of the URL after "://", in lower case.  The grams of a round are a Spark table, joined by gram to the
+places whose context was supported so far; such a place travels with its gram, not with its URL.  Counts
+are taken over all rows, scores once for each distinct URL.  Only DataFrame functions.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; a URL
 without characters after "://" scores 0; without ruled URLs of both kinds the limit is 0 (a tie
@@ -19,6 +20,7 @@ allows); null ids are kept, repeated rows judged one by one; other columns are i
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .page_diff import url_host, url_path
 
-ORDER = 4  # characters of a gram: the context and the character
-SYMBOLS = 32
+ORDER = 4  # characters of the shortest grams that places are looked up by: the context and the character
+START = "\x02"  # stands three times before the first character
+SUPPORT = 8
 BINS, REACH = 2000, 10.0  # scores are binned between -REACH and REACH
 
 
@@ -45,45 +48,78 @@ class Rule:
         return ((host == self.host) | host.endswith("." + self.host)) & path.startswith(self.path)
 
 
-def _symbols(url: Column) -> Column:
-    """The URL after "://" (or whole) on 32 symbols, led by three of the symbol for all others."""
+def _characters(url: Column) -> Column:
+    """The URL after "://" (or whole) in lower case, led by three START."""
     rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)\A.*?://", "")
-    plain = F.regexp_replace(F.regexp_replace(F.lower(rest), "[0-9]", "0"), r"(?s)[^a-z0/._-]", "~")
-    return F.concat(F.lit("~" * (ORDER - 1)), plain)
+    return F.concat(F.lit(START * (ORDER - 1)), F.lower(rest))
 
 
-def _grams(df: DataFrame, *keep: str) -> DataFrame:
-    text = df.withColumn("_s", _symbols(F.col("url"))).where(F.length("_s") >= ORDER)
-    at = text.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_s") - (ORDER - 1))))
-    return at.select(*keep, F.col("_s").substr(F.col("_i"), F.lit(ORDER)).alias("gram"))
+def _gram(end: Column, length: int) -> Column:
+    """The `length` characters of z that end at a place."""
+    return F.col("z").substr(end - (length - 1), F.lit(length))
 
 
-def _model(ruled: DataFrame) -> DataFrame:
-    """gram -> log-likelihood difference for every gram of any URL; at most SYMBOLS ** ORDER rows."""
-    count = lambda v: F.sum(F.coalesce((F.col("ruled") == v).cast("long"), F.lit(0)))
-    grams = materialise(_grams(ruled, "ruled").groupBy("gram").agg(count("allow").alias("allow"), count("block").alias("block")), "url-grams")
+def _smoothed(level: DataFrame, support: int = 0) -> DataFrame:
+    """key and the two probabilities of its last character after the others, from (key, allow, block, urls) and those after the
+    shorter context (allow_p, block_p); only contexts with `support` places in different ruled URLs."""
+    level = level.withColumn("context", F.expr("substr(key, 1, length(key) - 1)"))
+    seen = level.groupBy("context").agg(
+        F.sum("urls").alias("support"),
+        *[f(v).alias(f"{v}_{name}") for v in ("allow", "block") for name, f in (("n", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))])
+    level = level.join(seen.where(F.col("support") >= support), "context")
+    p = {v: F.when(F.col(f"{v}_n") > 0, (F.col(v) + F.col(f"{v}_kinds") * F.col(f"{v}_p")) / (F.col(f"{v}_n") + F.col(f"{v}_kinds"))).otherwise(F.col(f"{v}_p")) for v in ("allow", "block")}
+    return level.select("key", *[p[v].alias(f"{v}_p") for v in p])
+
+
+def _short_model(urls: DataFrame) -> DataFrame:
+    """key, allow_p, block_p of every gram of ORDER characters in any URL."""
+    at = urls.select("allow", "block", "z", F.explode(F.sequence(F.lit(ORDER), F.length("z"))).alias("j"))
+    counted = at.groupBy(_gram(F.col("j"), ORDER).alias("gram")).agg(*_counts())
+    grams = materialise(counted, "url-grams")
+    kinds = grams.where("allow + block > 0").select(F.substring("gram", ORDER, 1).alias("c")).distinct().count() + 1  # one for all characters that no ruled URL has
     lower = None
     for n in range(1, ORDER + 1):
-        key = F.substring("gram", ORDER - n + 1, n)
-        level = grams.groupBy(key.alias("key")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-        context = F.substring("key", 1, n - 1)
-        seen = level.groupBy(context.alias("context")).agg(*[f(v).alias(f"{v}_{name}") for v in ("allow", "block") for name, f in (("n", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))])
-        level = level.withColumn("context", context).join(F.broadcast(seen), "context")
+        level = grams.groupBy(F.substring("gram", ORDER - n + 1, n).alias("key")).agg(*[F.sum(c).alias(c) for c in ("allow", "block", "urls")])
         if lower is None:
-            level = level.withColumns({f"{v}_before": F.lit(1.0 / SYMBOLS) for v in ("allow", "block")})
+            level = level.withColumns({f"{v}_p": F.lit(1.0 / kinds) for v in ("allow", "block")})
         else:
-            level = level.withColumn("short", F.substring("key", 2, n - 1)).join(F.broadcast(lower), "short")
-        p = {v: F.when(F.col(f"{v}_n") > 0, (F.col(v) + F.col(f"{v}_kinds") * F.col(f"{v}_before")) / (F.col(f"{v}_n") + F.col(f"{v}_kinds"))).otherwise(F.col(f"{v}_before")) for v in ("allow", "block")}
-        lower = level.select(F.col("key").alias("short"), *[p[v].alias(f"{v}_before") for v in p])
-    return lower.select(F.col("short").alias("gram"), (F.log("allow_before") - F.log("block_before")).alias("gain"))
+            level = level.withColumn("short", F.substring("key", 2, n - 1)).join(lower.withColumnRenamed("key", "short"), "short")
+        lower = _smoothed(level)
+    return lower
+
+
+def _counts() -> list[Column]:
+    return [F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.sum((F.col("allow") + F.col("block") > 0).cast("long")).alias("urls")]
+
+
+def _scores(urls: DataFrame, support: int) -> DataFrame:
+    """z and its score, of URLs (z, allow, block, u) with their rows under allow and block rules."""
+    gain = F.log("allow_p") - F.log("block_p")
+    places = F.collect_list(F.struct("j", "allow_p", "block_p")).alias("places")
+    at = urls.select("u", "z", F.explode(F.sequence(F.lit(ORDER), F.length("z"))).alias("j")).select("u", "j", _gram(F.col("j"), ORDER).alias("key"))
+    state = materialise(at.join(_short_model(urls), "key").groupBy("u").agg(places, F.sum(gain).alias("gain"), F.count("*").alias("n")), "url-places")
+    gains, n = [state.select("u", "gain", "n")], ORDER
+    while True:  # contexts of n characters; ends as no URL is endless
+        open_ = state.join(urls, "u").select("u", "z", "allow", "block", F.explode(F.filter("places", lambda x: x["j"] > n)).alias("p"))
+        open_ = open_.select("u", "allow", "block", "p.j", "p.allow_p", "p.block_p", _gram(F.col("p.j"), n + 1).alias("key"))
+        level = open_.groupBy("key").agg(*_counts(), F.first("allow_p").alias("allow_p"), F.first("block_p").alias("block_p"))
+        model = materialise(_smoothed(level, support), "url-contexts")
+        if model.isEmpty():
+            break
+        reached = open_.select("u", "j", "key", gain.alias("before")).join(model, "key")
+        state = materialise(reached.groupBy("u").agg(places, F.sum(gain - F.col("before")).alias("gain")), "url-places")
+        gains.append(state.select("u", "gain", F.lit(0).cast("long").alias("n")))
+        n += max(1, n // 2)
+    total = reduce(DataFrame.union, gains).groupBy("u").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"))
+    return materialise(urls.join(total, "u").select("z", "allow", "block", (F.col("gain") / F.col("n")).alias("score")), "url-scores")
 
 
 def _limit(scores: DataFrame) -> float:
     """The score that separates ruled URLs best; their counts over fixed bins reach the driver."""
     width = 2 * REACH / BINS
     inside = F.least(F.greatest(F.col("score"), F.lit(-REACH)), F.lit(REACH))
-    binned = scores.where("ruled is not null").groupBy(F.floor(inside / width).alias("bin"), "ruled").agg(F.sum("rows").alias("rows")).collect()
-    count = {(r["bin"], r["ruled"]): r["rows"] for r in binned}
+    binned = scores.where("allow + block > 0").groupBy(F.floor(inside / width).alias("bin")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    count = {(r["bin"], v): r[v] for r in binned for v in ("allow", "block")}
     total = {v: sum(n for (_, w), n in count.items() if w == v) for v in ("allow", "block")}
     if not all(total.values()):
         return 0.0
@@ -101,21 +137,19 @@ def _limit(scores: DataFrame) -> float:
     return (limits[0] + limits[-1]) / 2
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", support: int = SUPPORT) -> DataFrame:
     """id, host, path, rule, verdict and score (null where a rule decides) of every row."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     host, path = url_host("url"), url_path("url")
     longest = sorted(rules, key=lambda r: -len(r.name))
     pick = lambda value: F.coalesce(*[F.when(r.fits(F.col("host"), F.col("path")), F.lit(value(r))) for r in longest], F.lit(None).cast("string"))
     named = rows.withColumns({"host": host, "path": path}).withColumns({"rule": pick(lambda r: r.name), "ruled": pick(lambda r: r.verdict)})
-    distinct = materialise(named.where("url is not null").groupBy("url").agg(F.first("ruled").alias("ruled"), F.count("*").alias("rows")), "urls")
-    repeated = named.select("url", "ruled")
-    model = _model(repeated)
-    gains = _grams(distinct, "url", "ruled", "rows").join(F.broadcast(model), "gram")
-    scores = materialise(gains.groupBy("url").agg(F.first("ruled").alias("ruled"), F.first("rows").alias("rows"), F.avg("gain").alias("score")), "url-scores")
+    named = named.withColumn("z", _characters(F.col("url")))
+    ruled = [F.count_if(F.col("ruled") == v).alias(v) for v in ("allow", "block")]
+    urls = materialise(named.where(F.length("z") >= ORDER).groupBy("z").agg(*ruled).withColumn("u", F.monotonically_increasing_id()), "urls")
+    scores = _scores(urls, support)
     limit = _limit(scores)
-    open_scores = scores.where("ruled is null").select("url", "score")
-    judged = named.join(open_scores, "url", "left")
+    judged = named.join(scores.select("z", "score"), "z", "left")
     score = F.when(F.col("ruled").isNull(), F.coalesce("score", F.lit(0.0)))
     by_model = F.when(score >= limit, "allow").otherwise("block")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), score.alias("score"))

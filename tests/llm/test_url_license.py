@@ -1,8 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import license_scan as L
 from cohortlens.llm import url_filter as U
@@ -12,29 +14,36 @@ from tests.llm.conftest import prose
 PAGES = "page_id long, url string, html string, id string, score string, gram string, ruled string, rows int"
 
 
-def judged(spark, urls):
-    df = spark.createDataFrame([(i, u, None, "x", "x", "x", "x", 1) for i, u in urls], PAGES)
-    return U.judge(df, URL_RULES)
+def judged(spark, urls, **kw):
+    df = spark.createDataFrame([(i, u, None, "x", "x", "x", "x", 1) for i, u in urls], PAGES).withColumn("z", F.lit("x")).withColumn("u", F.lit("x"))
+    return U.judge(df, URL_RULES, **kw)
 
 
-@pytest.mark.parametrize(("url", "rule"), [
+RULED = [
     ("http://example.com/en/1", "example.com/en/"), ("http://x.EXAMPLE.com/en/1", "example.com/en/"), ("http://a.www.example.com/en/1", "www.example.com/en/"),
     ("http://www.example.com/de/1", "com/"), ("http://notexample.com/en/", "com/"), ("http://a.com", None), ("http://a.com?x", None), ("http://com/", "com/"),
     ("http://a.net/es/1?q", "net/es/"), ("http://a.net/fr/", "net/fr/"), ("http://a.net/fr", None), ("http://a.net:80/fr/", None), ("com/x", None), (None, None),
-])
-def test_rules(spark, url, rule):
-    r = judged(spark, [(1, url)]).collect()
-    assert len(r) == 1 and r[0]["rule"] == rule and r[0]["verdict"] in ("allow", "block")
-    assert rule is None or r[0]["verdict"] == ("block" if rule in ("example.com/en/", "net/es/", "net/fr/") else "allow")
+]
 
 
-def plain_scores(urls):
-    """Witten-Bell interpolated log-likelihood differences, straight from the definition."""
-    import re
+def test_rules(spark):
+    got = {r["page_id"]: r for r in judged(spark, [(k, u) for k, (u, _) in enumerate(RULED)]).collect()}
+    assert len(got) == len(RULED)
+    for k, (_, rule) in enumerate(RULED):
+        assert got[k]["rule"] == rule and got[k]["verdict"] in ("allow", "block")
+        assert rule is None or got[k]["verdict"] == ("block" if rule in ("example.com/en/", "net/es/", "net/fr/") else "allow")
+
+
+def test_very_long_urls(spark):
+    urls = [f"http://a{i}.{'com' if i % 2 else 'net/es'}/{'ab' * 150}{i}" for i in range(12)] + ["http://b.org/" + "ab" * 150, "http://c.org/" + "x" * 20_000]
+    got = {r["page_id"]: r["score"] for r in judged(spark, list(enumerate(urls))).collect()}
+    assert all(math.isfinite(got[k]) for k in (12, 13)) and len(got) == 14
+
 
-    def symbols(u):
-        rest = (u or "").split("://", 1)[-1] if u and "://" in u else (u or "")
-        return "~~~" + re.sub(r"(?s)[^a-z0/._-]", "~", re.sub("[0-9]", "0", rest.lower()))
+def plain_scores(urls, support):
+    """Witten-Bell interpolated log-likelihood differences, straight from the definition."""
+    def characters(u):
+        return "\x02" * 3 + (u or "").split("://", 1)[-1].lower()
 
     def verdict(u):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
@@ -42,34 +51,48 @@ def plain_scores(urls):
         fit = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         return max(fit, key=lambda r: len(r.name)).verdict if fit else None
 
-    counts = {v: [Counter() for _ in range(5)] for v in ("allow", "block")}
+    lengths = [0, 1, 2, 3, 4]  # of contexts
+    while lengths[-1] < 400:
+        lengths.append(lengths[-1] + max(1, lengths[-1] // 2))
+    counts, holders, seen = {v: Counter() for v in ("allow", "block")}, {}, set()
     for u in urls:
-        v, s = verdict(u), symbols(u)
+        v, s = verdict(u), characters(u)
         if v:
-            for i in range(len(s) - 3):
-                for n in range(1, 5):
-                    counts[v][n][s[i + 4 - n:i + 4]] += 1
-
-    def p(v, gram):
-        n = len(gram)
-        if not n:
-            return 1 / 32
-        after = [c for g, c in counts[v][n].items() if g[:-1] == gram[:-1]]
-        before = p(v, gram[1:])
-        return (counts[v][n][gram] + len(after) * before) / (sum(after) + len(after)) if after else before
+            seen |= set(s[3:])
+            for i in range(3, len(s)):
+                for n in lengths:
+                    if i >= n:
+                        counts[v][n, s[i - n:i + 1]] += 1
+                        # each place of a different URL counts
+                        holders.setdefault((n, s[i - n:i]), set()).add((s, i))
+    after = {v: {} for v in counts}
+    for v in counts:
+        for (n, gram), c in counts[v].items():
+            after[v].setdefault((n, gram[:-1]), []).append(c)
+
+    def p(v, s, i):
+        out = 1 / (len(seen) + 1)
+        for n in lengths:
+            if i < n or n > 3 and len(holders.get((n, s[i - n:i]), ())) < support:
+                break
+            context = after[v].get((n, s[i - n:i]), [])
+            if context:
+                out = (counts[v][n, s[i - n:i + 1]] + len(context) * out) / (sum(context) + len(context))
+        return out
 
     def score(u):
-        s = symbols(u)
-        return sum(math.log(p("allow", s[i:i + 4]) / p("block", s[i:i + 4])) for i in range(len(s) - 3)) / max(len(s) - 3, 1)
+        s = characters(u)
+        return sum(math.log(p("allow", s, i) / p("block", s, i)) for i in range(3, len(s))) / max(len(s) - 3, 1)
 
     return {u: (verdict(u), score(u)) for u in urls}
 
 
-def test_scores_equal_the_definition(spark):
+@pytest.mark.parametrize("support", [1, 3, 10 ** 6])
+def test_scores_equal_the_definition(spark, support):
     r = random.Random(4)
-    urls = [f"http://{r.choice(['shop', 'blog', 'free-bets'])}.{r.choice(['a', 'b9', 'example'])}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'es', 'fr'])}/{r.randrange(99)}" for _ in range(60)] + ["http://", "x", "ÄÖ://É"]
-    want = plain_scores([*urls, urls[0]])
-    got = judged(spark, list(enumerate([*urls, urls[0], None]))).collect()
+    urls = [f"http://{r.choice(['shop', 'blog', 'free-bets'])}.{r.choice(['a', 'b9', 'example'])}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'es', 'fr'])}/{r.randrange(99)}" for _ in range(60)] + ["http://", "x", "ÄÖ://É", "http://食.com/あ/1?q=2", "http://水.net/es/い#2", "http://食.org/あ/1", "http://水.org/い/2", "http://n.com/" + "long/" * 60, "http://n.org/" + "long/" * 70, "HTTP://N.com/" + "long/" * 65]
+    want = plain_scores([*urls, urls[0]], support)
+    got = judged(spark, list(enumerate([*urls, urls[0], None])), support=support).collect()
     assert len(got) == len(urls) + 2
     for row in got[:]:
         u = ([*urls, urls[0], None])[row["page_id"]]
@@ -77,6 +100,8 @@ def test_scores_equal_the_definition(spark):
             ruled, score = want[u]
             assert (row["score"] is None) == (ruled is not None)
             assert ruled is not None or row["score"] == pytest.approx(score, abs=1e-9)
+    kanji = {r["page_id"]: r["score"] for r in got}
+    assert kanji[urls.index("http://食.org/あ/1")] > kanji[urls.index("http://水.org/い/2")]
     open_ = sorted(((r["score"], r["verdict"]) for r in got if r["score"] is not None))
     assert [v for _, v in open_] == sorted((v for _, v in open_), reverse=True)  # one limit: block below, allow above
 
@@ -155,3 +180,9 @@ def test_usual_families_are_covered(documents):
     assert {"ISC", "Unlicense", "CC0-1.0", "EPL-2.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause"} <= {name for name, *_ in L.FAMILIES}
     for (name, _), got in zip(whole, licenses(documents, [text for _, text in whole]), strict=True):
         assert name in got
+
+
+def test_matches_of_rows_without_id_stay_apart(documents):
+    line = "Released under the MIT License."
+    got = L.scan(documents([(None, line), (None, "some words before it. " + line), (None, "nothing"), (7, line), (7, line)])).collect()
+    assert sorted((r["doc_id"] or 0, r["first_word"]) for r in got if r["license"] == "MIT") == [(0, 0), (0, 4), (7, 0)]
