@@ -23,7 +23,7 @@ components are exact.
 No list is one task.  The count table is never below an element's true count, so a list that it gives at most `split`
 sets is short; the rows of any other list, and of all subset keys, are dealt out by set, counted exactly per key (added up in
 each task first), dropped if the key has one set only, and dealt into parts with a leader each if there are more
-than `split`.  The table has a counter for some 256 words of the corpus, up to MOST_COUNTERS (64 MB); in a corpus beyond that more
+than `split`.  The table has a counter for some 512 words of the corpus, up to MOST_COUNTERS (64 MB); in a corpus beyond that more
 lists take the exact count, with the same result.
 
 Defined results: words are maximal runs without ASCII white space, A-Z lower-cased; a text with
@@ -170,9 +170,9 @@ class Rule:
 
 
 def _counters(docs: DataFrame) -> int:
-    """Size of the count table: a power of two, a counter for some 256 words of the corpus (six bytes each), within bounds."""
+    """Size of the count table: a power of two, a counter for some 512 words of the corpus (six bytes each), within bounds."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(1 << (total // (6 * 256)).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
+    return min(max(1 << (total // (6 * 512)).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
 
 
 def _counter_of(s: np.ndarray, counters: int) -> np.ndarray:
@@ -346,7 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = shared_lists(_second_pass(source.where("id is not null"), words, rule, boundary, table, split), split)
 
     light = lists.where("light > 0 and smallest.n = light and sig != smallest.sig").select(F.col("sig").alias("a"), F.col("smallest.sig").alias("b"))
-    heavy = lists.where("light < 0").select("key", "part", "sig", "n", (-1 - F.col("light")).alias("place")).distinct()
+    heavy = lists.where("light < 0").select("key", "part", "sig", "n", (-1 - F.col("light")).alias("place"))
     # a set that shares many of its elements is the likeliest to link with others: it leads its lists
     weight = heavy.groupBy("sig").agg(F.count("*").alias("weight"))
     own = Window.partitionBy("key", "part").orderBy(F.desc("weight"), "sig")
@@ -389,13 +389,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def shared_lists(rows: DataFrame, split: int) -> DataFrame:
-    """The rows (key, part, sig, n, light, smallest) of keys with two sets or more, in parts of some `split` sets.
+    """The different rows (key, part, sig, n, light, smallest) of keys with two sets or more, in parts of some `split` sets.
 
     The rows of part 0 are whole lists already; the others are counted per key first.  `smallest` is the smallest
     set (n, sig) under a subset key."""
     listed = Window.partitionBy("key", "part", "kind")
     rows = rows.withColumn("kind", F.greatest("light", F.lit(0))).withColumns({"lo": F.min("sig").over(listed), "hi": F.max("sig").over(listed)})
-    lists = materialise(rows.where("part > 0 or lo != hi").drop("lo", "hi"), "lists")
+    # the same set from several tasks; its rows are in one partition by now
+    once = rows.where("part > 0 or lo != hi").select("key", "part", "kind", "sig", "n", "light").distinct()
+    lists = materialise(once, "lists")
     dealt = lists.where("part > 0")
     counted = dealt.groupBy("key", "kind").agg(F.count("*").alias("sets"), F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min(F.struct("n", "sig")).alias("smallest")).where("lo != hi")
     dealt = dealt.join(counted, ["key", "kind"])
