@@ -4,13 +4,13 @@ Two variable-order Markov models over the characters of URLs, one of the URLs th
 accepts and one of those that a block rule rejects, give each character a probability after
 the characters before it.  Lengths of contexts are interpolated by Witten-Bell smoothing (a
 context gives as much weight to the shorter one as it has seen different characters), so a
-context never seen leaves the word to the shorter one.  Contexts have up to three characters, and beyond that 4, 6, 9, 13, 19 ... as
+context never seen leaves the word to the shorter one.  Contexts have up to three characters, and beyond that 4, 8, 16, 32 ... as
 long as the context stands in `support` places of different ruled URLs: what the models keep grows with the corpus.
 A URL's score is the mean over its characters of the log-likelihood difference, and the limit between block and allow is
 the one that separates the ruled URLs best (balanced accuracy over fixed bins).
 
 Characters are those of the URL after "://", in lower case.  The grams of a round are a Spark table, joined by gram to the
-places whose context was supported so far; such a place travels with its gram, not with its URL.  Counts
+places whose context was supported so far (never as a broadcast, as they grow with the corpus); such a place travels with its gram, not with its URL.  Counts
 are taken over all rows, scores once for each distinct URL.  Only DataFrame functions.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; a URL
@@ -30,7 +30,7 @@ from .page_diff import url_host, url_path
 
 ORDER = 4  # characters of the shortest grams that places are looked up by: the context and the character
 START = "\x02"  # stands three times before the first character
-SUPPORT = 8
+SUPPORT = 16
 BINS, REACH = 2000, 10.0  # scores are binned between -REACH and REACH
 
 
@@ -97,7 +97,7 @@ def _scores(urls: DataFrame, support: int) -> DataFrame:
     gain = F.log("allow_p") - F.log("block_p")
     places = F.collect_list(F.struct("j", "allow_p", "block_p")).alias("places")
     at = urls.select("u", "z", F.explode(F.sequence(F.lit(ORDER), F.length("z"))).alias("j")).select("u", "j", _gram(F.col("j"), ORDER).alias("key"))
-    state = materialise(at.join(_short_model(urls), "key").groupBy("u").agg(places, F.sum(gain).alias("gain"), F.count("*").alias("n")), "url-places")
+    state = materialise(at.join(_short_model(urls).hint("merge"), "key").groupBy("u").agg(places, F.sum(gain).alias("gain"), F.count("*").alias("n")), "url-places")
     gains, n = [state.select("u", "gain", "n")], ORDER
     while True:  # contexts of n characters; ends as no URL is endless
         open_ = state.join(urls, "u").select("u", "z", "allow", "block", F.explode(F.filter("places", lambda x: x["j"] > n)).alias("p"))
@@ -106,10 +106,10 @@ def _scores(urls: DataFrame, support: int) -> DataFrame:
         model = materialise(_smoothed(level, support), "url-contexts")
         if model.isEmpty():
             break
-        reached = open_.select("u", "j", "key", gain.alias("before")).join(model, "key")
+        reached = open_.select("u", "j", "key", gain.alias("before")).join(model.hint("merge"), "key")
         state = materialise(reached.groupBy("u").agg(places, F.sum(gain - F.col("before")).alias("gain")), "url-places")
         gains.append(state.select("u", "gain", F.lit(0).cast("long").alias("n")))
-        n += max(1, n // 2)
+        n *= 2
     total = reduce(DataFrame.union, gains).groupBy("u").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"))
     return materialise(urls.join(total, "u").select("z", "allow", "block", (F.col("gain") / F.col("n")).alias("score")), "url-scores")
 

@@ -53,7 +53,7 @@ def plain_scores(urls, support):
 
     lengths = [0, 1, 2, 3, 4]  # of contexts
     while lengths[-1] < 400:
-        lengths.append(lengths[-1] + max(1, lengths[-1] // 2))
+        lengths.append(lengths[-1] * 2)
     counts, holders, seen = {v: Counter() for v in ("allow", "block")}, {}, set()
     for u in urls:
         v, s = verdict(u), characters(u)
