@@ -443,6 +443,17 @@ def q_lookup_batch(spark, sf_dir):
     return missing
 
 
+@register("lookup_found", with_curated("""
+SELECT subject_id, segment, effort, ROUND(g3, 6) AS g3, at_risk FROM curated
+WHERE subject_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""))
+def q_lookup_found(spark, sf_dir):
+    """Batch point lookup: the rows found for the keys of urgent orders."""
+    from ..operators import explore as X
+    req = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("subject_id")).distinct()
+    found, _ = X.lookup_many(curated(spark, sf_dir), R, req)
+    return rounded(found.select("subject_id", "segment", "effort", "g3", "at_risk"))
+
+
 # ---------------------------------------------------------------- O-127
 @register("habits_map", "SELECT event_id AS id, json_extract_string(props, '$.k') AS k, "
           "CAST(len(json_keys(props)) AS INT) AS n_keys FROM events")

@@ -127,6 +127,13 @@ def q_hist_adaptive(spark, sf_dir):
     return rounded(X.histogram_adaptive(curated(spark, sf_dir), "absences"))
 
 
+@register("target_histogram", with_curated(_hist_sql(
+    "g3", "curated", "GREATEST(3, LEAST(20, (SELECT COUNT(DISTINCT g3) FROM curated)))")))
+def q_target_hist(spark, sf_dir):
+    """O-50: the histogram of the target block, in its number of bins."""
+    return rounded(X.histogram_adaptive(curated(spark, sf_dir), "g3"))
+
+
 @register("histogram_fixed", with_curated("""
 , c AS (SELECT CAST(LEAST(10, FLOOR(g3 / 2.0)) AS INT) AS bin, COUNT(*) AS n FROM curated WHERE g3 IS NOT NULL GROUP BY 1)
 SELECT CAST(i AS INT) AS bin, CAST(i * 2.0 AS DOUBLE) AS bin_lo, CAST(COALESCE(c.n, 0) AS BIGINT) AS n

@@ -1,12 +1,15 @@
 """Registered jobs for scoring-driven operators, models, kNN and segmentation."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ..functions.bounded import bounded
 from ..functions.topk import modes
+from ..operators import clean
 from ..operators import foldsums as FS
 from ..operators import models as M
 from ..operators import segment as SG
@@ -16,6 +19,7 @@ from ..operators.ranks import exact_quantiles
 from ..roles import SUBJECTS as R
 from ..sources.intake import segment_members
 from ..sources.tables import read
+from .bindings import subjects
 from .curated import curated
 from .oracle import with_curated
 from .registry import ORACLE, register, rounded
@@ -410,6 +414,30 @@ def q_batch_score(spark, sf_dir):
     return M.score(clf, out, prob=True).select(*cols, "pass_probability")
 
 
+_REQUIRED = ("effort", "g1", "g2")
+
+
+@register("scoring_rejects", with_curated("""
+, m AS (SELECT subject_id, list_filter([""" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _REQUIRED) + """], lambda x: x IS NOT NULL) AS f FROM subjects)
+SELECT subject_id, array_to_string(f, ',') AS missing FROM m WHERE len(f) > 0""", upto="subjects"))
+def q_scoring_rejects(spark, sf_dir):
+    """O-93: rows that a batch can't score, with the inputs that they lack."""
+    from pyspark.ml.regression import LinearRegression
+    inputs = list(_REQUIRED)
+    model = Pipeline(stages=M.preprocessor(inputs, []) + [LinearRegression(labelCol="g3")]).fit(curated(spark, sf_dir))
+    return M.score_with_rejects(model, subjects(spark, sf_dir), _REQUIRED)[1].select("subject_id", "missing")
+
+
+_LOAD = (("load", (("absences", 2.0), ("failures", 1.0))),)
+
+
+@register("composite_load", with_curated("SELECT subject_id, ROUND((absences * 2.0 + failures * 1.0) / 3.0, 6) AS load FROM curated"))
+def q_composite(spark, sf_dir):
+    """O-22: a weighted composite of two columns."""
+    df = clean.derive_features(curated(spark, sf_dir), replace(R, composites=_LOAD))
+    return rounded(df.select("subject_id", "load"))
+
+
 @register("custom_train_lineitem")
 def q_custom_li(spark, sf_dir):
     """O-92 on lineitem with a numeric target."""
