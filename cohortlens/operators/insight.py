@@ -20,13 +20,13 @@ def level_means(df: DataFrame, roles: Roles) -> DataFrame:
     return df.groupBy(roles.effort).agg(F.avg(roles.target).alias("level_mean"), F.count(F.lit(1)).alias("level_n"))
 
 
-def insight(df: DataFrame, roles: Roles) -> DataFrame:
-    lv = level_means(df, roles)
+def insight(df: DataFrame, roles: Roles, rows: DataFrame | None = None) -> DataFrame:
+    """Every row of `rows` (default: of `df`) against its peer group and the next level in `df`."""
+    lv = bounded(level_means(df, roles))
     nxt = lv.select((F.col(roles.effort) - 1).alias("__lvl"), F.col("level_mean").alias("next_mean"),
                     F.col("level_n").alias("next_n"))
     mean_abs = df.agg(F.avg(roles.absences)).first()[0]
-    lv, nxt = bounded(lv), bounded(nxt)
-    j = df.join(lv, roles.effort, "left").join(nxt, F.col(roles.effort) == F.col("__lvl"), "left")
+    j = (df if rows is None else rows).join(lv, roles.effort, "left").join(nxt, F.col(roles.effort) == F.col("__lvl"), "left")
     y = F.col(roles.target)
     gain = F.col("next_mean") - F.col("level_mean")
     ok = (F.col("level_n") >= MIN_GROUP) & (F.col("next_n") >= MIN_GROUP) & (gain > 0)

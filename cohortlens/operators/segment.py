@@ -25,9 +25,12 @@ MAX_SUGGESTIONS = 3
 
 def segment(df: DataFrame, roles: Roles, features, k: int = 4, seed: int = 42):
     """Returns (assignments [id, group, z-features…], summary, traits)."""
-    feats = [c for c in features if c in df.columns]
+    feats = list(features)
+    unknown = [c for c in feats if c not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
     if len(feats) < 2:
-        raise ValueError("at least two known features are required")
+        raise ValueError("at least two features are required")
     k = max(MIN_K, min(MAX_K, int(k)))
     st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in feats], *[F.stddev_pop(c).alias(f"s_{c}") for c in feats]).first()
     z = {f"z_{c}": F.when(F.lit(st[f"s_{c}"] or 0.0) > 0, (F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"] or 1.0))

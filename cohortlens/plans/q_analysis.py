@@ -423,10 +423,8 @@ FROM j, ma WHERE at_risk = 1 ORDER BY g3, subject_id LIMIT 200"""))
 def q_report_batch(spark, sf_dir):
     """At-risk rows, lowest target first, limit 200, each with its insight record."""
     df = curated(spark, sf_dir)
-    ins = I.insight(df, R)
-    top = df.filter(F.col("at_risk") == 1).orderBy("g3", "subject_id").limit(200).select("subject_id")
-    j = top.join(ins, "subject_id")
-    return rounded(j.select("subject_id", "g3", "own_mean", "diff_own", "next_gain", "has_failures",
+    top = df.filter(F.col("at_risk") == 1).orderBy("g3", "subject_id").limit(200)
+    return rounded(I.insight(df, R, top).select("subject_id", "g3", "own_mean", "diff_own", "next_gain", "has_failures",
                             "absences_above_mean"))
 
 

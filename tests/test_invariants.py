@@ -33,6 +33,8 @@ def test_k_is_clamped_and_two_features_required(spark, cur):
     assert a.select("group").distinct().count() <= 8
     with pytest.raises(ValueError):
         SG.segment(cur, R, ["effort"], k=4)
+    with pytest.raises(ValueError, match="nonsense"):
+        SG.segment(cur, R, ["effort", "absences", "nonsense"], k=4)
 
 
 def test_percentile_ranks_are_monotone(spark, cur):
