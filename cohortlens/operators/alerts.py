@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import Roles
+from .quantiles import column_medians
 from .ranks import value_counts_before_multi
 
 # fixed values: severity order and rule order
@@ -33,7 +34,7 @@ def combined_risk(df: DataFrame, roles: Roles, median_absences: float | None = N
     target and gap; urgent when the group is >= 5 % of rows; no row when empty."""
     a, f, y = F.col(roles.absences), F.col(roles.failures), F.col(roles.target)
     if median_absences is None:
-        median_absences = df.agg(F.percentile(a, F.lit(0.5))).first()[0]
+        median_absences = column_medians(df, [roles.absences])[roles.absences]
     m = F.coalesce((a > F.lit(median_absences)) & (f >= 1), F.lit(False))
     r = df.agg(
         F.count_if(m).alias("n_combined"), F.count(F.lit(1)).alias("n"),
@@ -41,7 +42,7 @@ def combined_risk(df: DataFrame, roles: Roles, median_absences: float | None = N
     )
     share = F.try_divide(F.col("n_combined"), F.col("n"))
     return r.filter(F.col("n_combined") > 0).select(
-        F.lit(float(median_absences)).alias("median_absences"), "n_combined", "n",
+        F.lit(median_absences).cast("double").alias("median_absences"), "n_combined", "n",
         share.alias("share"), "mean_combined", "mean_rest",
         (F.col("mean_rest") - F.col("mean_combined")).alias("gap"),
         F.when(share >= COMBINED_URGENT_SHARE, "urgent").otherwise("warning").alias("severity"),
@@ -59,12 +60,12 @@ def alert_rules(df: DataFrame, roles: Roles, risk_rate_threshold: float | None =
     if not 0.01 <= thr <= 0.99:
         raise ValueError("risk_rate_threshold must be within 0.01..0.99")
     a, f, y = F.col(roles.absences), F.col(roles.failures), F.col(roles.target)
-    st = df.agg(F.avg(a).alias("m"), F.stddev_samp(a).alias("s"),
-                F.percentile(a, F.lit(0.5)).alias("med")).first()
+    st = df.agg(F.avg(a).alias("m"), F.stddev_samp(a).alias("s")).first()
+    median_absences = column_medians(df, [roles.absences])[roles.absences]
     high = float(min_absences) if min_absences is not None else (
         (st["m"] or 0.0) + 2 * (st["s"] if st["s"] is not None else float("nan")))
     worsening = F.coalesce((f >= 1) & (F.col("grade_trend") < 0), F.lit(False))
-    comb = F.coalesce((a > F.lit(st["med"])) & (f >= 1), F.lit(False))
+    comb = F.coalesce((a > F.lit(median_absences)) & (f >= 1), F.lit(False))
     aggs = [
         F.avg("at_risk").alias("risk_rate"),
         F.count_if(F.coalesce(a > F.lit(high), F.lit(False))).alias("n_high_absences"),
@@ -91,7 +92,7 @@ def alert_rules(df: DataFrame, roles: Roles, risk_rate_threshold: float | None =
              F.col("n_high_absences") > 0),
         rule(3, "worsening_with_failures", F.lit("warning"), F.col("n_worsening"), F.lit(None),
              F.col("n_worsening") > 0),
-        rule(4, "combined_risk", comb_sev, F.col("n_combined"), F.lit(st["med"]), F.col("n_combined") > 0),
+        rule(4, "combined_risk", comb_sev, F.col("n_combined"), F.lit(median_absences), F.col("n_combined") > 0),
     ]
     if has_heavy:
         rules.append(rule(5, "heavy_use_low_target", F.lit("info"), F.col("n_heavy"), F.lit(HEAVY_USE_LEVEL),

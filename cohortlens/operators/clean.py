@@ -1,11 +1,11 @@
 """Curation (O-14 … O-24): duplicates, coercion, target/range filters, median and
 mode filling, IQR winsorising, derived features and z-scores.
 
-Statistics are *fitted* in exactly three one-row aggregate passes (medians and
-modes → IQR bounds → mean/std).  Each pass returns one row that is turned into
+Statistics are *fitted* in three steps (medians and modes → IQR bounds →
+mean/std; the quantiles by bracket and refine).  Each step returns a few numbers that are turned into
 literals, so the final transform is a single scan → filter → project stage
 with no join at all.  The pass-through data is materialised once in the
-shared checkpoint folder so the three passes do not recompute the upstream
+shared checkpoint folder so the passes do not recompute the upstream
 aggregation.
 """
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.topk import modes
 from ..roles import Roles
+from .quantiles import column_medians, column_quantiles
 
 # fixed values: number pattern accepted by the coercion (finite decimals only)
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -91,19 +92,15 @@ class CurationModel:
 
 
 def fit_fill(df: DataFrame, roles: Roles, approx: bool = False) -> tuple[dict, dict]:
-    """Pass 1: medians of numeric columns (one aggregate) and modes of text
-    columns (one distributed group-by, see `functions.topk.modes`)."""
+    """Pass 1: medians of numeric columns (`quantiles.column_medians`, or one aggregate of sketches)
+    and modes of text columns (one distributed group-by, see `functions.topk.modes`)."""
     num = roles.present(roles.numeric_all, df.columns)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     txt = [c for c in df.columns if isinstance(types[c], T.StringType) and c != roles.id]
-    aggs = []
-    for c in num:
-        e = F.percentile_approx(c, 0.5, 10000) if approx else F.percentile(F.col(c), F.lit(0.5))
-        aggs.append(e.alias(f"m__{c}"))
-    medians = {}
-    if aggs:
-        row = df.agg(*aggs).first()
-        medians = {c: row[f"m__{c}"] for c in num}
+    if approx and num:
+        medians = df.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in num]).first().asDict()
+    else:
+        medians = column_medians(df, num)
     return medians, modes(df, txt)
 
 
@@ -122,18 +119,12 @@ def mode_fill(df: DataFrame, modes: dict) -> DataFrame:
 
 # ---------------------------------------------------------------- O-20
 def fit_bounds(df: DataFrame, cols, factor: float = 1.5) -> dict:
-    """Pass 2: Q1/Q3 (linear interpolation) of every column in one aggregate."""
-    cols = [c for c in cols if c in df.columns]
-    if not cols:
-        return {}
-    qs = F.array(F.lit(0.25), F.lit(0.75))
-    row = df.agg(*[F.percentile(F.col(c), qs).alias(c) for c in cols]).first()
+    """Pass 2: exact Q1/Q3 (linear interpolation) of every column together."""
     out = {}
-    for c in cols:
-        q = row[c]
+    for c, q in column_quantiles(df, [c for c in cols if c in df.columns], (0.25, 0.75)).items():
         if q is None:
             continue
-        q1, q3 = float(q[0]), float(q[1])
+        q1, q3 = q
         iqr = q3 - q1
         out[c] = (q1 - factor * iqr, q3 + factor * iqr)
     return out

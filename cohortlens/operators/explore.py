@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from ..functions.paging import numbered_page
 from ..functions.topk import modes
 from ..roles import Roles
+from .quantiles import column_medians, exact_quantiles
+from .ranks import exact_quantiles as prefix_quantiles
 
 
 # ---------------------------------------------------------------- O-25
@@ -121,16 +123,19 @@ def mean_by_category(df: DataFrame, roles: Roles, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-40
-# Quantile methods: "map" — exact, Spark's `percentile` (a value→count map per
-# group, merged in one task per group: for value domains of bounded size such as
-# grades or counts); "prefix" — exact and distributed (`ranks.exact_quantiles`:
-# for continuous values of unbounded domain, e.g. prices on a fact table);
+# Quantile methods: "bracket" — exact in bounded memory (`quantiles.exact_quantiles`, a few
+# scans); "prefix" — exact and distributed (`ranks.exact_quantiles`, sorts the distinct values);
+# "map" — exact, Spark's `percentile` (a value→count map per group, merged in one task per group: only
+# for value domains of bounded size such as grades or counts);
 # "approx" — bounded-memory sketch (`percentile_approx`).
-QUANTILE_METHODS = ("map", "prefix", "approx")
+QUANTILE_METHODS = ("bracket", "prefix", "map", "approx")
+
+
+_BY_FIELD = {"bracket": exact_quantiles, "prefix": prefix_quantiles}
 
 
 def _method(method: str | None, approx: bool) -> str:
-    m = method or ("approx" if approx else "map")
+    m = method or ("approx" if approx else "bracket")
     if m not in QUANTILE_METHODS:
         raise ValueError(f"unknown quantile method: {m}")
     return m
@@ -150,11 +155,9 @@ def group_profile(df: DataFrame, value: str, by: str, approx: bool = False,
     if by not in df.columns:
         raise ValueError(f"unknown column: {by}")
     m = _method(method, approx)
-    if m == "prefix":
-        from .ranks import exact_quantiles
-
+    if m in _BY_FIELD:
         base = df.groupBy(by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-        q = exact_quantiles(df, [value], (0.25, 0.5, 0.75), by=[by]).select(
+        q = _BY_FIELD[m](df, [value], (0.25, 0.5, 0.75), by=[by]).select(
             F.col(by).alias("__by"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
         # one row per group on both sides; groups whose values are all NULL keep NULL quartiles
         out = base.join(q, base[by].eqNullSafe(q["__by"]), "left")
@@ -298,7 +301,7 @@ def column_profile_numeric(df: DataFrame, cols=None, approx: bool = False,
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        med = [] if m == "prefix" else [quantiles(x, (0.5,), m == "approx")[0].alias("median")]
+        med = [] if m in _BY_FIELD else [quantiles(x, (0.5,), m == "approx")[0].alias("median")]
         aggs.append(F.struct(
             F.lit(c).alias("column"),
             F.count(x).alias("n"),
@@ -311,10 +314,8 @@ def column_profile_numeric(df: DataFrame, cols=None, approx: bool = False,
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(cols))])).alias("p"))
     long = long.select("p.*").filter(F.col("n") > 0)
-    if m == "prefix":
-        from .ranks import exact_quantiles
-
-        med = exact_quantiles(df, cols, (0.5,)).select(F.col("field").alias("column"), F.col("q0").alias("median"))
+    if m in _BY_FIELD:
+        med = _BY_FIELD[m](df, cols, (0.5,)).select(F.col("field").alias("column"), F.col("q0").alias("median"))
         # both sides hold one row per column
         long = long.join(F.broadcast(med), "column").select("column", "n", "mean", "median", "std", "min", "max")
     return long
@@ -347,9 +348,10 @@ def defaults(df: DataFrame, roles: Roles, numeric=None, categorical=None) -> Dat
     numeric = [c for c in (numeric or roles.numeric_all) if c in df.columns]
     categorical = [c for c in (categorical or roles.categorical) if c in df.columns]
     md = modes(df, categorical)
-    aggs = [F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in numeric]
-    aggs += [F.lit(md[c]).cast("string").alias(c) for c in categorical]
-    return df.agg(*aggs)
+    medians = column_medians(df, numeric)
+    typical = [F.lit(medians[c]).cast("double").alias(c) for c in numeric]
+    typical += [F.lit(md[c]).cast("string").alias(c) for c in categorical]
+    return df.sparkSession.range(1).select(*typical)
 
 
 # ---------------------------------------------------------------- O-55

@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.bounded import bounded
 from ..functions.pvalues import p_value_f, p_value_t
+from .explore import group_profile
 
 
 # ---------------------------------------------------------------- O-69
@@ -172,11 +173,7 @@ def scatter(df: DataFrame, x: str, y: str, key: str):
 def box_summary(df: DataFrame, value: str, by: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
     """Quartiles and 1.5·IQR whiskers per group (quartile table joined back on
     the group key, as a broadcast when its size allows)."""
-    q = df.groupBy(by).agg(
-        (F.percentile_approx(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000) if approx
-         else F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("_q"),
-        F.count(value).alias("n"),
-    ).select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = group_profile(df, value, by, approx).select(by, "n", "q1", "median", "q3")
     q = q.withColumns({"lo_fence": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
                        "hi_fence": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
     q = bounded(q)

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean
+from ..operators.quantiles import column_medians
 from ..roles import SUBJECTS as R
 from ..sources.tables import read
 from .bindings import subjects
@@ -89,6 +90,35 @@ def q_winsorise(spark, sf_dir):
     return rounded(clean.winsorise(f, b).select(*cols))
 
 
+_LI_SPARSE = "SELECT l_orderkey, l_linenumber, NULLIF(l_discount, 0) AS discount, NULLIF(l_tax, 0) AS tax FROM lineitem"
+_LI_MEDIANS = "SELECT QUANTILE_CONT(CAST(discount AS DOUBLE), 0.5) AS discount, QUANTILE_CONT(CAST(tax AS DOUBLE), 0.5) AS tax FROM s"
+
+
+@register("median_fill_lineitem", f"WITH s AS ({_LI_SPARSE}), m AS ({_LI_MEDIANS}) SELECT l_orderkey, l_linenumber, "
+          + ", ".join(r6(f"COALESCE(CAST(s.{c} AS DOUBLE), m.{c})", c) for c in ("discount", "tax")) + " FROM s, m")
+def q_median_fill_lineitem(spark, sf_dir):
+    """O-18 on a fact table: a discount or tax of 0 counts as unknown."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[
+        F.nullif(F.col(f"l_{c}").cast("double"), F.lit(0.0)).alias(c) for c in ("discount", "tax")])
+    return rounded(clean.median_fill(li, column_medians(li, ["discount", "tax"])))
+
+
+_LI_WIN = ("l_extendedprice", "l_quantity")
+_LI_FENCES = ", ".join(f"QUANTILE_CONT(CAST({c} AS DOUBLE), {q}) AS {n}_{c}" for c in _LI_WIN for n, q in (("a", 0.25), ("b", 0.75)))
+_LI_CAPPED = ", ".join(
+    f"{r6(f'LEAST(GREATEST(CAST({c} AS DOUBLE), a_{c} - 1.5 * (b_{c} - a_{c})), b_{c} + 1.5 * (b_{c} - a_{c}))', c)}, "
+    f"{r6(c, c + '_raw')}, CAST({c} < a_{c} - 1.5 * (b_{c} - a_{c}) OR {c} > b_{c} + 1.5 * (b_{c} - a_{c}) AS INT) AS {c}_is_outlier"
+    for c in _LI_WIN)
+
+
+@register("winsorise_lineitem", f"WITH q AS (SELECT {_LI_FENCES} FROM lineitem) SELECT l_orderkey, l_linenumber, {_LI_CAPPED} FROM lineitem, q")
+def q_winsorise_lineitem(spark, sf_dir):
+    """O-20 on a fact table of continuous prices."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_LI_WIN)
+    capped = clean.winsorise(li, clean.fit_bounds(li, _LI_WIN))
+    return rounded(capped.select("l_orderkey", "l_linenumber", *[x for c in _LI_WIN for x in (c, f"{c}_raw", f"{c}_is_outlier")]))
+
+
 _FEAT = ["passed", "grade_trend", "progress_badge", "at_risk", "perf_band"]
 
 
