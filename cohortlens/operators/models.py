@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.topk import modes
 from .clean import observed_only
+from .fill import ExactFill
 from .foldsums import linear_folds, one_vs_rest_auc
 from .ranks import prefix_sums
 
@@ -56,12 +56,12 @@ def stratified_split(df: DataFrame, key: str, label: str) -> tuple[DataFrame, Da
 
 
 def preprocessor(numeric, categorical, scale: bool = True, impute: bool = False):
-    """O-86: standardised numerics, one-hot categoricals; unseen levels → all-zero vector."""
+    """O-86: standardised numerics, one-hot categoricals; unseen levels → all-zero vector; with `impute`, missing
+    inputs get the exact medians and modes of the rows that the pipeline is fitted on."""
     stages = []
     num_in = list(numeric)
-    if impute and num_in:
-        stages.append(Imputer(inputCols=num_in, outputCols=[f"{c}__imp" for c in num_in], strategy="median"))
-        num_in = [f"{c}__imp" for c in num_in]
+    if impute:
+        stages.append(ExactFill(numbers=num_in, texts=list(categorical)))
     cat_vec = []
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
@@ -253,7 +253,7 @@ def _feature_names(model, n: int) -> list[str]:
     for st in model.stages:
         cls = type(st).__name__
         if cls == "VectorAssembler" and st.getOutputCol() == "__num":
-            nums = [c.replace("__imp", "") for c in st.getInputCols()]
+            nums = list(st.getInputCols())
         if cls == "StringIndexerModel":
             cats += [f"{st.getInputCol()}={lv}" for lv in st.labels]
     names = nums + cats
@@ -284,10 +284,8 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
         raise ValueError(f"need at least {MIN_ROWS} rows with a target, have {n}")
     numeric = [c for c in features if isinstance(types[c], T.NumericType)]
     text = [c for c in features if c not in numeric]
-    md = modes(d, text)
-    d = d.withColumns({c: F.coalesce(F.col(c), F.lit(md[c])) for c in text if md[c] is not None})
-    d = d.withColumns({c: F.col(c).cast("double") for c in numeric})
-    stages = preprocessor(numeric, text, scale=True, impute=True)
+    # all rows with a target give the fill; as a stage it stays with the returned model
+    stages = [ExactFill(numbers=numeric, texts=text).fit(d), *preprocessor(numeric, text, scale=True)]
     rows = []
     if isinstance(types[target], T.NumericType):
         d = d.withColumn(target, F.col(target).cast("double"))

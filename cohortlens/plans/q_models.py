@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
@@ -15,9 +15,11 @@ from ..operators import models as M
 from ..operators import segment as SG
 from ..operators import suggest as SU
 from ..operators import whatif as W
+from ..operators.fill import ExactFill
 from ..operators.ranks import exact_quantiles
 from ..roles import SUBJECTS as R
 from ..sources.intake import segment_members
+from ..session import scratch_path
 from ..sources.tables import read
 from .bindings import subjects
 from .curated import curated
@@ -438,6 +440,26 @@ def q_composite(spark, sf_dir):
     return rounded(df.select("subject_id", "load"))
 
 
+_LI_UNKNOWN = {"l_discount": 0.0, "l_tax": 0.0, "l_returnflag": "R"}  # counted as missing by `model_fill_lineitem`
+
+
+@register("model_fill_lineitem", """
+WITH s AS (SELECT l_orderkey, l_linenumber, NULLIF(CAST(l_discount AS DOUBLE), 0) AS l_discount,
+                  NULLIF(CAST(l_tax AS DOUBLE), 0) AS l_tax, NULLIF(l_returnflag, 'R') AS l_returnflag FROM lineitem),
+m AS (SELECT QUANTILE_CONT(l_discount, 0.5) AS discount, QUANTILE_CONT(l_tax, 0.5) AS tax FROM s),
+f AS (SELECT l_returnflag AS flag FROM s WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
+SELECT l_orderkey, l_linenumber, ROUND(COALESCE(l_discount, discount), 6) AS l_discount,
+       ROUND(COALESCE(l_tax, tax), 6) AS l_tax, COALESCE(l_returnflag, flag) AS l_returnflag
+FROM s, m, f""")
+def q_model_fill(spark, sf_dir):
+    """O-86: the fill stage of a pipeline on a fact table, fitted, saved, loaded and applied."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[
+        F.nullif(F.col(c).cast("double" if isinstance(v, float) else "string"), F.lit(v)).alias(c) for c, v in _LI_UNKNOWN.items()])
+    path = scratch_path(spark, "fill-model")
+    Pipeline(stages=[ExactFill(numbers=["l_discount", "l_tax"], texts=["l_returnflag"])]).fit(li).write().save(path)
+    return rounded(PipelineModel.load(path).transform(li))
+
+
 @register("custom_train_lineitem")
 def q_custom_li(spark, sf_dir):
     """O-92 on lineitem with a numeric target."""
