@@ -10,7 +10,7 @@ A URL's score is the mean over its characters of the log-likelihood difference,
 the one that separates the ruled URLs best (balanced accuracy over fixed bins).
 
 Characters are those of the URL after "://", in lower case.  The grams of a round are a Spark table, joined by gram to the
-places whose context was supported so far (never as a broadcast, as they grow with the corpus); such a place travels with its gram, not with its URL.  Counts
+places whose context was supported so far; no join is a broadcast, as all its tables grow with the corpus; such a place travels with its gram, not with its URL.  Counts
 are taken over all rows, scores once for each distinct URL.  Only DataFrame functions.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; a URL
@@ -66,7 +66,7 @@ def _smoothed(level: DataFrame, support: int = 0) -> DataFrame:
     seen = level.groupBy("context").agg(
         F.sum("urls").alias("support"),
         *[f(v).alias(f"{v}_{name}") for v in ("allow", "block") for name, f in (("n", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))])
-    level = level.join(seen.where(F.col("support") >= support), "context")
+    level = level.join(seen.where(F.col("support") >= support).hint("merge"), "context")
     p = {v: F.when(F.col(f"{v}_n") > 0, (F.col(v) + F.col(f"{v}_kinds") * F.col(f"{v}_p")) / (F.col(f"{v}_n") + F.col(f"{v}_kinds"))).otherwise(F.col(f"{v}_p")) for v in ("allow", "block")}
     return level.select("key", *[p[v].alias(f"{v}_p") for v in p])
 
@@ -83,7 +83,7 @@ def _short_model(urls: DataFrame) -> DataFrame:
         if lower is None:
             level = level.withColumns({f"{v}_p": F.lit(1.0 / kinds) for v in ("allow", "block")})
         else:
-            level = level.withColumn("short", F.substring("key", 2, n - 1)).join(lower.withColumnRenamed("key", "short"), "short")
+            level = level.withColumn("short", F.substring("key", 2, n - 1)).join(lower.withColumnRenamed("key", "short").hint("merge"), "short")
         lower = _smoothed(level)
     return lower
 
@@ -100,7 +100,7 @@ def _scores(urls: DataFrame, support: int) -> DataFrame:
     state = materialise(at.join(_short_model(urls).hint("merge"), "key").groupBy("u").agg(places, F.sum(gain).alias("gain"), F.count("*").alias("n")), "url-places")
     gains, n = [state.select("u", "gain", "n")], ORDER
     while True:  # contexts of n characters; ends as no URL is endless
-        open_ = state.join(urls, "u").select("u", "z", "allow", "block", F.explode(F.filter("places", lambda x: x["j"] > n)).alias("p"))
+        open_ = state.join(urls.hint("merge"), "u").select("u", "z", "allow", "block", F.explode(F.filter("places", lambda x: x["j"] > n)).alias("p"))
         open_ = open_.select("u", "allow", "block", "p.j", "p.allow_p", "p.block_p", _gram(F.col("p.j"), n + 1).alias("key"))
         level = open_.groupBy("key").agg(*_counts(), F.first("allow_p").alias("allow_p"), F.first("block_p").alias("block_p"))
         model = materialise(_smoothed(level, support), "url-contexts")
@@ -111,7 +111,7 @@ def _scores(urls: DataFrame, support: int) -> DataFrame:
         gains.append(state.select("u", "gain", F.lit(0).cast("long").alias("n")))
         n *= 2
     total = reduce(DataFrame.union, gains).groupBy("u").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"))
-    return materialise(urls.join(total, "u").select("z", "allow", "block", (F.col("gain") / F.col("n")).alias("score")), "url-scores")
+    return materialise(urls.join(total.hint("merge"), "u").select("z", "allow", "block", (F.col("gain") / F.col("n")).alias("score")), "url-scores")
 
 
 def _limit(scores: DataFrame) -> float:
@@ -149,7 +149,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     urls = materialise(named.where(F.length("z") >= ORDER).groupBy("z").agg(*ruled).withColumn("u", F.monotonically_increasing_id()), "urls")
     scores = _scores(urls, support)
     limit = _limit(scores)
-    judged = named.join(scores.select("z", "score"), "z", "left")
+    judged = named.join(scores.select("z", "score").hint("merge"), "z", "left")
     score = F.when(F.col("ruled").isNull(), F.coalesce("score", F.lit(0.0)))
     by_model = F.when(score >= limit, "allow").otherwise("block")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), score.alias("score"))
