@@ -1,9 +1,14 @@
 """Registered jobs for formulas (O-121 … O-125), intake (O-103, O-116, O-118) and export (O-09)."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..functions import formula as FM
+from ..operators import whatif as W
+from ..session import scratch_path
+from ..sources import batches as BA
 from ..sources import intake as IN
 from ..sources.tables import read
 from .curated import curated
@@ -135,6 +140,44 @@ def q_bulk(spark, sf_dir):
                     "valid")
 
 
+_INTAKE_ORDER = ", ".join(("CAST(c_custkey AS VARCHAR)", _NAT, _BAL, "lower(c_mktsegment)", "c_name"))
+_INTAKE_CTE = (f"WITH n AS (SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY {_INTAKE_ORDER}) AS row_no FROM customer), "
+               f"b AS ({_bulk_sql()}) ")
+
+
+def _intake(spark, sf_dir):
+    """The same upload taken in twice: the second time changes nothing."""
+    out = scratch_path(spark, "intake-batches")
+    scorer = W.LinearScorer(("nation", "balance"), Decimal("1"), (Decimal("0.25"), Decimal("0.01")), 0.0, 200.0)
+    for _ in range(2):
+        BA.intake_batch(_bulk_input(spark, sf_dir), BOUNDS, ENUMS, ["name"], {"nation": 0, "balance": 0, "segment": "OTHER"},
+                        scorer, "mark", out, batch="customers", label="upload")
+    return out
+
+
+@register("intake_added", _INTAKE_CTE + """SELECT 'customers-' || row_no AS id, c_custkey, nation, balance, segment, name,
+       ROUND(1 + 0.25 * nation + 0.01 * balance, 2)::DOUBLE AS mark, 'imputed' AS label_source
+FROM b JOIN n USING (c_custkey) WHERE valid""")
+def q_intake_added(spark, sf_dir):
+    """O-103 end to end: rows added by an upload that was repeated."""
+    rows = BA.read_batches(spark, _intake(spark, sf_dir), "added")
+    return rows.select("id", "c_custkey", "nation", "balance", "segment", "name", "mark", "label_source")
+
+
+@register("intake_rejected", _INTAKE_CTE + "SELECT 'customers-' || row_no AS id, c_custkey, errors FROM b JOIN n USING (c_custkey) WHERE NOT valid")
+def q_intake_rejected(spark, sf_dir):
+    """O-93, O-103: rejects of an upload that was repeated."""
+    rows = BA.read_batches(spark, _intake(spark, sf_dir), "rejected")
+    return rows.select("id", "c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@register("intake_snapshots", _INTAKE_CTE + """SELECT 'customers-' || row_no AS id, 'upload' AS label,
+       ROUND(1 + 0.25 * nation + 0.01 * balance, 2)::DOUBLE AS predicted FROM b JOIN n USING (c_custkey) WHERE valid""")
+def q_intake_snapshots(spark, sf_dir):
+    """O-106: snapshots of the predictions of an upload that was repeated."""
+    return BA.read_batches(spark, _intake(spark, sf_dir), "snapshots").select("id", "label", "predicted")
+
+
 EXPORT_COLS = ["subject_id", "segment", "age", "effort", "absences", "failures", "g1", "g2", "g3", "perf_band", "at_risk"]
 
 
