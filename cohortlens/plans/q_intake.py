@@ -10,6 +10,7 @@ from ..operators import whatif as W
 from ..session import scratch_path
 from ..sources import batches as BA
 from ..sources import intake as IN
+from ..sources import upload_folder as UF
 from ..sources.tables import read
 from .curated import curated
 from .oracle import numeric_text_sql, with_curated
@@ -178,6 +179,40 @@ def q_intake_snapshots(spark, sf_dir):
     return BA.read_batches(spark, _intake(spark, sf_dir), "snapshots").select("id", "label", "predicted")
 
 
+def _two_dialects(spark, sf_dir):
+    """`customer` as uploads: even keys with commas, odd ones with semicolons and other columns."""
+    out = scratch_path(spark, "uploads")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("Key"), F.col("c_name").alias("Name"),
+                                               F.col("c_acctbal").cast("string").alias("Balance (EUR)"), F.col("c_mktsegment").alias("segment"))
+    even = c["Key"].cast("bigint") % 2 == 0
+    c.where(even).drop("segment").write.option("header", True).csv(f"{out}/comma")
+    c.where(~even).select("segment", "Key", "Name").write.option("header", True).option("sep", ";").csv(f"{out}/semicolon")
+    return UF.read_folder(spark, out, file_col=None)
+
+
+@register("upload_folder", """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name,
+       CASE WHEN c_custkey % 2 = 0 THEN CAST(c_acctbal AS VARCHAR) END AS balance,
+       CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer""")
+def q_upload_folder(spark, sf_dir):
+    """O-07: a folder of files in two dialects as one table."""
+    t = _two_dialects(spark, sf_dir)
+    return t.select(F.col("Key").alias("key"), F.col("Name").alias("name"), F.col("`Balance (EUR)`").alias("balance"), "segment")
+
+
+ROLE_NAMES = {"id": ["key", "number"], "amount": ["balance"], "group": ["segment", "class"], "result": ["grade"]}
+
+
+@register("upload_roles", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER ({cond}) AS n_non_null, '{kind}' AS inferred, {role} AS role, "
+    "COUNT(*) >= 5 AS can_import, COUNT(*) >= 30 AS can_train, TRUE AS can_score FROM customer"
+    for c, cond, kind, role in (("Key", "TRUE", "numeric", "'id'"), ("Name", "TRUE", "text", "NULL"),
+                                ("Balance (EUR)", "c_custkey % 2 = 0", "numeric", "'amount'"), ("segment", "c_custkey % 2 = 1", "text", "'group'"))))
+def q_upload_roles(spark, sf_dir):
+    """O-116: types, roles and readiness of an uploaded folder."""
+    t = UF.upload_overview(_two_dialects(spark, sf_dir), ROLE_NAMES)
+    return t.select("column_name", "n_non_null", "inferred", "role", "can_import", "can_train", "can_score")
+
+
 EXPORT_COLS = ["subject_id", "segment", "age", "effort", "absences", "failures", "g1", "g2", "g3", "perf_band", "at_risk"]
 
 
