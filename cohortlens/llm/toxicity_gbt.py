@@ -1,16 +1,17 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Features per whole text (`NAMES`): densities of a fixed and of a learned lexicon, hits
-close to a second-person word, capitals, punctuation, and hits that only appear once
-obfuscation (look-alike digits and signs, single letters with separators) is undone.
+close to a second-person word, capitals, punctuation, and hits of either lexicon that only
+appear once obfuscation (look-alike digits, signs and letters of other scripts, single
+letters with separators) is undone.
 
 Learning uses at most about `sample` labelled rows outside the held-out fold, chosen by a
-hash of the id (a documented bound: the broadcast id list, the trees and the calibration
-stay the same size on any corpus).  The sample is dealt into three parts by another hash:
-lexicon (words and word beginnings whose document frequency among label 1 is
+hash of the id (a documented bound: the broadcast id list, the lexicon, the trees and the
+calibration stay bounded on any corpus).  The sample is dealt into three parts by another hash:
+lexicon (every word and word beginning whose document frequency among label 1 is
 significantly high, so inflected and compound forms are found too), trees, and
-calibration; below `SMALL` rows all three use every row.  Scoring reads every document
-in one pass without a shuffle.
+calibration; if a part lacks one of the classes, all three use every row.  Scoring reads
+every document in one pass without a shuffle.
 
 Defined results: a null or empty text is scored as the empty text; a null id is never
 learned from and has held_out null; repeated rows are scored one by one, and of repeated
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +36,6 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, materialise, text_or_empty
 
-SMALL = 500
-
 #: Insults and slurs-free abuse words known beforehand (fixed values).
 FIXED_LEXICON = frozenset(
     "idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting clown "
@@ -47,8 +47,10 @@ FIXED_LEXICON = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted tú tus ustedes".split())
 
 _WORD = re.compile(r"\w+")
-_LOOKALIKE = str.maketrans("013457@$!|", "oieastasii")
-_HIDDEN = re.compile(r"[@$!|0-9]")
+#: Signs and letters of other scripts that stand for Latin letters, in pairs (fixed values).
+_SIGNS, _LATIN = "013457@$!|" "аеорсухіѕјԁӏ" "οανικρτυ", "oieastasii" "aeopcyxisjdl" "oavikptu"
+_LOOKALIKE = str.maketrans(_SIGNS, _LATIN)
+_HIDDEN = re.compile("[0-9" + re.escape(_SIGNS) + "]")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){2,}(?!\w)")
 NEAR = 5
 STEMS = range(4, 8)  # lengths of the word beginnings in a learned lexicon
@@ -59,6 +61,24 @@ def _forms(word: str) -> list[str]:
     return [word + " ", *(word[:k] for k in STEMS if k <= len(word))]
 
 
+def undone(lower: str) -> list[str]:
+    """Words of a lower-case text that stand there only once look-alikes and separators are undone."""
+    out = []
+    if _HIDDEN.search(lower):
+        for chunk in lower.split():
+            if _HIDDEN.search(chunk):
+                seen = set(_WORD.findall(chunk))
+                out += [w for w in _WORD.findall(chunk.strip(".,;:?!\"'()").translate(_LOOKALIKE)) if w not in seen]
+    out += ["".join(c for c in run if c.isalnum()) for run in _SPACED.findall(lower)]
+    return out
+
+
+def _sketch(text: str) -> int:
+    """Least hash of five words in a row: most near copies of a text share it."""
+    words = _WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[i:i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 4))), default=0)
+
+
 NAMES = (
     "fixed_density", "fixed_hits", "fixed_distinct", "learned_density", "learned_hits", "near_second_person",
     "hidden_hits", "hidden_density", "capital_words", "exclamations", "punctuation", "log_words",
@@ -80,14 +100,7 @@ def toxic_stats(text: str, learned: frozenset[str]) -> list[float]:
         if SECOND_PERSON & kinds:
             both = fixed | extra
             near = sum(not SECOND_PERSON.isdisjoint(tokens[max(0, i - NEAR):i + NEAR + 1]) for i, w in enumerate(tokens) if w in both)
-    hidden = 0
-    if _HIDDEN.search(lower):
-        for chunk in lower.split():
-            if _HIDDEN.search(chunk) and chunk.isascii():
-                plain = chunk.strip(".,;:?!\"'()").translate(_LOOKALIKE)
-                hidden += plain in FIXED_LEXICON and plain not in _WORD.findall(chunk)
-    for run in _SPACED.findall(lower):
-        hidden += "".join(c for c in run if c.isalnum()) in FIXED_LEXICON
+    hidden = sum(w in FIXED_LEXICON or not learned.isdisjoint(_forms(w)) for w in undone(lower))
     size = max(len(text), 1)
     return [
         100.0 * fixed_hits / n, math.log1p(fixed_hits), float(len(fixed)), 100.0 * extra_hits / n, math.log1p(extra_hits),
@@ -129,18 +142,27 @@ def _margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     return scored.withColumn("_margin", vector_to_array("rawPrediction")[1])
 
 
-def _learn_lexicon(rows: DataFrame, least_share: float = 0.03, odds: float = 15.0, most: int = 300, z_least: float = 5.0) -> frozenset[str]:
-    """Words and beginnings whose document frequency in label-1 texts is too high for chance, at most `most`, strongest first.
+def learn_lexicon(rows: DataFrame, odds: float = 15.0, chance: float = 1e-3) -> frozenset[str]:
+    """Words and beginnings whose document frequency in label-1 texts is too high for chance, all of them.
 
-    Each must be in `least_share` of the label-1 texts, so the vocabulary of one group of copies isn't learned,
-    and `odds` times likelier there.
+    Near copies count once: of the texts of one sketch and label the least stands for all, so the vocabulary
+    of one group of copies isn't learned.  With share p of label 1, an entry in n texts, c of them of label 1, is
+    taken if it is `odds` times likelier there and the Chernoff bound exp(-n KL(c / n, p)) on seeing so many is at
+    most `chance` divided by the number of entries tested.
     """
 
+    @F.pandas_udf("long")
+    def sketch(texts: pd.Series) -> pd.Series:
+        return texts.map(_sketch).astype("int64")
+
+    rows = materialise(rows.groupBy("y", sketch("text").alias("sketch")).agg(F.min("text").alias("text")).select("text", "y"), "toxic-distinct")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                found[y].update({f for w in set(_WORD.findall(text.lower())) if 2 < len(w) < 40 for f in _forms(w)})
+                lower = text.lower()
+                found[y].update({f for w in {*_WORD.findall(lower), *undone(lower)} for f in _forms(w)})
             if len(found[0]) + len(found[1]) > 500_000:
                 yield frame(found)
                 found[0].clear()
@@ -154,10 +176,13 @@ def _learn_lexicon(rows: DataFrame, least_share: float = 0.03, odds: float = 15.
     totals = rows.agg(F.count("y").alias("n"), F.sum("y").alias("n1")).first()
     p = totals["n1"] / totals["n"]
     counts = rows.select("text", "y").mapInPandas(count, "word string, c0 long, c1 long").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    n = F.col("c0") + F.col("c1")
-    z = (F.col("c1") - n * p) / F.sqrt(n * p * (1 - p))
-    best = counts.where((F.col("c1") >= max(4, least_share * totals["n1"])) & (F.col("c1") >= odds * F.col("c0") * p / (1 - p))).withColumn("z", z).where(F.col("z") >= z_least)
-    return frozenset(r["word"] for r in best.orderBy(F.desc("z"), "word").limit(most).collect())
+    counts = materialise(counts, "toxic-words")
+    q, n = F.expr("c1 / (c0 + c1)"), F.expr("c0 + c1")
+    surprise = n * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+    likelier = (F.col("c1") > 0) & (q > p) & (F.col("c1") >= odds * F.col("c0") * p / (1 - p))
+    best = counts.where(likelier).where(surprise >= math.log(max(counts.count(), 1) / chance))
+    # bounded by the words of the sample
+    return frozenset(r["word"] for r in best.select("word").collect())
 
 
 def fit(
@@ -179,15 +204,13 @@ def fit(
     share = totals["n1"] / totals["n"] if totals["n"] else 0.0
     if share in (0.0, 1.0):
         return Toxicity(share)
-    part = (lambda *k: picked) if totals["n"] < SMALL else (lambda *k: picked.where(F.col("part").isin(*k)))
-    kinds = {k: {r["y"] for r in part(*k).select("y").distinct().collect()} for k in ((0, 1), (2, 3), (4,))}
-    if any(v != {0, 1} for v in kinds.values()):
-        part = lambda *k: picked
-    lexicon = _learn_lexicon(part(0, 1))
+    there = {(r["part"], r["y"]) for r in picked.select("part", "y").distinct().collect()}
+    dealt = all(any((k, y) in there for k in parts) for parts in ((0, 1), (2, 3), (4,)) for y in (0, 1))
+    of = lambda df, *k: df.where(F.col("part").isin(*k)) if dealt else df
+    lexicon = learn_lexicon(of(picked, 0, 1))
     rows = materialise(picked.select("y", "part", stats_column(F.col("text"), lexicon).alias("_stats")).repartition(4), "toxic-stats")
-    of = (lambda *k: rows) if part(4) is picked else (lambda *k: rows.where(F.col("part").isin(*k)))
     model = GBTClassifier(labelCol="y", featuresCol="_x", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1)
-    fitted = model.fit(of(2, 3).select(F.col("y").cast("double").alias("y"), array_to_vector("_stats").alias("_x")))
-    margins = _margin(fitted, of(4)).select(F.col("y").cast("double").alias("y"), "_margin")
+    fitted = model.fit(of(rows, 2, 3).select(F.col("y").cast("double").alias("y"), array_to_vector("_stats").alias("_x")))
+    margins = _margin(fitted, of(rows, 4)).select(F.col("y").cast("double").alias("y"), "_margin")
     curve = IsotonicRegression(labelCol="y", featuresCol="_margin", predictionCol="_score").fit(margins)
     return Toxicity(share, lexicon, fitted, curve)
