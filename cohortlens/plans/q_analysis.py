@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
+from ..operators import clean
 from ..operators import insight as I
 from ..operators import ranks as K
 from ..operators import stats as S
 from ..operators import tracking as TR
 from ..roles import SUBJECTS as R
+from ..roles import SUBJECTS_LOAD
 from ..sources.tables import read
 from .bindings import SNAPSHOTS_SQL, snapshots
 from .curated import curated
@@ -279,7 +281,7 @@ def q_battery(spark, sf_dir):
                                   regressors=["effort", "absences", "failures"]))
 
 
-@register("alert_rules", with_curated("""
+_ALERTS_SQL = """
 , st AS (SELECT AVG(absences) AS m, STDDEV_SAMP(absences) AS s, quantile_cont(absences, 0.5) AS med FROM curated),
 c AS (SELECT AVG(at_risk) AS risk_rate, COUNT(*) FILTER (WHERE absences > st.m + 2 * st.s) AS n_high,
              COUNT(*) FILTER (WHERE failures >= 1 AND grade_trend < 0) AS n_wor,
@@ -294,11 +296,31 @@ r AS (SELECT 1 AS rule_no, 'risk_rate_high' AS rule_id, 'urgent' AS severity, CA
 o AS (SELECT rule_no, rule_id, severity, n, value FROM r WHERE fired
       UNION ALL SELECT 99, 'all_clear', 'info', 0, NULL FROM (SELECT COUNT(*) FILTER (WHERE fired) AS k FROM r) WHERE k = 0)
 SELECT rule_no, rule_id, severity, n, ROUND(value, 6) AS value,
-       CASE severity WHEN 'urgent' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS severity_rank FROM o"""))
+       CASE severity WHEN 'urgent' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS severity_rank FROM o"""
+
+
+@register("alert_rules", with_curated(_ALERTS_SQL))
 def q_alerts(spark, sf_dir):
     return rounded(A.alert_rules(curated(spark, sf_dir), R))
 
 
+_LOAD_SQL = "(absences * 2.0 + failures * 1.0) / 3.0"
+
+
+def _loaded(spark, sf_dir):
+    """The curated table with its composite column."""
+    return clean.derive_features(curated(spark, sf_dir), SUBJECTS_LOAD)
+
+
+@register("alert_rules_heavy_use", with_curated(_ALERTS_SQL.replace(
+    "),\no AS (", f"""
+      UNION ALL SELECT 5, 'heavy_use_low_target', 'info', n_heavy, 3.0, n_heavy > 0
+                FROM (SELECT COUNT(*) FILTER (WHERE {_LOAD_SQL} >= 3 AND g3 < {R.pass_mark}) AS n_heavy FROM curated)),\no AS (""", 1)))
+def q_alerts_heavy(spark, sf_dir):
+    """O-99 with the heavy-use rule on the composite column."""
+    return rounded(A.alert_rules(_loaded(spark, sf_dir), SUBJECTS_LOAD, heavy_use="load"))
+
+
 @register("combined_risk", with_curated("""
 , st AS (SELECT quantile_cont(absences, 0.5) AS med FROM curated),
 c AS (SELECT ANY_VALUE(st.med) AS med, COUNT(*) FILTER (WHERE absences > st.med AND failures >= 1) AS n_combined,
@@ -365,7 +387,7 @@ def q_insight(spark, sf_dir):
     return rounded(I.insight(curated(spark, sf_dir), R))
 
 
-@register("recommendations", with_curated("""
+_RECOMMEND_SQL = """
 , ma AS (SELECT AVG(absences) AS mabs FROM curated),
 sp AS (SELECT CASE WHEN failures >= 1 THEN 'with_failures' ELSE 'no_failures' END AS subpop,
               REGR_SLOPE(g3, effort) AS effort_slope FROM curated GROUP BY 1),
@@ -374,11 +396,21 @@ c AS (SELECT subject_id, CASE WHEN failures >= 1 THEN 'with_failures' ELSE 'no_f
                           CASE WHEN absences > mabs THEN 'reduce_absences' END,
                           CASE WHEN flag = 'no' THEN 'get_access' END], lambda x: x IS NOT NULL) AS codes FROM curated, ma)
 SELECT subject_id, c.subpop, array_to_string(codes, ',') AS codes, CAST(len(codes) AS INT) AS n_codes,
-       ROUND(effort_slope, 6) AS effort_slope FROM c LEFT JOIN sp ON c.subpop = sp.subpop"""))
+       ROUND(effort_slope, 6) AS effort_slope FROM c LEFT JOIN sp ON c.subpop = sp.subpop"""
+
+
+@register("recommendations", with_curated(_RECOMMEND_SQL))
 def q_recommend(spark, sf_dir):
     return rounded(I.recommendations(curated(spark, sf_dir), R, no_access=("flag", "no")))
 
 
+@register("recommendations_heavy_use", with_curated(_RECOMMEND_SQL.replace(
+    "CASE WHEN flag", f"CASE WHEN {_LOAD_SQL} > 2 THEN 'reduce_heavy_use' END,\n                          CASE WHEN flag", 1)))
+def q_recommend_heavy(spark, sf_dir):
+    """O-111 with the heavy-use rule on the composite column."""
+    return rounded(I.recommendations(_loaded(spark, sf_dir), SUBJECTS_LOAD, no_access=("flag", "no"), heavy_use="load"))
+
+
 OVERVIEW_INPUTS = ["n_orders", "effort", "failures", "absences"]
 
 

@@ -1,8 +1,6 @@
 """Registered jobs for scoring-driven operators, models, kNN and segmentation."""
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from ..operators import whatif as W
 from ..operators.fill import ExactFill
 from ..operators.ranks import exact_quantiles
 from ..roles import SUBJECTS as R
+from ..roles import SUBJECTS_LOAD
 from ..sources.intake import segment_members
 from ..session import scratch_path
 from ..sources.tables import read
@@ -430,13 +429,10 @@ def q_scoring_rejects(spark, sf_dir):
     return M.score_with_rejects(model, subjects(spark, sf_dir), _REQUIRED)[1].select("subject_id", "missing")
 
 
-_LOAD = (("load", (("absences", 2.0), ("failures", 1.0))),)
-
-
 @register("composite_load", with_curated("SELECT subject_id, ROUND((absences * 2.0 + failures * 1.0) / 3.0, 6) AS load FROM curated"))
 def q_composite(spark, sf_dir):
     """O-22: a weighted composite of two columns."""
-    df = clean.derive_features(curated(spark, sf_dir), replace(R, composites=_LOAD))
+    df = clean.derive_features(curated(spark, sf_dir), SUBJECTS_LOAD)
     return rounded(df.select("subject_id", "load"))
 
 

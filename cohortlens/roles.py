@@ -3,7 +3,7 @@ same job runs on any table (the reference hard-wires one student schema).
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -73,3 +73,6 @@ SUBJECTS = Roles(
         ("absences", 0.0, 93.0, 1.0, -1),
     ),
 )
+
+#: `subjects` with a composite of weighted columns, the column of the heavy-use rules.
+SUBJECTS_LOAD = replace(SUBJECTS, composites=(("load", (("absences", 2.0), ("failures", 1.0))),))
