@@ -26,6 +26,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """`materialise` in buckets of a key: joins on it read them where they lie, without a shuffle of these rows.
+
+    There are as many buckets as shuffle partitions.  The files are below the shared checkpoint folder as others; the
+    catalog holds their table only until it is read back.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{name}")
+    named = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark allows no more
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(named)
+    found = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")  # a table with a path keeps its files
+    return found
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, materialise_by, text_or_empty
 from .components import components
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -353,8 +353,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranked = heavy.join(weight, "sig").withColumns({"rank": F.row_number().over(own), "leader": F.first(F.struct("sig", "n")).over(own)})
     heavy = materialise(ranked, "ranked")
     elements = materialise(heavy.groupBy("sig").agg(F.first("n").alias("n"), F.collect_set("key").alias("keys")), "elements")
-    live = elements.join(classes.select("sig", "id"), "sig").select("sig", "id")
-    texts = materialise(_texts(source, live, words), "texts")
+    texts = _texts(source.where("id is not null"), elements.select("sig"), words)
 
     parts = heavy.where("part > 0 and rank = 1")
     between = parts.withColumn("leader", F.first(F.struct("sig", "n")).over(Window.partitionBy("key").orderBy(F.desc("weight"), "sig")))
@@ -408,15 +407,24 @@ def shared_lists(rows: DataFrame, split: int) -> DataFrame:
 
 
 def _texts(source: DataFrame, live: DataFrame, words: int) -> DataFrame:
-    """One text for each set in a list: its class's smallest document (an id may come with other texts too)."""
+    """One text for each set in a list (any of its documents': they have the same elements), dealt out by set.
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The texts travel once: the table is bucketed by set, so that no later join with it moves them again."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in _slices(batches):
-            same = [signature(shingle_set(t, words)) == s for t, s in zip(batch.column("text").to_pylist(), batch.column("sig").to_pylist(), strict=True)]
-            yield batch.select(["sig", "text"]).filter(pa.array(same, pa.bool_()))
+            sigs = [signature(s) if len(s := shingle_set(t, words)) else None for t in batch.column("text").to_pylist()]
+            first = []
+            for sig in sigs:
+                first.append(sig is not None and sig not in seen)
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(sig)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), batch.column("text")], names=["sig", "text"]).filter(pa.array(first, pa.bool_()))
 
-    found = source.join(live, "id").dropDuplicates(["id", "sig", "text"])
-    return found.select("sig", "text").mapInArrow(own, "sig long, text string")
+    found = source.select("text").mapInArrow(named, "sig long, text string")
+    return materialise_by(found.join(live, "sig", "left_semi").dropDuplicates(["sig"]), "texts", "sig")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -136,3 +136,23 @@ def test_word_hashes_of_pieces_and_long_words(monkeypatch):
     monkeypatch.setattr(J, "PIECE", 400)
     assert (J.word_hashes(raw) == whole).all() and len(whole) == len(raw.split())
     assert whole[0] == whole[2] and whole[1] == whole[4] and len(set(whole[:7].tolist())) == 5
+
+
+def test_texts_are_dealt_out_once(spark, documents):
+    """The table of texts is bucketed by set: comparing pairs moves pairs, and the texts of one side only."""
+    rows = [(i, prose(i, 40)) for i in range(30)] + [(100 + i, prose(i, 40).upper()) for i in range(30)]
+    docs = documents(rows).selectExpr("doc_id AS id", "text")
+    sigs = [J.signature(J.shingle_set(t)) for _, t in rows[:20]]
+    texts = J._texts(docs, spark.createDataFrame([(s,) for s in sigs], "sig long"), 5)
+    assert sorted(r["sig"] for r in texts.collect()) == sorted(sigs)  # a text for each set asked for, none twice
+    assert all(J.signature(J.shingle_set(r["text"])) == r["sig"] for r in texts.collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_texts")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.createDataFrame([(sigs[0], sigs[1]), (sigs[2], sigs[3])], "a long, b long")
+        plan = pairs.join(texts.withColumnRenamed("sig", "a"), "a")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+        assert J._jaccard_links(pairs, texts, 5, 80).collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
