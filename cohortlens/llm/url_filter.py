@@ -22,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -62,11 +62,12 @@ def _gram(end: Column, length: int) -> Column:
 def _smoothed(level: DataFrame, support: int = 0) -> DataFrame:
     """key and the two probabilities of its last character after the others, from (key, allow, block, urls) and those after the
     shorter context (allow_p, block_p); only contexts with `support` places in different ruled URLs."""
+    # the keys of a context are as many as there are characters, so they are added up where they lie: no join with their sums
+    of = Window.partitionBy("context")
     level = level.withColumn("context", F.expr("substr(key, 1, length(key) - 1)"))
-    seen = level.groupBy("context").agg(
-        F.sum("urls").alias("support"),
-        *[f(v).alias(f"{v}_{name}") for v in ("allow", "block") for name, f in (("n", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))])
-    level = level.join(seen.where(F.col("support") >= support).hint("merge"), "context")
+    level = level.withColumns({"support": F.sum("urls").over(of)} | {
+        f"{v}_{name}": f(v).over(of) for v in ("allow", "block") for name, f in (("n", F.sum), ("kinds", lambda c: F.sum((F.col(c) > 0).cast("long"))))})
+    level = level.where(F.col("support") >= support)
     p = {v: F.when(F.col(f"{v}_n") > 0, (F.col(v) + F.col(f"{v}_kinds") * F.col(f"{v}_p")) / (F.col(f"{v}_n") + F.col(f"{v}_kinds"))).otherwise(F.col(f"{v}_p")) for v in ("allow", "block")}
     return level.select("key", *[p[v].alias(f"{v}_p") for v in p])
 

@@ -186,3 +186,12 @@ def test_matches_of_rows_without_id_stay_apart(documents):
     line = "Released under the MIT License."
     got = L.scan(documents([(None, line), (None, "some words before it. " + line), (None, "nothing"), (7, line), (7, line)])).collect()
     assert sorted((r["doc_id"] or 0, r["first_word"]) for r in got if r["license"] == "MIT") == [(0, 0), (0, 4), (7, 0)]
+
+
+def test_context_sums_need_no_join(spark):
+    level = spark.createDataFrame([("ab", 3, 0, 2, 0.5, 0.5), ("ac", 1, 2, 1, 0.5, 0.5), ("bd", 9, 9, 1, 0.5, 0.5)], "key string, allow long, block long, urls long, allow_p double, block_p double")
+    found = U._smoothed(level, support=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r["key"]: (round(r["allow_p"], 9), round(r["block_p"], 9)) for r in found.collect()}
+    assert got == {"ab": (round(4 / 6, 9), round(0.5 / 3, 9)), "ac": (round(2 / 6, 9), round(2.5 / 3, 9))}
