@@ -30,6 +30,7 @@ TEST_PCT = 20
 FOLDS = 5
 MIN_ROWS = 30
 MIN_PER_CLASS = 5
+SMALL_ROWS, ROWS_A_PART = 50_000, 10_000
 
 
 def _hash_pct(key: str) -> F.Column:
@@ -55,6 +56,14 @@ def stratified_split(df: DataFrame, key: str, label: str) -> tuple[DataFrame, Da
     return tagged.filter(~F.col("__test")).select(*cols), tagged.filter(F.col("__test")).select(*cols)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Training rows in parts for all cores (a table of one row group is one task, however many trees are grown); up
+    to SMALL_ROWS rows stay as they are.  No more parts than a few for each core: every part sends its own sums of all nodes."""
+    if rows <= SMALL_ROWS:
+        return df
+    return df.repartition(min(-(-rows // ROWS_A_PART), 3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def preprocessor(numeric, categorical, scale: bool = True, impute: bool = False):
     """O-86: standardised numerics, one-hot categoricals; unseen levels → all-zero vector; with `impute`, missing
     inputs get the exact medians and modes of the rows that the pipeline is fitted on."""
@@ -103,6 +112,7 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     spark = df.sparkSession
     data = observed_only(df).dropna(subset=[label])
     train, test = split(data, key)
+    train = spread(train, data.count() * (100 - TEST_PCT) // 100)
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     # iterative fitters scan the training part many times: keep it in executor memory/disk
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
@@ -197,6 +207,7 @@ def train_classifier(df: DataFrame, key: str, label: str, numeric, categorical,
     spark = df.sparkSession
     data = observed_only(df).dropna(subset=[label]).withColumn(label, F.col(label).cast("double"))
     train, test = stratified_split(data, key, label)
+    train = spread(train, data.count() * (100 - TEST_PCT) // 100)
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train.count()
     cands = [
@@ -290,6 +301,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
     if isinstance(types[target], T.NumericType):
         d = d.withColumn(target, F.col(target).cast("double"))
         train, test = split(d, key)
+        train = spread(train, n * (100 - TEST_PCT) // 100)
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         for name, est in _reg_candidates(target, trees, depth)[:2]:  # linear and forest
@@ -305,6 +317,7 @@ def train_generic(df: DataFrame, key: str, target: str, features, trees: int = 2
             raise ValueError("need at least 2 classes with at least 5 rows each")
         d = StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc").fit(d).transform(d)
         train, test = stratified_split(d, key, "__label")
+        train = spread(train, n * (100 - TEST_PCT) // 100)
         train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
         best = None
         cands = [("logistic", LogisticRegression(labelCol="__label", maxIter=200)),

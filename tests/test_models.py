@@ -48,3 +48,15 @@ def test_weighted_auc_is_undefined_without_a_class(spark):
     assert M.weighted_auc(df, "l") is None
     df = spark.createDataFrame([(0.0, Vectors.dense(0.9, 0.1)), (1.0, Vectors.dense(0.2, 0.8))], ["l", "probability"])
     assert M.weighted_auc(df, "l") == 1.0
+
+
+def test_large_training_parts_are_spread(spark, monkeypatch):
+    """A table of one file part gives work to all cores; small tables keep the layout that they have."""
+    rows = spark.range(0, 400, 1, 1).selectExpr("id AS k", "id % 10 AS x")
+    assert M.spread(rows, 400).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "SMALL_ROWS", 100)
+    monkeypatch.setattr(M, "ROWS_A_PART", 200)
+    wide = M.spread(rows, 400)
+    assert wide.rdd.getNumPartitions() == 2 and sorted(wide.collect()) == sorted(rows.collect())
+    monkeypatch.setattr(M, "ROWS_A_PART", 1)
+    assert M.spread(rows, 400).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
