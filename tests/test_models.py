@@ -60,3 +60,23 @@ def test_large_training_parts_are_spread(spark, monkeypatch):
     assert wide.rdd.getNumPartitions() == 2 and sorted(wide.collect()) == sorted(rows.collect())
     monkeypatch.setattr(M, "ROWS_A_PART", 1)
     assert M.spread(rows, 400).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_folds_equal_the_cross_validator_and_the_whole_part_does_not_wait(data, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    train = data.withColumn("__fold", (F.col("k") % 3).cast("int"))
+    pipe = Pipeline(stages=M.preprocessor(["x", "z"], ["c"]) + [GBTRegressor(labelCol="y", maxIter=3, maxDepth=2, seed=1)])
+    r2 = RegressionEvaluator(labelCol="y", metricName="r2")
+    whole = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=r2, foldCol="__fold", numFolds=3).fit(train)
+    began = []
+    together = M._concurrently
+    monkeypatch.setattr(M, "_concurrently", lambda fn, items: began.append(list(items)) or together(fn, items))
+    model, cv = M._fit_with_folds(pipe, train, 3, r2)
+    assert began == [[None, 0, 1, 2]]  # one round for the folds and the whole part
+    assert sum(cv) / 3 == pytest.approx(whole.avgMetrics[0], abs=1e-9)
+    assert r2.evaluate(model.transform(train)) == pytest.approx(r2.evaluate(whole.bestModel.transform(train)), abs=1e-9)
+    with pytest.raises(ValueError, match="fold 3"):
+        M._fit_with_folds(pipe, train, 4, r2)
