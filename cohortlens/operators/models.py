@@ -128,6 +128,7 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     train = train.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     # iterative fitters scan the training part many times: keep it in executor memory/disk
     train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = in_blocks(train, preprocessor(numeric, categorical), numeric, categorical, label, n * (100 - TEST_PCT) // 100, folds)
     def run(candidate):
         name, est = candidate
         pipe = Pipeline(stages=preprocessor(numeric, categorical) + [est])
@@ -137,7 +138,10 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
             fit = linear_folds(train, label, numeric, categorical, F.col("__fold"), folds, F.lit(False))
             m["cv_r2_mean"], m["cv_r2_std"] = fit.cv_r2
             return name, m, model
-        model, cv = _fit_with_folds(pipe, train, folds, RegressionEvaluator(labelCol=label, metricName="r2"))
+        if cells is not None:
+            model, cv = block_trees.fit(cells, est)
+        else:
+            model, cv = _fit_with_folds(pipe, train, folds, RegressionEvaluator(labelCol=label, metricName="r2"))
         m = _reg_metrics(model.transform(test), label)
         m["cv_r2_mean"], m["cv_r2_std"] = float(np.mean(cv)), float(np.std(cv))
         return name, m, model
@@ -152,6 +156,8 @@ def train_regression(df: DataFrame, key: str, label: str, numeric, categorical,
     rows += [("regression", variant, r[2], "improvement_pct", 100.0 * (baseline["mae"] - r[4]) / baseline["mae"])
              for r in rows if r[3] == "mae" and baseline["mae"]]
     rows += _metrics_rows("regression", variant, "mean_baseline", baseline)
+    if cells is not None:
+        cells.unpersist()
     train.unpersist()
     test.unpersist()
     rows.append(("regression", variant, best[0], "is_best", 1.0))
