@@ -22,9 +22,9 @@ def kind(name):
 
 @pytest.fixture(scope="module")
 def train(spark):
-    """600 rows, some of them twice, with more values of x than bins; __fold of two."""
-    df = spark.range(0, 600, 1, 3).selectExpr("id k", "id * 37 % 101 + 0.25 x", "id * 7 % 13 + 0.0 z", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 5 = 0 THEN 'b' END c")
-    df = df.withColumn("y", F.round(F.col("x") * 0.3 + F.col("z") * F.when(F.col("c") == "a", 1.5).otherwise(-0.5) + F.col("k") % 7, 2)).withColumn("p", (F.col("y") > 12).cast("double"))
+    """600 rows, some of them twice, with more values of x than bins; __fold of two. Two levels, as splits of equal gain are chosen by rounding."""
+    df = spark.range(0, 600, 1, 3).selectExpr("id k", "id * 37 % 101 + 0.25D x", "id * 7 % 13 + 0D z", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END c")
+    df = df.withColumn("y", F.round(F.col("x") * 0.3 + F.col("z") * F.when(F.col("c") == "a", 1.5).otherwise(-0.5) + F.xxhash64("k") % 100 / 40, 2)).withColumn("p", (F.col("y") > 12).cast("double"))
     return df.unionByName(df.where("k < 100")).withColumn("__fold", (F.col("k") % 2).cast("int")).cache()
 
 
